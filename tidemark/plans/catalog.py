@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.plans import (  # noqa: F401
     q_history,
+    q_tables,
     q_views,
 )
 from tidemark.plans.registry import REGISTRY

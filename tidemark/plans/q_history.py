@@ -624,7 +624,7 @@ def coach_month_record(t: Tables) -> DataFrame:
     home_won = (F.col("home_points") >= F.col("away_points")).cast("int")
     rows = t.matches.select(
         "week", "period",
-        F.inline(F.array(F.struct(F.col("home").alias("team"), home_won.alias("w")), F.struct(F.col("away"), 1 - home_won))),
+        F.inline(F.array(F.struct(F.col("home").alias("team"), home_won.alias("w")), F.struct(F.col("away").alias("team"), (1 - home_won).alias("w")))),
     )
     coach = t.divisions.select("team", F.col("division").alias("coach"))
     # Fold to (team, period) before the coach join: the join sees one row per team and period.
