@@ -39,6 +39,28 @@ def ranked(
     return out if base == 1 else out.withColumn(name, F.col(name) + (base - 1))
 
 
+def ranked_many(
+    df: DataFrame, group: Sequence[str], keys: Sequence[str], descending: dict[str, bool], method: str = "rank"
+) -> DataFrame:
+    """``<col>_rank`` for several columns in one pass over the long form.
+
+    ``keys`` identify a row inside ``group``; ``descending`` maps each column
+    to its direction.  The frame is read once: values travel along in the long
+    form and come back with their ranks.
+    """
+    sign = {c: -1 if down else 1 for c, down in descending.items()}
+    signed = [(F.col(c) * k).alias(c) for c, k in sign.items()]
+    rest = [c for c in df.columns if c not in (*group, *keys, *descending)]
+    long = df.select(*group, *keys, *rest, *signed).unpivot([*group, *keys, *rest], list(descending), "_stat", "_value")
+    r = ranked(long, [*group, "_stat"], "_value", "_r", method, tiebreak=keys if method == "row_number" else (), descending=False)
+    own = {c: F.col("_stat") == c for c in descending}
+    return r.groupBy(*group, *keys).agg(
+        *[F.first(c).alias(c) for c in rest],
+        *[(F.max(F.when(own[c], F.col("_value"))) * k).alias(c) for c, k in sign.items()],
+        *[F.max(F.when(own[c] & F.col("_value").isNotNull(), F.col("_r"))).alias(f"{c}_rank") for c in descending],
+    )
+
+
 def season_grid(values: DataFrame, entity: Sequence[str], season: str = "season", period: str = "period") -> DataFrame:
     """Every entity of a season at every period of that season.
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from tidemark.plans import (  # noqa: F401
     q_history,
+    q_scalars,
     q_tables,
+    q_text,
     q_views,
 )
 from tidemark.plans.registry import REGISTRY

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import history as H
-from tidemark.operators.ranking import carry_forward, ranked
+from tidemark.operators.ranking import carry_forward, ranked, ranked_many
 from tidemark.operators.scan import Lag, Lead, chunked_scan
 from tidemark.operators.sides import attach_both
 from tidemark.plans.registry import query
@@ -285,14 +285,9 @@ def season_ranks(t: Tables) -> DataFrame:
     state = H.running_totals(totals, ["team", "season"], ["n", *_RANKED])
     means = state.select("team", "season", "period", *[(F.col(c) / F.col("n")).alias(c) for c in _RANKED])
     grid = carry_forward(means, ["team"], _RANKED).filter(F.col(_RANKED[0]).isNotNull())
-    for c in _RANKED:
-        # More is better for own figures, less for the opponents' and for turnovers.
-        best_high = c.startswith("for_") and not c.endswith("turnovers")
-        if c == "opp_turnovers":
-            best_high = True
-        w = Window.partitionBy("period").orderBy(F.col(c).desc() if best_high else F.col(c).asc())
-        grid = grid.withColumn(f"{c}_rank", F.rank().over(w))
-    return grid
+    # More is better for own figures and for the opponents' turnovers.
+    direction = {c: c.startswith("for_") != c.endswith("turnovers") for c in _RANKED}
+    return ranked_many(grid, ["period"], ["season", "team"], direction)
 
 
 def _rank_sql() -> str:

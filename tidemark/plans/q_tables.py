@@ -510,14 +510,14 @@ def lineup_ratings_by_role(t: Tables) -> DataFrame:
 @query(
     "A-12 H-26",
     views("starters", "outings") + """, pm AS (SELECT s.team, s.period, s.position, (SELECT avg(share) FROM outings o WHERE o.player = s.player AND o.period < s.period) AS m FROM starters s)
-    SELECT team, period, """ + ", ".join(f"round(avg(m) FILTER (position = '{r}'), 6) AS {r.lower()}_avg" for r in ROLE_NAMES) + " FROM pm GROUP BY ALL",
+    SELECT team, period, """ + ", ".join(f"round(avg(m) FILTER (position = '{r}'), 9) AS {r.lower()}_avg" for r in ROLE_NAMES) + " FROM pm GROUP BY ALL",
 )
 def lineup_share_means_by_role(t: Tables) -> DataFrame:
     """Mean per role of the starters' own earlier means."""
     entries = t.starters.select("team", "period", "position", "player")
     known = H.to_date(entries, t.outings, ["player"], {"s": F.col("share")}).withColumn("m", F.col("s") / F.col("n"))
     out = L.by_role(known, ["team", "period"], "m", ROLE_NAMES, ("avg",))
-    return out.select("team", "period", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+    return out.select("team", "period", *[F.round(c, 9).alias(c) for c in out.columns[2:]])
 
 
 @query(
@@ -826,10 +826,10 @@ def season_replaced(t: Tables) -> DataFrame:
 
 @query(
     "S-6 T-16",
-    views("plays") + """ SELECT DISTINCT match_id, na AS player, list_sort(list_intersect([na % 32, (na + 7) % 32], [home, away])) AS teams FROM plays""",
+    views("plays") + """ SELECT DISTINCT match_id, na AS player, array_to_string(list_sort(list_intersect([na % 32, (na + 7) % 32], [home, away])), '|') AS teams FROM plays""",
 )
 def possible_teams(t: Tables) -> DataFrame:
     """A player's teams that play in the match."""
     return t.plays.select("match_id", F.col("na").alias("player"), "home", "away").distinct().select(
-        "match_id", "player", F.array_sort(F.array_intersect(F.array(F.col("player") % 32, (F.col("player") + 7) % 32), F.array("home", "away"))).alias("teams")
+        "match_id", "player", F.array_join(F.array_sort(F.array_intersect(F.array(F.col("player") % 32, (F.col("player") + 7) % 32), F.array("home", "away"))).cast("array<string>"), "|").alias("teams")
     )
