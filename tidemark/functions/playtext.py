@@ -98,7 +98,7 @@ def spans(text: Column, name: Column) -> Column:
 def leading_name(text: Column, names: Column) -> Column:
     """The name that occurs first in the text."""
     places = F.filter(
-        F.transform(names, lambda n: F.struct(F.instr(text, n).alias("at"), n.alias("name"))), lambda s: s["at"] > 0
+        F.transform(names, lambda n: F.named_struct(F.lit("at"), F.instr(text, n), F.lit("name"), n)), lambda s: s["at"] > 0
     )
     return F.array_min(places)["name"]
 

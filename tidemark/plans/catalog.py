@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.plans import (  # noqa: F401
     q_history,
     q_scalars,
+    q_state,
     q_tables,
     q_text,
     q_views,

@@ -146,8 +146,8 @@ def play_attributes(t: Tables) -> DataFrame:
     "T-9",
     views("plays", "players") + """, td AS (SELECT * FROM plays WHERE contains(detail, 'touchdown') AND kind IN (2, 4)),
     c AS (SELECT match_id, num, detail, unnest([a, b, c]) AS name FROM td),
-    s AS (SELECT match_id, num, name, strpos(detail, 'touchdown') - 1 AS at, strpos(detail, name) - 1 + length(name) AS e FROM c WHERE contains(detail, name)),
-    w AS (SELECT match_id, num, arg_min(name, (at - e)) AS name FROM s WHERE e <= at GROUP BY ALL)
+    s AS (SELECT match_id, num, name, strpos(detail, 'touchdown') - 1 AS tdpos, strpos(detail, name) - 1 + length(name) AS e FROM c WHERE contains(detail, name)),
+    w AS (SELECT match_id, num, arg_min(name, (tdpos - e)) AS name FROM s WHERE e <= tdpos GROUP BY ALL)
     SELECT w.match_id, w.num, p_id AS scorer, CASE WHEN team % 32 = home % 25 THEN 1 ELSE 0 END AS offensive FROM w JOIN players pl ON pl.name = w.name JOIN plays p ON p.match_id = w.match_id AND p.num = w.num""",
 )
 def touchdown_scorers(t: Tables) -> DataFrame:
