@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpoint_dir, cut_lineage
+from tidemark.session import checkpoint_dir
 
 # Fixed values of the rating rule.
 START = 1500.0
@@ -50,43 +52,56 @@ def pair_ratings(
     ``matches``: season, period, home, away, home_points, away_points, winner.
     One superstep per period of the calendar: the period's matches join the
     current ratings, changes are summed per team, and the new ratings (one row
-    per team) go to a reliable checkpoint.  Several matches of a team in one
-    period all see the rating before the period.  ``start`` (team, rating)
-    resumes a stored state from ``first_period`` on; ``holders`` (team,
-    season, new_holder) switches the season rule for coaches.
-
-    The calendar is the only thing collected: one row per period.
+    per team) are written to a table in the shared checkpoint folder, which
+    cuts the lineage and survives lost executors.  Matches are laid out by
+    period first, so a superstep reads its own slice only.  Several matches of
+    a team in one period all see the rating before the period.
+
+    ``start`` (team, rating) resumes a stored state from ``first_period`` on;
+    ``holders`` (team, season, new_holder) switches the season rule for
+    coaches.  The calendar is the only thing collected: one row per period.
     """
     spark = matches.sparkSession
-    checkpoint_dir(spark)
-    cols = ["season", "period", "home", "away", "home_points", "away_points", "winner"]
-    games = cut_lineage(matches.select(*cols).repartitionByRange("period"))
+    base = f"{checkpoint_dir(spark)}/pair-ratings-{uuid.uuid4().hex}"
+    cols = ["home", "away", "home_points", "away_points", "winner"]
+    laid_out = matches.select("season", "period", *cols)
+    laid_out.repartitionByRange("period", "home").write.partitionBy("period").parquet(f"{base}/matches")
+    games = spark.read.parquet(f"{base}/matches")
     calendar = [tuple(r) for r in games.select("period", "season").distinct().orderBy("period").collect()]
     if first_period is not None:
         calendar = [c for c in calendar if c[0] >= first_period]
+    if not calendar:
+        raise ValueError("no period to rate")
+    game_schema = games.select("season", *cols).schema
+    last = (calendar[-1][1] + 1) * 100 + 1
+    periods = [c[0] for c in calendar] + [last]
+
+    def store(ratings: DataFrame, period: int) -> DataFrame:
+        path = f"{base}/ratings/period={period}"
+        ratings.select("team", "rating").write.parquet(path)
+        return spark.read.schema("team bigint, rating double").parquet(path)
+
     teams = games.select(F.explode(F.array("home", "away")).alias("team")).distinct()
-    current = teams.join(start, "team", "left") if start is not None else teams.withColumn("rating", F.lit(START))
-    current = cut_lineage(current.select("team", F.coalesce("rating", F.lit(START)).alias("rating")))
+    first = teams.withColumn("rating", F.lit(START))
+    if start is not None:
+        first = teams.join(start, "team", "left").select("team", F.coalesce("rating", F.lit(START)).alias("rating"))
+    current = store(first, periods[0])
 
-    history = []
     for i, (period, season) in enumerate(calendar):
-        history.append(current.select("team", F.lit(period).cast("bigint").alias("period"), "rating"))
         after_season = calendar[i + 1][1] if i + 1 < len(calendar) else season + 1
-        played = games.filter(F.col("period") == period)
+        played = spark.read.schema(game_schema).parquet(f"{base}/matches/period={period}")
         both = played.join(current.select(F.col("team").alias("home"), F.col("rating").alias("hr")), "home").join(
             current.select(F.col("team").alias("away"), F.col("rating").alias("ar")), "away"
         )
         h, a, hp, ap = (F.col(c) for c in ("hr", "ar", "home_points", "away_points"))
-        moves = both.select(
-            F.inline(
-                F.array(
-                    F.struct(F.col("home").alias("team"), rating_change(h, a, hp, ap, F.coalesce(F.col("winner") == F.col("home"), F.lit(False))).alias("move")),
-                    F.struct(F.col("away").alias("team"), rating_change(a, h, ap, hp, F.coalesce(F.col("winner") == F.col("away"), F.lit(False))).alias("move")),
-                )
-            )
-        )
-        moves = moves.groupBy("team").agg(F.sum("move").alias("move"))
-        updated = current.join(moves, "team", "left").select("team", (F.col("rating") + F.coalesce("move", F.lit(0.0))).alias("rating"))
+
+        def move(side: str, own: Column, other: Column, own_points: Column, other_points: Column) -> Column:
+            won = F.coalesce(F.col("winner") == F.col(side), F.lit(False))
+            return F.struct(F.col(side).alias("team"), rating_change(own, other, own_points, other_points, won).alias("rating"))
+
+        moves = both.select(F.inline(F.array(move("home", h, a, hp, ap), move("away", a, h, ap, hp))))
+        # Old rating plus all changes is one sum per team.
+        updated = current.unionByName(moves).groupBy("team").agg(F.sum("rating").alias("rating"))
         if after_season != season:
             if holders is None:
                 updated = updated.select("team", season_start(F.col("rating")).alias("rating"))
@@ -95,15 +110,8 @@ def pair_ratings(
                 updated = updated.join(new, "team", "left").select(
                     "team", season_start(F.col("rating"), F.coalesce(F.col("new_holder") == 1, F.lit(False))).alias("rating")
                 )
-        current = cut_lineage(updated)
-    if calendar:
-        after = (calendar[-1][1] + 1) * 100 + 1
-        history.append(current.select("team", F.lit(after).cast("bigint").alias("period"), "rating"))
-    # A flat union of checkpointed frames, one per period.
-    out = history[0]
-    for h in history[1:]:
-        out = out.unionByName(h)
-    return out
+        current = store(updated, periods[i + 1])
+    return spark.read.schema("team bigint, rating double, period bigint").parquet(f"{base}/ratings").select("team", "period", "rating")
 
 
 # --- players --------------------------------------------------------------

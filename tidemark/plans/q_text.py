@@ -63,7 +63,7 @@ def team_names(t: Tables) -> DataFrame:
     "T-3 T-4",
     P + f""", n AS (SELECT match_id, num, detail, unnest({_NAMES}) AS name FROM plays WHERE detail NOT LIKE '%coin toss%'),
     s AS (SELECT *, string_split(detail, name) AS parts FROM n),
-    o AS (SELECT match_id, num, name, unnest(list_transform(range(1, len(parts)), lambda i: length(array_to_string(parts[1:i], name)))) AS start FROM s)
+    o AS (SELECT match_id, num, name, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * length(name))) AS start FROM s)
     SELECT match_id, num, name, start::INT AS start, (start + length(name))::INT AS "end", (start = min(start) OVER (PARTITION BY match_id, num))::INT AS leading FROM o""",
 )
 def name_spans(t: Tables) -> DataFrame:
