@@ -62,7 +62,8 @@ def sheet_export(t: Tables) -> DataFrame:
     lines = t.table("nation").groupBy("n_regionkey").agg(
         F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", "n_nationkey", "n_name"))), "\n").alias("body")
     )
-    lines.select(F.concat(F.lit("Exported sheet\n\nid,name\n"), "body", F.lit("\n")).alias("value")).repartition("value").write.text(path)
+    sheet = F.concat(F.lit("Exported sheet\n\nid,name\n"), "body").alias("value")
+    lines.select("n_regionkey", sheet).write.partitionBy("n_regionkey").text(path)
     return S.read_sheet(t.spark, path, ["id", "name"], "id")
 
 

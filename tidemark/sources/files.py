@@ -68,10 +68,9 @@ def read_sheet(spark: SparkSession, path: str, names: Sequence[str], marker: str
     """A sheet exported as CSV with text above its header row.
 
     The header row is the one whose first cell is ``marker``; rows above it
-    are dropped.  A sheet is one small file; its lines keep their order in
-    ``_metadata.file_block_start`` and a line number taken per file.
+    are dropped.  A sheet is one small file and is read as one value.
     """
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     body = F.regexp_extract(F.col("value"), rf"(?s)(?:^|\n){re.escape(marker)}[^\n]*\n(.*)$", 1)
     rows = lines.select(F.explode(F.split(body, r"\r?\n")).alias("line")).filter("line <> ''")
     cells = F.split("line", ",")
