@@ -64,6 +64,17 @@ def resolve(
     )
 
 
+def before(state: DataFrame, by: Sequence[str], cols: Sequence[str], period: str = "period") -> DataFrame:
+    """State known before each period *of the state itself*.
+
+    The training case: every target has a history row in its own period, so
+    the row before is the answer and no key set has to be built.
+    """
+    w = Window.partitionBy(*by).orderBy(period)
+    shifted = F.lag(F.struct(*cols)).over(w).alias("_state")
+    return state.select(*by, period, shifted).select(*by, period, *[F.col("_state").getField(c).alias(c) for c in cols])
+
+
 def asof(
     targets: DataFrame,
     state: DataFrame,
@@ -71,9 +82,17 @@ def asof(
     cols: Sequence[str],
     strict: bool = True,
     period: str = "period",
+    in_history: bool = False,
 ) -> DataFrame:
-    """``targets`` with the newest earlier ``state`` columns (null when there is none)."""
-    found = resolve(targets, state, by, cols, strict, period)
+    """``targets`` with the newest earlier ``state`` columns (null when there is none).
+
+    ``in_history`` promises that every target's (entity, period) occurs in
+    the state, which saves building the key set.
+    """
+    if in_history and strict:
+        found = before(state, by, cols, period)
+    else:
+        found = resolve(targets, state, by, cols, strict, period)
     return targets.join(found, [*by, period], "left")
 
 
@@ -83,11 +102,12 @@ def to_date(
     by: Sequence[str],
     sums: Mapping[str, Column],
     period: str = "period",
+    in_history: bool = False,
 ) -> DataFrame:
     """Targets with ``n`` and the sums over all earlier periods of ``by``."""
     totals = period_totals(history, by, sums, period)
     cols = ["n", *sums]
-    return asof(targets, running_totals(totals, by, cols, period), by, cols, True, period)
+    return asof(targets, running_totals(totals, by, cols, period), by, cols, True, period, in_history)
 
 
 def season_means(
@@ -100,6 +120,7 @@ def season_means(
     min_count: int = 1,
     previous_season: str | None = "first_week",
     week: str = "week",
+    in_history: bool = False,
 ) -> DataFrame:
     """Season-to-date means of ``values`` for each target.
 
@@ -113,7 +134,7 @@ def season_means(
     totals = period_totals(history, [*by, season], {**sums, **counts}, period)
     cols = ["n", *sums, *counts]
     state = running_totals(totals, [*by, season], cols, period)
-    out = asof(targets, state, [*by, season], cols, True, period)
+    out = asof(targets, state, [*by, season], cols, True, period, in_history)
 
     def mean(prefix: str, k: str) -> Column:
         return F.when(
@@ -187,13 +208,21 @@ def slots(array: Column, n: int, prefix: str, pad: Column | None = None, field:
     return out
 
 
-def fill_with_mean(df: DataFrame, cols: Sequence[str], scale: float = 1.0, over: DataFrame | None = None) -> DataFrame:
+def fill_with_mean(
+    df: DataFrame,
+    cols: Sequence[str],
+    scale: float = 1.0,
+    over: DataFrame | None = None,
+    means: DataFrame | None = None,
+) -> DataFrame:
     """Nulls in ``cols`` become ``scale`` times the column mean.
 
     The means are one row, read by a scalar subquery; ``over`` (default: the
-    frame itself) supplies them, e.g. the training split only.
+    frame itself) supplies them, e.g. the training split only, unless they
+    come ready as ``means``.
     """
-    means = (over if over is not None else df).agg(*[F.avg(c).alias(c) for c in cols])
+    if means is None:
+        means = (over if over is not None else df).agg(*[F.avg(c).alias(c) for c in cols])
     row = means.select(F.struct(*cols).alias("m")).scalar()
     filled = [
         F.coalesce(F.col(c), row.getField(c) * scale).alias(c) if c in cols else F.col(c) for c in df.columns
@@ -201,6 +230,30 @@ def fill_with_mean(df: DataFrame, cols: Sequence[str], scale: float = 1.0, over:
     return df.select(*filled)
 
 
+def role_means(spine: DataFrame, by_team: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("period",)) -> DataFrame:
+    """Means of ``home_<col>`` and ``away_<col>`` as they come out of ``attach_both``.
+
+    Counts of spine rows per (team, keys) weigh the per-team rows, so the wide
+    join is not computed a second time for its means.
+    """
+    weights = spine.select(
+        *keys,
+        F.inline(
+            F.array(
+                F.struct(F.col("home").alias("team"), F.lit(1).alias("_h"), F.lit(0).alias("_a")),
+                F.struct(F.col("away").alias("team"), F.lit(0).alias("_h"), F.lit(1).alias("_a")),
+            )
+        ),
+    )
+    weights = weights.groupBy("team", *keys).agg(F.sum("_h").alias("_h"), F.sum("_a").alias("_a"))
+    joined = by_team.join(weights, ["team", *keys])
+
+    def mean(col: str, weight: str) -> Column:
+        return F.try_divide(F.sum(F.col(col) * F.col(weight)), F.sum(F.when(F.col(col).isNotNull(), F.col(weight)))).cast("double")
+
+    return joined.agg(*[mean(c, w).alias(f"{r}_{c}") for r, w in (("home", "_h"), ("away", "_a")) for c in cols])
+
+
 def unordered_pair(a: str, b: str) -> list[Column]:
     """Key that is the same for both orders of two sides."""
     return [F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")]

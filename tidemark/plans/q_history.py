@@ -24,10 +24,12 @@ def team_keys(matches: DataFrame, *extra: str) -> DataFrame:
     return matches.select(*extra, "period", F.explode(F.array("home", "away")).alias("team")).distinct()
 
 
-def last_n_match_means(t: Tables, n: int, null_as_zero: bool = False) -> DataFrame:
+def last_n_match_means(t: Tables, n: int, null_as_zero: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Both sides' means on the spine, and the one row of column means."""
     state = H.last_n_means(t.sides, ["team"], {c: F.col(c) for c in SIDE_VALUES}, n, null_as_zero=null_as_zero)
-    known = H.resolve(team_keys(t.matches), state, ["team"], SIDE_VALUES)
-    return attach_both(t.matches.select("match_id", "period", "home", "away"), known, SIDE_VALUES)
+    known = H.before(state, ["team"], SIDE_VALUES)
+    spine = t.matches.select("match_id", "period", "home", "away")
+    return attach_both(spine, known, SIDE_VALUES), H.role_means(spine, known, SIDE_VALUES)
 
 
 BOTH = [f"{r}_{c}" for r in ("home", "away") for c in SIDE_VALUES]
@@ -58,7 +60,8 @@ def _last_n_sql(n: int, agg: str = "avg") -> str:
 )
 def last_five_means(t: Tables) -> DataFrame:
     """Mean of the last five matches for both sides, gaps filled with column means."""
-    return round6(H.fill_with_mean(last_n_match_means(t, 5), BOTH), BOTH)
+    wide, means = last_n_match_means(t, 5)
+    return round6(H.fill_with_mean(wide, BOTH, means=means), BOTH)
 
 
 @query(
@@ -87,7 +90,7 @@ def last_five_with_league_fallback(t: Tables) -> DataFrame:
     """Nulls count as zero; a team without history takes the league's last twenty matches."""
     values = {"for_points": F.when(F.col("winner").isNotNull(), F.col("for_points")), "opp_points": F.col("opp_points")}
     state = H.last_n_means(t.sides, ["team"], values, 5, null_as_zero=True)
-    known = H.resolve(team_keys(t.matches), state, ["team"], list(values))
+    known = H.before(state, ["team"], list(values))
     league = H.newest(t.matches, ["period"], ["match_id"], 20)
     w = Window.orderBy("period", "match_id").rowsBetween(-19, 0)
     # At most 20 rows per period of the calendar reach this window.
@@ -119,16 +122,19 @@ def _array_sql(n: int, value: str, pad: str, prefix: str) -> str:
     )
 
 
-def recent_slots(t: Tables, n: int, fields: dict, pad, prefix: str) -> DataFrame:
+def recent_slots(t: Tables, n: int, fields: dict, pad, prefix: str, fill: float | None = None) -> DataFrame:
+    """Last n rows of each side as columns; ``fill`` pads with that part of the column mean."""
     state = H.last_n_rows(t.sides, ["team"], fields, n)
-    known = H.resolve(team_keys(t.matches), state, ["team"], ["recent"])
-    both = attach_both(t.matches.select("match_id", "period", "home", "away"), known, ["recent"])
-    cols = []
-    for role in ("home", "away"):
-        for f in fields:
-            p = f"{role}_{prefix}" if len(fields) == 1 else f"{role}_{f}"
-            cols += H.slots(F.col(f"{role}_recent"), n, p, pad, f)
-    return both.select("match_id", *cols)
+    known = H.before(state, ["team"], ["recent"])
+    cols = [c for f in fields for c in H.slots(F.col("recent"), n, prefix if len(fields) == 1 else f, None, f)]
+    known = known.select("team", "period", *cols)
+    names = known.columns[2:]
+    spine = t.matches.select("match_id", "period", "home", "away")
+    both = attach_both(spine, known, names).drop("period", "home", "away")
+    wide = [f"{r}_{c}" for r in ("home", "away") for c in names]
+    if fill is not None:
+        return round6(H.fill_with_mean(both, wide, fill, means=H.role_means(spine, known, names)), wide)
+    return both.select("match_id", *[F.coalesce(c, pad).alias(c) for c in wide])
 
 
 @query("H-3 SL-4 F-33", _array_sql(6, "s.won", "-1", "won"))
@@ -152,8 +158,7 @@ _P5 = [f"{r}_scored_{i}" for r in ("home", "away") for i in range(1, 6)]
 )
 def last_points_scored(t: Tables) -> DataFrame:
     """Last five points scored per side; missing slots take the column mean."""
-    out = recent_slots(t, 5, {"for_points": F.col("for_points")}, None, "scored")
-    return round6(H.fill_with_mean(out, _P5), _P5)
+    return recent_slots(t, 5, {"for_points": F.col("for_points")}, None, "scored", fill=1.0)
 
 
 _FLAT = [f"{r}_{f}_{i}" for r in ("home", "away") for f in ("for_points", "for_yards", "opp_yards") for i in range(1, 4)]
@@ -178,8 +183,7 @@ _FLAT = [f"{r}_{f}_{i}" for r in ("home", "away") for f in ("for_points", "for_y
 def last_stats_flat(t: Tables) -> DataFrame:
     """Last three matches by three figures, newest first, padded with 0.8 of the mean."""
     fields = {f: F.col(f) for f in ("for_points", "for_yards", "opp_yards")}
-    out = recent_slots(t, 3, fields, None, "")
-    return round6(H.fill_with_mean(out, _FLAT, 0.8), _FLAT)
+    return recent_slots(t, 3, fields, None, "", fill=0.8)
 
 
 @query(
@@ -201,7 +205,7 @@ def head_to_head_results(t: Tables) -> DataFrame:
     )
     state = H.last_n_rows(met, ["lo", "hi"], {"winner": F.col("winner")}, 5)
     targets = t.matches.select("match_id", "period", "home", *H.unordered_pair("home", "away"))
-    out = H.asof(targets, state, ["lo", "hi"], ["recent"])
+    out = H.asof(targets, state, ["lo", "hi"], ["recent"], in_history=True)
     won = F.transform("recent", lambda r: (r["winner"] == F.col("home")).cast("int"))
     return out.select("match_id", *H.slots(won, 5, "met", F.lit(0)))
 
@@ -236,7 +240,7 @@ def matchup_info(t: Tables) -> DataFrame:
         "lo", "hi", "period", "last_winner", *[F.sum(c).over(w).alias(c) for c in ("n", "lo_won", "hi_won")]
     )
     targets = t.matches.select("match_id", "period", "home", "away", *H.unordered_pair("home", "away"))
-    out = H.asof(targets, state, ["lo", "hi"], ["n", "lo_won", "hi_won", "last_winner"])
+    out = H.asof(targets, state, ["lo", "hi"], ["n", "lo_won", "hi_won", "last_winner"], in_history=True)
     groups = t.divisions
     for role in ("home", "away"):
         out = out.join(groups.select(*[F.col(c).alias(f"{role}_{c}") for c in ("division", "conference")], F.col("team").alias(role)), role)
@@ -265,7 +269,7 @@ def season_record(t: Tables) -> DataFrame:
     """Wins, losses and win percentage in the season so far."""
     totals = H.period_totals(t.sides, ["team", "season"], {"won": F.col("won")})
     state = H.running_totals(totals, ["team", "season"], ["n", "won"])
-    known = H.resolve(team_keys(t.matches, "season"), state, ["team", "season"], ["n", "won"]).select(
+    known = H.before(state, ["team", "season"], ["n", "won"]).select(
         "team",
         "period",
         F.coalesce("won", F.lit(0)).alias("wins"),
@@ -325,7 +329,7 @@ def season_rankings(t: Tables) -> DataFrame:
 def rankings_on_spine(t: Tables) -> DataFrame:
     """Newest earlier league rank for both sides of each match."""
     ranks = season_ranks(t).select("team", "period", F.col("for_points_rank").alias("rank"))
-    known = H.resolve(team_keys(t.matches), ranks, ["team"], ["rank"])
+    known = H.before(ranks, ["team"], ["rank"])
     return attach_both(t.matches.select("match_id", "period", "home", "away"), known, ["rank"]).select(
         "match_id", "home_rank", "away_rank"
     )
@@ -348,7 +352,7 @@ def season_play_value(t: Tables) -> DataFrame:
         t.sides,
         ["team"],
         {"offence": F.col("for_yards"), "defence": F.col("opp_yards")},
-        previous_season="missing",
+        previous_season="missing", in_history=True,
     )
     return round6(out.select("match_id", "team", "offence", "defence"), ["offence", "defence"])
 
@@ -382,7 +386,7 @@ def last_ten_mean_of_role_means(t: Tables) -> DataFrame:
         "oa": F.when(~at_home, F.col("opp_points")),
     }
     state = H.last_n_means(t.sides, ["team"], values, 10)
-    out = H.asof(t.sides.select("match_id", "team", "period"), state, ["team"], list(values))
+    out = H.asof(t.sides.select("match_id", "team", "period"), state, ["team"], list(values), in_history=True)
 
     def both(x: str, y: str):
         have = F.col(x).isNotNull().cast("int") + F.col(y).isNotNull().cast("int")
@@ -413,7 +417,7 @@ def player_season_average(t: Tables) -> DataFrame:
     """At least two earlier games; week 1 looks at last season; else 0."""
     out = H.season_means(
         t.outings.select("match_id", "player", "season", "week", "period"), t.outings, ["player"],
-        {"season_avg": F.col("points")}, min_count=2,
+        {"season_avg": F.col("points")}, min_count=2, in_history=True,
     )
     return out.select("match_id", "player", F.round(F.coalesce("season_avg", F.lit(0)), 6).alias("season_avg"))
 
@@ -426,7 +430,7 @@ def player_season_average(t: Tables) -> DataFrame:
     FROM outings o LEFT JOIN cur c ON c.player = o.player AND c.period = o.period""",
 )
 def player_career_average(t: Tables) -> DataFrame:
-    out = H.to_date(t.outings.select("match_id", "player", "period"), t.outings, ["player"], {"s": F.col("points")})
+    out = H.to_date(t.outings.select("match_id", "player", "period"), t.outings, ["player"], {"s": F.col("points")}, in_history=True)
     avg = F.when(F.col("n") >= 2, F.col("s") / F.col("n"))
     return out.select("match_id", "player", F.round(F.coalesce(avg, F.lit(0)), 6).alias("career_avg"))
 
@@ -447,7 +451,7 @@ def _player_recent(n: int) -> str:
 )
 def player_last_points(t: Tables) -> DataFrame:
     state = H.last_n_rows(t.outings, ["player"], {"points": F.col("points")}, 5)
-    out = H.asof(t.outings.select("match_id", "player", "period"), state, ["player"], ["recent"])
+    out = H.asof(t.outings.select("match_id", "player", "period"), state, ["player"], ["recent"], in_history=True)
     return out.select("match_id", "player", *H.slots(F.col("recent"), 5, "points", F.lit(0), "points"))
 
 
@@ -458,7 +462,7 @@ def player_last_points(t: Tables) -> DataFrame:
 )
 def player_last_mean(t: Tables) -> DataFrame:
     state = H.last_n_means(t.outings, ["player"], {"avg_points": F.col("points")}, 3)
-    out = H.asof(t.outings.select("match_id", "player", "period"), state, ["player"], ["avg_points"])
+    out = H.asof(t.outings.select("match_id", "player", "period"), state, ["player"], ["avg_points"], in_history=True)
     return out.select("match_id", "player", F.round(F.coalesce("avg_points", F.lit(0)), 6).alias("avg_points"))
 
 
@@ -497,7 +501,7 @@ def player_last_role_figures(t: Tables) -> DataFrame:
     """Last four games of the figures that count for the player's role."""
     fields = {s: role_figures(i) for i, s in enumerate(_SLOTS)}
     state = H.last_n_rows(t.outings, ["player"], fields, 4)
-    out = H.asof(t.outings.select("match_id", "player", "period"), state, ["player"], ["recent"])
+    out = H.asof(t.outings.select("match_id", "player", "period"), state, ["player"], ["recent"], in_history=True)
     cols = [c for s in _SLOTS for c in H.slots(F.col("recent"), 4, s, F.lit(0), s)]
     return out.select("match_id", "player", *cols)
 
@@ -513,7 +517,7 @@ def player_last_role_figures(t: Tables) -> DataFrame:
 def player_mean_role_figures(t: Tables) -> DataFrame:
     values = {s: role_figures(i) for i, s in enumerate(_SLOTS)}
     state = H.last_n_means(t.outings, ["player"], values, 5)
-    out = H.asof(t.outings.select("match_id", "player", "period"), state, ["player"], list(values))
+    out = H.asof(t.outings.select("match_id", "player", "period"), state, ["player"], list(values), in_history=True)
     return out.select("match_id", "player", *[F.round(F.coalesce(s, F.lit(0)), 6).alias(s) for s in _SLOTS])
 
 
@@ -536,7 +540,7 @@ def opponent_allowed_points(t: Tables) -> DataFrame:
     allowed = t.outings.groupBy(F.col("opp"), "position", "period").agg((F.sum("points") / F.count(F.lit(1))).alias("pts"))
     w = Window.partitionBy("opp", "position").orderBy("period").rowsBetween(-4, 0)
     state = allowed.select("opp", "position", "period", F.reverse(F.collect_list("pts").over(w)).alias("recent"))
-    out = H.asof(t.outings.select("match_id", "player", "opp", "position", "period"), state, ["opp", "position"], ["recent"])
+    out = H.asof(t.outings.select("match_id", "player", "opp", "position", "period"), state, ["opp", "position"], ["recent"], in_history=True)
     rounded = F.transform("recent", lambda x: F.round(x, 6))
     return out.select("match_id", "player", *H.slots(rounded, 5, "allowed", F.lit(0)))
 
@@ -553,7 +557,7 @@ def opponent_allowed_points(t: Tables) -> DataFrame:
 )
 def season_share_average(t: Tables) -> DataFrame:
     out = H.season_means(
-        t.outings.select("match_id", "player", "season", "week", "period"), t.outings, ["player"], {"share_avg": F.col("share")}
+        t.outings.select("match_id", "player", "season", "week", "period"), t.outings, ["player"], {"share_avg": F.col("share")}, in_history=True
     )
     return out.select("match_id", "player", F.round("share_avg", 6).alias("share_avg"))
 
@@ -627,7 +631,7 @@ def coach_month_record(t: Tables) -> DataFrame:
     folded = folded.join(coach, "team").groupBy("coach", "week", "period").agg(F.sum("w").alias("w"), F.sum("g").alias("g"))
     state = H.running_totals(folded, ["coach", "week"], ["w", "g"])
     targets = t.matches.select("match_id", "week", "period", F.col("home").alias("team")).join(coach, "team")
-    out = H.asof(targets, state, ["coach", "week"], ["w", "g"])
+    out = H.asof(targets, state, ["coach", "week"], ["w", "g"], in_history=True)
     return out.select("match_id", F.round(F.coalesce(F.try_divide("w", "g"), F.lit(0)), 6).alias("home_coach_pct"))
 
 
@@ -763,7 +767,7 @@ def season_points_ranked(t: Tables) -> DataFrame:
     totals = H.period_totals(t.outings, ["player", "season"], {"s": F.col("points")})
     state = H.running_totals(totals, ["player", "season"], ["s"])
     targets = t.outings.select("player", "position", "season", "week", "period").distinct()
-    out = H.asof(targets, state, ["player", "season"], ["s"])
+    out = H.asof(targets, state, ["player", "season"], ["s"], in_history=True)
     last = totals.groupBy("player", (F.col("season") + 1).alias("season")).agg(F.sum("s").alias("p"))
     out = out.join(last, ["player", "season"], "left").select(
         "player", "position", "period",
@@ -822,7 +826,7 @@ def grading_features(t: Tables) -> DataFrame:
       (SELECT count(*) FROM starters x WHERE x.player = s.player AND x.period < s.period) AS starts_before FROM starters s""",
 )
 def career_starts(t: Tables) -> DataFrame:
-    out = H.to_date(t.starters.select("player", "team", "period", "slot"), t.starters, ["player"], {})
+    out = H.to_date(t.starters.select("player", "team", "period", "slot"), t.starters, ["player"], {}, in_history=True)
     return out.select("player", "team", "period", "slot", F.coalesce("n", F.lit(0)).alias("starts_before"))
 
 
@@ -836,7 +840,7 @@ def career_starts(t: Tables) -> DataFrame:
 def first_passer_grade(t: Tables) -> DataFrame:
     """Season grade to date of the first passer on the depth chart."""
     qb = t.starters.filter("position = 'QB'").groupBy("team", "season", "week", "period").agg(F.min_by("player", "slot").alias("player"))
-    out = H.season_means(qb, t.outings, ["player"], {"grade": F.col("points")}, previous_season=None)
+    out = H.season_means(qb, t.outings, ["player"], {"grade": F.col("points")}, previous_season=None, in_history=True)
     return out.select("team", "period", "player", F.round("grade", 6).alias("grade"))
 
 
@@ -857,8 +861,8 @@ def condition_matched_mean(t: Tables) -> DataFrame:
     matched = H.last_n_means(t.outings, ["player", "is_home"], value, 5)
     anything = H.last_n_means(t.outings, ["player"], {"u": F.col("points")}, 20)
     out = t.outings.select("match_id", "player", "is_home", "period")
-    out = H.asof(out, matched, ["player", "is_home"], ["v"])
-    out = H.asof(out, anything, ["player"], ["u"])
+    out = H.asof(out, matched, ["player", "is_home"], ["v"], in_history=True)
+    out = H.asof(out, anything, ["player"], ["u"], in_history=True)
     return out.select("match_id", "player", F.round(F.coalesce("v", "u"), 6).alias("matched_mean"))
 
 

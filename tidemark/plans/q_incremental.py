@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import setops as S
-from tidemark.operators.standings import running_standings, snapshots
+from tidemark.operators.standings import period_standings, snapshots
 from tidemark.plans.registry import query
 from tidemark.plans.testbed import Tables, views
 from tidemark.sources import files as Fi
@@ -45,7 +45,7 @@ def batch_append(t: Tables) -> DataFrame:
 )
 def snapshot_append(t: Tables) -> DataFrame:
     """Snapshots up to the last period, then the last one appended."""
-    snaps = snapshots(running_standings(t.sides, t.divisions), t.season_length, ["w"]).select("team", "period", "w")
+    snaps = snapshots(period_standings(t.sides), t.season_length, ["w"]).select("team", "period", "w")
     # Written once: the stored part and the newest one come from the same table.
     path = Fi.scratch(t.spark, "snapshots")
     snaps.write.parquet(path)

@@ -58,7 +58,7 @@ snaps AS (SELECT snap.* FROM snap JOIN season_length USING (season) WHERE period
 
 @query("Q-11 SL-12 PF-17", _SNAP + " SELECT season, team, period, ratio, w::BIGINT AS w FROM snaps")
 def standing_snapshots(t: Tables) -> DataFrame:
-    return S.snapshots(S.running_standings(t.sides, t.divisions), t.season_length, ["ratio", "w"])
+    return S.snapshots(S.period_standings(t.sides), t.season_length, ["ratio", "w"])
 
 
 @query(
@@ -71,7 +71,7 @@ def standing_snapshots(t: Tables) -> DataFrame:
     SELECT match_id, h.ratio AS home_ratio, a.ratio AS away_ratio FROM matches m LEFT JOIN pk h ON h.team = home AND h.period = m.period LEFT JOIN pk a ON a.team = away AND a.period = m.period""",
 )
 def standings_on_spine(t: Tables) -> DataFrame:
-    snaps = S.snapshots(S.running_standings(t.sides, t.divisions), t.season_length, ["ratio", "w"])
+    snaps = S.snapshots(S.period_standings(t.sides), t.season_length, ["ratio", "w"])
     known = S.attach_snapshots(t.sides, snaps, t.season_length, ["ratio"])
     return attach_both(t.matches.select("match_id", "period", "home", "away"), known, ["ratio"]).select("match_id", "home_ratio", "away_ratio")
 

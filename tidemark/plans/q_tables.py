@@ -475,7 +475,7 @@ def primary_players(t: Tables) -> DataFrame:
 def primary_so_far(t: Tables) -> DataFrame:
     """Leader of the season so far among the period's players of a team and role."""
     keys = t.outings.select("player", "team", "position", "season", "period").distinct()
-    s = H.to_date(keys, t.outings, ["player", "season"], {"s": F.col("points")}).fillna(0, ["s"])
+    s = H.to_date(keys, t.outings, ["player", "season"], {"s": F.col("points")}, in_history=True).fillna(0, ["s"])
     lead = A.argmax_by(s, ["team", "position", "period"], "s", "player", "leader")
     return s.join(lead, ["team", "position", "period"]).select(
         "player", "team", "period", (F.col("player") == F.col("leader")).cast("int").alias("is_primary")
@@ -515,7 +515,7 @@ def lineup_ratings_by_role(t: Tables) -> DataFrame:
 def lineup_share_means_by_role(t: Tables) -> DataFrame:
     """Mean per role of the starters' own earlier means."""
     entries = t.starters.select("team", "period", "position", "player")
-    known = H.to_date(entries, t.outings, ["player"], {"s": F.col("share")}).withColumn("m", F.col("s") / F.col("n"))
+    known = H.to_date(entries, t.outings, ["player"], {"s": F.col("share")}, in_history=True).withColumn("m", F.col("s") / F.col("n"))
     out = L.by_role(known, ["team", "period"], "m", ROLE_NAMES, ("avg",))
     return out.select("team", "period", *[F.round(c, 9).alias(c) for c in out.columns[2:]])
 
@@ -529,7 +529,7 @@ def lineup_share_means_by_role(t: Tables) -> DataFrame:
 def lineup_experience_by_role(t: Tables) -> DataFrame:
     """As-of games played, averaged over the line-up by role."""
     entries = t.starters.select("team", "period", "position", "player")
-    known = H.to_date(entries, t.outings, ["player"], {}).fillna(0, ["n"])
+    known = H.to_date(entries, t.outings, ["player"], {}, in_history=True).fillna(0, ["n"])
     out = L.by_role(known, ["team", "period"], "n", ROLE_NAMES, ("avg",))
     return out.select("team", "period", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
