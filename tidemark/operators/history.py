@@ -225,9 +225,9 @@ def fill_with_mean(
         means = (over if over is not None else df).agg(*[F.avg(c).alias(c) for c in cols])
     row = means.select(F.struct(*cols).alias("m")).scalar()
     filled = [
-        F.coalesce(F.col(c), row.getField(c) * scale).alias(c) if c in cols else F.col(c) for c in df.columns
+        F.coalesce(F.col(c), F.col("_means").getField(c) * scale).alias(c) if c in cols else F.col(c) for c in df.columns
     ]
-    return df.select(*filled)
+    return df.withColumn("_means", row).select(*filled)
 
 
 def role_means(spine: DataFrame, by_team: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("period",)) -> DataFrame:

@@ -6,8 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators.scan import DenseRank, Rank, RowNumber, chunked_scan
+from tidemark.operators.scan import RowNumber, RunningSum, chunked_scan
+from tidemark.session import stored
+
+# Ties of one value are numbered in ranges of this many tiebreak ids.
+TIE_ROWS = 65536
 
 
 def log_bucket(value: Column, per_octave: int = 16) -> Column:
@@ -27,16 +32,34 @@ def ranked(
     base: int = 1,
     width: float | None = None,
 ) -> DataFrame:
-    """Rank of ``value`` inside ``group``.
+    """Rank of ``value`` inside ``group``; nulls stay unranked.
+
+    ``method``: ``row_number`` (ties broken by ``tiebreak``, unique integers),
+    ``rank`` (min rank) or ``dense_rank``.
 
-    ``method``: ``row_number`` (ties broken by ``tiebreak``), ``rank`` (min
-    rank) or ``dense_rank``.  A group is cut into value buckets of ``width``
-    (logarithmic by default) so that no task holds a whole hot group.
+    The group is first folded to one row per distinct value.  Values are cut
+    into buckets of ``width`` (logarithmic by default), so neither a hot group
+    nor a heavily tied value puts its rows into one task; ties are numbered
+    inside (group, value) by ranges of the tiebreak.
     """
-    spec = {"row_number": RowNumber, "rank": Rank, "dense_rank": DenseRank}[method](name)
+    if isinstance(df.schema[value].dataType, T.FloatType | T.DoubleType):
+        df = stored(df)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     bucket = log_bucket(F.col(value)) if width is None else F.floor(F.col(value) / width)
-    out = chunked_scan(df, group, bucket, [value, *tiebreak], [spec], descending)
-    return out if base == 1 else out.withColumn(name, F.col(name) + (base - 1))
+    spec = RowNumber("_at") if method == "dense_rank" else RunningSum("_at", "_n", inclusive=False)
+    places = chunked_scan(counts, group, bucket, [value], [spec], descending).drop("_n")
+    if method == "dense_rank":
+        rank = F.col("_at")
+    else:
+        rank = F.coalesce("_at", F.lit(0)) + (F.col("_tie") if method == "row_number" else 1)
+    if method == "row_number":
+        if tiebreak:
+            df = chunked_scan(df, [*group, value], F.floor(F.col(tiebreak[0]) / TIE_ROWS), tiebreak, [RowNumber("_tie")])
+        else:
+            raise ValueError("row_number needs a tiebreak")
+    out = df.join(places, [*group, value], "left")
+    rank = F.when(F.col(value).isNotNull(), rank + (base - 1))
+    return out.select(*[c for c in df.columns if c != "_tie"], rank.alias(name))
 
 
 def ranked_many(

@@ -1,4 +1,4 @@
-"""Ordered scans (lag, lead, fill, running sum, rank) that survive a hot group.
+"""Ordered scans (lag, lead, fill, running sum, row number) that survive a hot group.
 
 A window partitioned by the group alone puts the whole group into one task.
 Here each group is cut into *chunks*: a chunk is a coarse, monotone function
@@ -22,18 +22,6 @@ class RowNumber:
     name: str
 
 
-@dataclass(frozen=True)
-class Rank:
-    """Min rank; the chunk must be a function of the ordering value alone."""
-
-    name: str
-
-
-@dataclass(frozen=True)
-class DenseRank:
-    name: str
-
-
 @dataclass(frozen=True)
 class RunningSum:
     """Sum over earlier rows, and the row itself when ``inclusive``."""
@@ -69,7 +57,7 @@ class Fill:
     col: str
 
 
-Spec = RowNumber | Rank | DenseRank | RunningSum | RunningMax | Lag | Lead | Fill
+Spec = RowNumber | RunningSum | RunningMax | Lag | Lead | Fill
 
 
 def chunked_scan(
@@ -82,14 +70,12 @@ def chunked_scan(
 ) -> DataFrame:
     """Add the scan columns ``specs`` to ``df``.
 
-    ``order`` names the ordering columns, unique within a group for
-    everything but ranks.  ``descending`` turns the first ordering column
+    ``order`` names the ordering columns, unique within a group.  ``descending`` turns the first ordering column
     (and the chunks) round; the others always ascend.
     """
     by = list(by)
     lead_col = F.col(order[0]).desc() if descending else F.col(order[0]).asc()
     inner = Window.partitionBy(*by, "_chunk").orderBy(lead_col, *[F.col(c) for c in order[1:]])
-    value_only = Window.partitionBy(*by, "_chunk").orderBy(lead_col)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*by).orderBy(F.col("_chunk").desc() if descending else F.col("_chunk"))
@@ -111,16 +97,6 @@ def chunked_scan(
                 fold.append(F.count(F.lit(1)).alias(tot))
                 carry.append(F.sum(tot).over(earlier).alias(car))
                 result.append((F.col(loc) + F.coalesce(car, F.lit(0))).alias(s.name))
-            case Rank():
-                local.append(F.rank().over(value_only).cast("bigint").alias(loc))
-                fold.append(F.count(F.lit(1)).alias(tot))
-                carry.append(F.sum(tot).over(earlier).alias(car))
-                result.append((F.col(loc) + F.coalesce(car, F.lit(0))).alias(s.name))
-            case DenseRank():
-                local.append(F.dense_rank().over(value_only).cast("bigint").alias(loc))
-                fold.append(F.countDistinct(order[0]).alias(tot))
-                carry.append(F.sum(tot).over(earlier).alias(car))
-                result.append((F.col(loc) + F.coalesce(car, F.lit(0))).alias(s.name))
             case RunningSum():
                 local.append(F.sum(s.col).over(upto if s.inclusive else before).alias(loc))
                 fold.append(F.sum(s.col).alias(tot))

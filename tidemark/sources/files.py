@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 from tidemark.session import checkpoint_dir
 
 
+# Three-letter columns that are no team codes.
+PLAY_VALUE_COLUMNS = ("EPB", "EPA")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -57,7 +61,7 @@ def read_mapped(groups: Sequence[tuple[DataFrame, Mapping[str, str]]]) -> DataFr
 
 def normalise_header(columns: Sequence[str]) -> list[str]:
     """Lower-case names; the two three-letter team columns become away and home points."""
-    teams = [c for c in columns if re.fullmatch(r"[A-Z]{3}", c)]
+    teams = [c for c in columns if re.fullmatch(r"[A-Z]{3}", c) and c not in PLAY_VALUE_COLUMNS]
     if len(teams) != 2:
         raise ValueError(f"expected two team columns, found {teams}")
     renamed = {teams[0]: "away_points", teams[1]: "home_points"}
