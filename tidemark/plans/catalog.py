@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.plans import (  # noqa: F401
+    q_assemblies,
     q_history,
     q_incremental,
     q_models,
