@@ -34,7 +34,7 @@ def test_scalars(spark):
     got = one(
         spark, S.record_ratio(F.lit("10-5-1")), S.record_ratio(none), S.first_word_code(F.lit("Field North")), S.weather(w), S.weather(none),
         S.weather(F.lit("70 degrees")), S.clock_seconds(none), S.clock_seconds(F.lit("2:05")), S.kickoff_bucket(F.lit("8:20pm")), S.kickoff_bucket(F.lit("9:30am")),
-        S.percent_fraction(F.lit("45%")), P.period_of(F.lit("3 | 2011")), P.market_period(F.lit("23NFL05")), P.next_label(F.lit("4 | 2020"), F.lit(True)),
+        S.percent_fraction(F.lit("45%")), P.period_of(F.lit("3 | 2011")), P.market_period(F.lit("23WK05")), P.next_label(F.lit("4 | 2020"), F.lit(True)),
         S.project_volume(F.lit(50.0), F.lit(0.5)), S.event_code(F.lit(7)), S.event_points(F.lit("td|two")), S.event_points(F.lit("td|nex")),
     )
     assert list(got) == [0.6875, 0.0, 484, "65|40|8", "Dome", "70|65|0", 180, 125, 2, 0, 0.45, 201103, "5 | 2023", "1 | 2021", 100.0, "td|ex", 8, 6]

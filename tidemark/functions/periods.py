@@ -39,7 +39,7 @@ def file_safe(label: Column) -> Column:
 
 
 def market_period(code: Column) -> Column:
-    """Period label of a market code such as ``23NFL05`` (two-digit year, two-digit week)."""
+    """Period label of a market code such as ``23WK05`` (two-digit year, two-digit week)."""
     year = F.regexp_extract(code, r"^(\d{2})[A-Z]+\d{2}$", 1).try_cast("int") + 2000
     week = F.regexp_extract(code, r"^\d{2}[A-Z]+(\d{2})$", 1).try_cast("int")
     return period_label(year, week)

@@ -102,10 +102,15 @@ def carry_forward(
     season: str = "season",
     period: str = "period",
 ) -> DataFrame:
-    """Values on the full season grid; idle entities keep their last value."""
+    """Values on the full season grid; idle entities keep their last value.
+
+    The values (one row per entity and period) are stored first: the grid
+    reads them three times, and what lies behind them is computed once.
+    """
+    values = stored(values.select(season, *entity, period, *cols))
     w = Window.partitionBy(season, *entity).orderBy(period).rowsBetween(Window.unboundedPreceding, 0)
     grid = season_grid(values, entity, season, period)
-    return grid.join(values.select(season, *entity, period, *cols), [season, *entity, period], "left").select(
+    return grid.join(values, [season, *entity, period], "left").select(
         season, *entity, period, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in cols]
     )
 

@@ -23,7 +23,7 @@ from tidemark.plans.testbed import Tables, views
 )
 def period_labels(t: Tables) -> DataFrame:
     label = P.period_label(F.year("o_orderdate"), F.month("o_orderdate"))
-    code = F.concat(F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit("NFL"), F.lpad((F.col("o_orderkey") % 18 + 1).cast("string"), 2, "0"))
+    code = F.concat(F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit("WK"), F.lpad((F.col("o_orderkey") % 18 + 1).cast("string"), 2, "0"))
     return t.table("orders").select("o_orderkey", "o_orderdate", label.alias("label"), code.alias("code")).select(
         "o_orderkey", "label", P.period_of(F.col("label")).alias("period"),
         P.next_label(F.col("label"), P.week_of(F.col("label")) == 12).alias("next_label"),
