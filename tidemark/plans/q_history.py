@@ -195,7 +195,7 @@ def last_stats_flat(t: Tables) -> DataFrame:
       FROM (SELECT DISTINCT home AS team, away AS opp, period FROM matches) k
       JOIN sides s ON s.team = k.team AND s.opp = k.opp AND s.period < k.period),
     arr AS (SELECT kteam, kopp, kperiod, list(won ORDER BY rn) AS l FROM recent WHERE rn <= 5 GROUP BY ALL)
-    SELECT m.match_id, """ + ", ".join(f"coalesce(l[{i}], 0) AS met_{i}" for i in range(1, 6))
+    SELECT m.match_id, """ + ", ".join(f"coalesce(l[{i}], 0)::INT AS met_{i}" for i in range(1, 6))
     + " FROM matches m LEFT JOIN arr ON kteam = home AND kopp = away AND kperiod = period",
 )
 def head_to_head_results(t: Tables) -> DataFrame:

@@ -35,9 +35,9 @@ def period_labels(t: Tables) -> DataFrame:
 
 @query(
     "F-4 F-5 F-13 F-26",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 180 ELSE (o_orderkey % 16) * 60 + o_orderkey % 60 END AS seconds,
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 180 ELSE (o_orderkey % 16) * 60 + o_orderkey % 60 END::INT AS seconds,
       CASE WHEN o_orderkey % 12 + 1 IN (1, 12) OR o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 12 + 1 < 7 THEN 1 ELSE 2 END AS bucket,
-      month(o_orderdate) AS id_month, round((o_orderkey % 101) / 100.0, 6) AS fraction FROM orders""",
+      month(o_orderdate)::INT AS id_month, round((o_orderkey % 101) / 100.0, 6) AS fraction FROM orders""",
 )
 def clocks_and_percents(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")

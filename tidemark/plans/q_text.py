@@ -49,8 +49,8 @@ def person_names(t: Tables) -> DataFrame:
 
 @query(
     "T-1 T-2",
-    f"""SELECT conv_id, turn, len(list_distinct(regexp_extract_all(text, '({X.TEAM})', 1))) AS team_like,
-      len(list_distinct(list_filter(regexp_extract_all(text, '({X.KICKOFF_TEAM})', 1), lambda x: x NOT IN ('Team', 'Football')))) AS words FROM conversations""",
+    f"""SELECT conv_id, turn, len(list_distinct(regexp_extract_all(text, '({X.TEAM})', 1)))::INT AS team_like,
+      len(list_distinct(list_filter(regexp_extract_all(text, '({X.KICKOFF_TEAM})', 1), lambda x: x NOT IN ('Team', 'Football'))))::INT AS words FROM conversations""",
 )
 def team_names(t: Tables) -> DataFrame:
     """Candidate team names in free text."""
@@ -304,7 +304,7 @@ def token_counts(t: Tables) -> DataFrame:
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("T-20", P + r" SELECT match_id, num, length(detail) AS line_length, regexp_matches(detail, '\(.*kick')::INT AS kick_in_brackets FROM plays")
+@query("T-20", P + r" SELECT match_id, num, length(detail)::INT AS line_length, regexp_matches(detail, '\(.*kick')::INT AS kick_in_brackets FROM plays")
 def line_features(t: Tables) -> DataFrame:
     return t.plays.select("match_id", "num", F.length("detail").alias("line_length"), X.kick_in_parentheses(F.col("detail")).alias("kick_in_brackets"))
 
