@@ -11,7 +11,7 @@ from scripts.verify import canonical
 
 SF = "/root/testdata/sf0.001"
 # Period supersteps: one job per period; golden tests cover the rule.
-SLOW = {"team_ratings", "coach_ratings", "ratings_on_spine"}
+SLOW = {"team_ratings", "coach_ratings", "ratings_on_spine", "ratings_advanced"}
 # Joins of queries that are compared one by one.
 SLOW |= {"match_table", "match_full_table", "player_table", "season_table", "props_table"}
 

@@ -163,7 +163,7 @@ def test_rating_golden(spark):
 
 
 def test_ratings_resume_equals_full_run_and_coach_rule(spark):
-    m = matches(spark, [(1, 2000, 1, 200001, 1, 2, 27, 20, 1), (2, 2001, 1, 200101, 2, 1, 10, 3, 2), (3, 2001, 2, 200102, 1, 2, 9, 9, None)])
+    m = matches(spark, [(1, 2000, 1, 200001, 1, 2, 27, 20, 1), (4, 2000, 1, 200001, 3, 4, 7, 3, 3), (2, 2001, 1, 200101, 2, 1, 10, 3, 2), (3, 2001, 2, 200102, 1, 2, 9, 9, None)])
     full = {(r.team, r.period): r.rating for r in R.pair_ratings(m).collect()}
     stored = R.pair_ratings(m.filter("period < 200101"))
     again = {(r.team, r.period): r.rating for r in I.advance_ratings(stored, m).collect()}

@@ -84,6 +84,8 @@ def pair_ratings(
     teams = games.select(F.explode(F.array("home", "away")).alias("team")).distinct()
     first = teams.withColumn("rating", F.lit(START))
     if start is not None:
+        # Teams that sit out from here on keep their rating.
+        teams = teams.unionByName(start.select("team")).distinct()
         first = teams.join(start, "team", "left").select("team", F.coalesce("rating", F.lit(START)).alias("rating"))
     current = store(first, periods[0])
 

@@ -16,6 +16,7 @@ from tidemark.plans import q_history, q_scalars, q_state, q_tables, q_text  # no
 from tidemark.plans.q_state import _SEASON_RULE, _pair_sql, by_part_of_year
 from tidemark.plans.registry import REGISTRY, query
 from tidemark.plans.testbed import Tables, views
+from tidemark.streaming.incremental import advance_ratings
 
 MATCH_FEATURES = ["last_five_means", "rankings_on_spine", "betting_lines", "match_targets"]
 FULL_FEATURES = [
@@ -113,6 +114,14 @@ def ratings_on_spine(t: Tables) -> DataFrame:
     return attach_both(games.select("match_id", "period", "home", "away"), known, ["rating"]).select("match_id", "home_rating", "away_rating")
 
 
+@query("Q-3 ST-2", _YEARLY)
+def ratings_advanced(t: Tables) -> DataFrame:
+    """Ratings stored up to 1998, then advanced by the years they do not cover."""
+    games = by_part_of_year(t, 12)
+    known = R.pair_ratings(games.filter("season < 1999"))
+    return advance_ratings(known, games).withColumn("rating", F.round("rating", 4))
+
+
 def number_tagger(texts: pd.Series) -> pd.Series:
     """Sample tagger: numbers."""
     return texts.map(lambda s: [("NUMBER", m.start(), m.end()) for m in re.finditer(r"[0-9]+", s)])
