@@ -24,7 +24,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted((set(entry.oracle_sql()) & set(entry.REGISTRY)) - SLOW))
 def test_matches_sql(spark, con, name):
     got = entry.queries()[name](spark, SF).toPandas()
     want = con.execute(entry.oracle_sql()[name]).df()
@@ -37,4 +37,4 @@ def test_flagship(spark):
 
 
 def test_every_query_names_its_operators():
-    assert all(q.covers for q in entry.queries().values())
+    assert all(q.covers for q in entry.REGISTRY.values())

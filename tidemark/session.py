@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,17 +30,23 @@ def local_session(cpus: int | str = 8, app: str = "tidemark") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for reliable checkpoints.
+    """Folder for reliable checkpoints and stored frames.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; only a
-    session without one (tests on one machine) gets a temporary folder.
+    The cluster names a shared folder in ``spark.checkpoint.dir``.  Only a local
+    session without one gets a temporary folder, which goes when Python ends; on
+    a cluster every executor would write to its own disk, so there it is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc.getCheckpointDir()
-    if current:
+    if configured or current:
+        if not current:
+            sc.setCheckpointDir(configured)
         return configured or current
-    target = configured or tempfile.mkdtemp(prefix="tidemark-ckpt-")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    target = tempfile.mkdtemp(prefix="tidemark-ckpt-")
+    atexit.register(shutil.rmtree, target, ignore_errors=True)
     sc.setCheckpointDir(target)
     return target
 
