@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from math import exp
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ CLASSES = {
     "sign": lambda c: c in "#$%&*+<=>@\\^_`{}~[]",
 }
 _TABLES = {k: np.array([b < 128 and f(chr(b)) for b in range(256)]) for k, f in CLASSES.items()}
-OWN, NEAR = 12, 6
+OWN, NEAR = 14, 7
 #: Features of a line: its own, its neighbours', two edges, and a constant.
 WIDTH = OWN + 2 * NEAR + 3
 
@@ -57,7 +58,12 @@ def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, letters, words = np.maximum(size, 1), np.maximum(count["upper"] + count["lower"], 1), count["space"] + 1
     lines = b"\n".join(data).split(b"\n")
     seen: set[bytes] = set()
-    again = np.zeros(len(lines))
+    again, echo, variety = np.zeros(len(lines)), np.zeros(len(lines)), np.ones(len(lines))
+    for i, line in enumerate(lines):
+        w = line.split()
+        if len(w) > 1:
+            echo[i] = sum(map(eq, w, w[1:])) / (len(w) - 1)
+            variety[i] = len(set(w)) / len(w)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         seen.clear()
         for i in range(a, b):
@@ -78,11 +84,13 @@ def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             (count["pause"] == 0) * 1.0,
             again,
             (count["upper"] > 1 + words / 2) * 1.0,
+            echo * 3,
+            variety,
         ],
         axis=1,
     )
     own = np.minimum(own, 4)
-    near = own[:, [0, 1, 2, 3, 9, 10]]
+    near = own[:, [0, 1, 2, 3, 9, 10, 12]]
     before, after = np.zeros_like(near), np.zeros_like(near)
     before[1:], after[:-1] = near[:-1], near[1:]
     at_start, at_end = np.zeros((len(own), 1)), np.zeros((len(own), 1))

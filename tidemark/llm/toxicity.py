@@ -34,9 +34,11 @@ TERMS = {
 #: Lengths of word beginnings that are features.
 STEMS = (4, 5, 6)
 #: Labelled rows, features, and swapped sentences of a fit, at most.
-FIT_ROWS, FIT_FEATURES, FIT_SWAPS = 8_000, 20_000, 20_000
-#: Rows that a feature must occur in; weights of the two penalties.
-LEAST_ROWS, SHRINK, FAIR = 4, 2e-4, 1.0
+FIT_ROWS, FIT_FEATURES, FIT_SWAPS = 8_000, 5_000, 20_000
+#: Rows that a feature must occur in, standard errors that its rate must differ
+#: from the labels' by (swapped terms are always features), and the weights of
+#: the two penalties.
+LEAST_ROWS, LEAST_ERRORS, SHRINK, FAIR = 4, 5.0, 2e-5, 1.0
 #: Words whose features a worker remembers.
 MEMORY = 300_000
 
@@ -108,7 +110,8 @@ def fit_rows(
     share = (n1 + 1) / (n + 2)
     swapped = {x for a, b in pairs for x in a ^ b}
     z = {x: abs(pos[x] - c * share) / (c * share * (1 - share)) ** 0.5 for x, c in df.items() if c >= LEAST_ROWS}
-    names = sorted(z, key=lambda x: (x not in swapped, -z[x], x))[:FIT_FEATURES]
+    useful = (x for x in z if z[x] >= LEAST_ERRORS or x in swapped)
+    names = sorted(useful, key=lambda x: (x not in swapped, -z[x], x))[:FIT_FEATURES]
     at = {x: i for i, x in enumerate(names)}
     sets = [[at[x] for x in f if x in at] for f, _ in rows]
     col = np.array([i for s in sets for i in sorted(s)], dtype=np.int64)
