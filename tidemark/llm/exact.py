@@ -43,13 +43,16 @@ def exact_groups(
     # More than total / (HOT_SHARE * n) rows each: at most HOT_SHARE * n hashes.
     hot = [r.h for r in base.groupBy("h").count().filter(F.col("count") > least).select("h").collect()]
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
+    # The window's keys hold those of the ranges, so it needs no other shuffle; a
+    # constant salt would be dropped from the window's keys and is left out.
+    keys = ["prefix", "h", *(["salt"] if hot else [])]
     dealt = (
         base.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(F.lit(-1)))
         .withColumn("prefix", F.substring("text", 1, PREFIX))
-        .repartitionByRange(n, "prefix", "h", "salt")
+        .repartitionByRange(n, *keys)
     )
     order = F.col("doc_id").asc_nulls_last() if keep == "min" else F.col("doc_id").desc_nulls_last()
-    w = Window.partitionBy("prefix", "h", "salt", "text").orderBy(order)
+    w = Window.partitionBy(*keys, "text").orderBy(order)
     parts = dealt.select(
         "doc_id",
         "salt",
