@@ -145,18 +145,19 @@ def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         .agg(F.min_by("first", "k").alias("refers_to"), F.collect_set("k").alias("ks"))
         .select(F.col("page_id").alias("copy_id"), "refers_to", "ks")
     )
-    j = p.join(copies, F.col("page_id") == F.col("copy_id"), "left")
+    # Always by shuffle, so that the pages come out dealt by page_id for the writer.
+    j = p.join(copies.hint("merge"), F.col("page_id") == F.col("copy_id"), "left")
     # A repeated page_id with another payload is not a copy.
     same = F.array_contains("ks", F.sha2("html", 256))
     return j.select("page_id", "url", "html", F.when(same, F.col("refers_to")).alias("refers_to"))
 
 
-def write_monolithic(pages: DataFrame, folder: str, files: int | None = None) -> DataFrame:
+def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
     """Write pages (page_id, url, html, refers_to) as whole-file gzip archives.
 
-    Pages are dealt by page_id ranges and sorted; returns one row per file.
+    One file per partition of ``pages``, in order of page_id; returns one row per
+    file.
     """
-    n = files or shuffle_partitions(pages.sparkSession)
 
     def write(batches):
         out = z = None
@@ -174,8 +175,7 @@ def write_monolithic(pages: DataFrame, folder: str, files: int | None = None) ->
             path = f"{folder}/mono/part-{TaskContext.get().partitionId():06d}.warc.gz"
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [count]})
 
-    dealt = pages.repartitionByRange(n, F.col("page_id"), F.xxhash64("html")).sortWithinPartitions("page_id")
-    return dealt.mapInArrow(write, "path string, records long")
+    return pages.sortWithinPartitions("page_id").mapInArrow(write, "path string, records long")
 
 
 def normalise(files: DataFrame) -> DataFrame:
