@@ -1,11 +1,12 @@
 """SimHash near-duplicates by anchor-point covering.
 
 Fingerprints are compared at anchors.  The anchors are the words of a covering
-code on 46 of the 64 bits: two blocks of the perfect binary Golay code, whose
-covering radius is 3 in each block.  Every fingerprint has one home, its nearest
-anchor, and is replicated to every anchor within covering radius plus threshold:
-two fingerprints within the threshold meet at the home of either.  The codeword
-blocks share the threshold, so their excess distances add up to at most it.
+code on 61 of the 64 bits: two blocks of the perfect binary Golay code, covering
+radius 3, and one of the perfect Hamming code of length 15, covering radius 1,
+together 2**35 anchors.  Every fingerprint has one home, its nearest anchor, and
+is replicated to every anchor within covering radius plus threshold, some 150:
+two fingerprints within the threshold meet at the home of either.  The blocks
+share the threshold, so their excess distances add up to at most it.
 
 Anchors with few fingerprints compare all of them with those at home there.  At
 crowded anchors nothing is compared pairwise: two fingerprints differ in at most
@@ -17,7 +18,7 @@ same components with a number of links in proportion to the fingerprints.
 from __future__ import annotations
 
 from functools import cache
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from tidemark.llm.common import Scratch
 
 #: Words per shingle, hash seed, and bits that may differ.
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
-#: Generator polynomial of the [23, 12] Golay code (fixed value) and its radius.
-GOLAY, LENGTH, RADIUS = 0xC75, 23, 3
+#: Generator polynomial, length and covering radius of the [23, 12] Golay and the
+#: [15, 11] Hamming code (fixed values); their words side by side are the anchors.
+GOLAY, HAMMING = (0xC75, 23, 3), (0x13, 15, 1)
+BLOCKS = (GOLAY, GOLAY, HAMMING)
 #: An anchor with more fingerprints is crowded.
 CROWDED = 64
 #: Shingles whose bits are counted at a time.
@@ -66,31 +69,31 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def syndrome(x: np.ndarray) -> np.ndarray:
-    """Remainder of 23-bit words by the generator polynomial."""
-    s = x.astype(np.uint32)
-    for bit in range(LENGTH - 1, LENGTH - 13, -1):
-        s = np.where(s >> bit & 1, s ^ np.uint32(GOLAY << (bit - 11)), s)
+def syndrome(x: np.ndarray, generator: int, length: int) -> np.ndarray:
+    """Remainder of words of ``length`` bits by the generator polynomial."""
+    s, degree = x.astype(np.uint32), generator.bit_length() - 1
+    for bit in range(length - 1, degree - 1, -1):
+        s = np.where(s >> bit & 1, s ^ np.uint32(generator << (bit - degree)), s)
     return s
 
 
 @cache
-def cosets() -> list[np.ndarray]:
+def cosets(generator: int, length: int, radius: int) -> list[np.ndarray]:
     """Error patterns by syndrome, one table per excess distance 0, 1, 2.
 
-    Table e holds, for each of the 2,048 syndromes, all patterns of weight up to
-    the radius (e = 0: exactly one, the code is perfect) or of weight radius + e;
-    rows are filled up with -1.
+    Table e holds, for each syndrome, all patterns of weight up to the radius
+    (e = 0: exactly one, the code is perfect) or of weight radius + e; rows are
+    filled up with -1.
     """
     out = []
     for e in range(THRESHOLD + 1):
-        weights = range(RADIUS + 1) if e == 0 else [RADIUS + e]
-        pats = np.array([sum(1 << i for i in c) for w in weights for c in combinations(range(LENGTH), w)], dtype=np.int64)
-        s = syndrome(pats).astype(np.int64)
+        weights = range(radius + 1) if e == 0 else [radius + e]
+        pats = np.array([sum(1 << i for i in c) for w in weights for c in combinations(range(length), w)], dtype=np.int64)
+        s = syndrome(pats, generator, length).astype(np.int64)
         order = np.argsort(s, kind="stable")
         s, pats = s[order], pats[order]
-        count = np.bincount(s, minlength=1 << 11)
-        table = np.full((1 << 11, count.max()), -1, dtype=np.int64)
+        count = np.bincount(s, minlength=1 << (generator.bit_length() - 1))
+        table = np.full((len(count), count.max()), -1, dtype=np.int64)
         table[s, np.arange(len(s)) - np.repeat(np.cumsum(count) - count, count)] = pats
         out.append(table)
     return out
@@ -98,19 +101,25 @@ def cosets() -> list[np.ndarray]:
 
 def anchors_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the fingerprint, anchor, is home) for all anchors that cover it."""
-    x = fp.view(np.uint64)
-    mask = np.uint64((1 << LENGTH) - 1)
-    blocks = [(x & mask).astype(np.int64), (x >> np.uint64(LENGTH) & mask).astype(np.int64)]
-    near = [[(np.where(t[s] < 0, -1, b[:, None] ^ t[s])) for t in cosets()] for b in blocks for s in [syndrome(b)]]
+    x, at, near = fp.view(np.uint64), 0, []
+    for code in BLOCKS:
+        part = (x >> np.uint64(at) & np.uint64((1 << code[1]) - 1)).astype(np.int64)
+        s = syndrome(part, code[0], code[1])
+        words = [np.where(t[s] < 0, -1, (part[:, None] ^ t[s]) << at) for t in cosets(*code)]
+        near.append(words)
+        at += code[1]
     index, anchors, home = [], [], []
-    for a in range(THRESHOLD + 1):
-        for b in range(THRESHOLD + 1 - a):
-            one, two = near[0][a][:, :, None], near[1][b][:, None, :]
-            key = np.where((one < 0) | (two < 0), -1, one << LENGTH | two).reshape(len(fp), -1)
-            i, j = np.nonzero(key >= 0)
-            index.append(i)
-            anchors.append(key[i, j])
-            home.append(np.full(len(i), a == b == 0))
+    for excess in product(range(THRESHOLD + 1), repeat=len(BLOCKS)):
+        if sum(excess) > THRESHOLD:
+            continue
+        key = np.zeros((len(fp), 1), dtype=np.int64)
+        for words, e in zip(near, excess):
+            one, two = key[:, :, None], words[e][:, None, :]
+            key = np.where((one < 0) | (two < 0), -1, one | two).reshape(len(fp), -1)
+        i, j = np.nonzero(key >= 0)
+        index.append(i)
+        anchors.append(key[i, j])
+        home.append(np.full(len(i), not any(excess)))
     return np.concatenate(index), np.concatenate(anchors), np.concatenate(home)
 
 
@@ -134,7 +143,8 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     post = covered(fps)
     homes = covered(fps).filter("home").select("anchor").distinct()
     # Only anchors that are some fingerprint's home can bring a pair together.
-    cand = scratch.put(post.join(homes, "anchor"))
+    # Always by shuffle: both sides grow with the fingerprints.
+    cand = scratch.put(post.join(homes.hint("merge"), "anchor"))
     crowd = cand.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     at = cand.join(crowd, "anchor")
     few = at.filter(F.col("n") <= CROWDED).select("anchor", "fp", "home")
