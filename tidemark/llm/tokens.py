@@ -38,9 +38,8 @@ CHECKSUMS = 0x80
 #: Plain bytes after which a frame is closed.
 FRAME_BYTES = 1 << 20
 #: Distinct words remembered by a worker; then it starts afresh.
-MEMORY = 400_000
+MEMORY = 1_000_000
 
-_SPLIT = re.compile(r"[ \t\n\r\f\v]+")
 # Words of these characters only fall apart in the same places for any tokenizer
 # pattern of letter runs, single digits and runs of other signs; an apostrophe or
 # a special token's "<" could join them, and a mark could compose.
@@ -59,7 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
+        self.words: dict[bytes, bytes] = {}  # by UTF-8 bytes
         self.pieces: dict[str, bytes] = {}
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -68,10 +67,11 @@ class Encoder:
     def raw(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Encode words that are not yet known, many in one call."""
-        split = {w: [p.lower() for p in _PIECE.findall(w)] for w in words if _PLAIN.fullmatch(w)}
-        new = list({p for ps in split.values() for p in ps} - self.pieces.keys())
+        texts = {w: w.decode() for w in words}
+        split = {w: [p.lower() for p in _PIECE.findall(t)] for w, t in texts.items() if _PLAIN.fullmatch(t)}
+        new = list({p for ps in split.values() for p in ps if p not in self.pieces})
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
@@ -86,16 +86,17 @@ class Encoder:
                     self.pieces[p] = self.raw(p)
         get = self.pieces.__getitem__
         for w in words:
-            self.words[w] = b"".join(map(get, split[w])) if w in split else self.raw(w)
+            self.words[w] = b"".join(map(get, split[w])) if w in split else self.raw(texts[w])
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Packed ids of each text, with the end id."""
         if len(self.words) > MEMORY:
-            self.words = {"": b""}
+            self.words = {}
         if len(self.pieces) > MEMORY:
             self.pieces = {}
-        parts = [_SPLIT.split(t) for t in texts]
-        self.learn(set().union(*parts) - self.words.keys())
+        parts = [t.encode().split() for t in texts]  # at ASCII white space only
+        known = self.words
+        self.learn([w for w in set().union(*parts) if w not in known])
         get, tail = self.words.__getitem__, struct.pack("<I", end_id)
         return [b"".join(map(get, p)) + tail for p in parts]
 
