@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, shuffle_partitions
+from tidemark.llm.common import WORD, Scratch, shuffle_partitions
 
 #: Words of a block on average; a source has at least one block.
 BLOCK_WORDS = 20_000
@@ -85,8 +85,23 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -
     return int(rng.hypergeometric(good, bad, sample))
 
 
+def sized(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """A short row per document, so that texts are read and counted once:
+    doc_id, source, size, row_key, same (numbers full repeats).
+
+    Written to the shared folder; it has some 40 bytes per document."""
+    rows = docs.select(
+        "doc_id",
+        "source",
+        words(F.col("text")).alias("size"),
+        F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"), "source").alias("row_key"),
+    )
+    numbered = F.row_number().over(Window.partitionBy("row_key", "doc_id").orderBy("size"))
+    return Scratch(docs.sparkSession, "mixing").put(rows.withColumn("same", numbered))
+
+
 def mix(
-    docs: DataFrame,
+    d: DataFrame,
     weights: tuple[int, ...] = (1, 2, 3),
     shards: int | None = None,
     seed: int = 17,
@@ -97,17 +112,16 @@ def mix(
     draws: one row per document and copy taken: doc_id, row_key, source, copy,
     words (less than the document's for one cut document per source), shard,
     position (order within the shard).  sources: source, source_size, target,
-    taken.  ``docs`` needs doc_id, text, source; other columns are not read.
+    taken.  ``d`` is the result of :func:`sized` with the same seed.
 
-    A null text has no words and is never taken; null sources are one source,
-    last in order.  Rows are told apart by (doc_id, hash of the text,
+    A null text (size 0) is never taken; null sources are one source, last in
+    order.  Rows are told apart by (doc_id, hash of the text,
     source); full repeats share a row_key and are numbered.  An empty table gives no rows.
     Every step groups by source and block, never by source alone, so a source
     with a third of all rows is spread over its blocks.
     """
-    spark = docs.sparkSession
+    spark = d.sparkSession
     shards = shards or shuffle_partitions(spark)
-    d = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     by_source = d.groupBy("source").agg(F.sum("size").alias("size"))
     totals = by_source.limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
@@ -132,7 +146,6 @@ def mix(
         .withColumnRenamed("source", "s")
         .join(F.broadcast(plan), F.col("s").eqNullSafe(F.col("source")))
         .drop("s")
-        .withColumn("row_key", F.xxhash64(F.lit(seed), "doc_id", "text_hash", "source"))
         .withColumn("block", F.pmod(F.col("row_key"), F.col("blocks")))
     )
     blocks = placed.groupBy("sid", "block").agg(F.sum("size").alias("own"))
@@ -169,12 +182,11 @@ def mix(
     cuts = spark.createDataFrame(
         [(s, counts[s][0], ends[:, i].tolist()) for i, s in enumerate(sids)], "sid int, n long, ends array<long>"
     )
-    inner = Window.partitionBy("sid", "block").orderBy("row_key", "doc_id")
+    inner = Window.partitionBy("sid", "block").orderBy("row_key", "doc_id", "same")
     drawn = (
         placed.join(blocks, ["sid", "block"])
         .withColumn("before", F.col("before") + F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .withColumn("part", F.least("size", F.greatest(F.lit(0), F.col("rest") - F.col("before"))))
-        .withColumn("same", F.row_number().over(Window.partitionBy("sid", "block", "row_key", "doc_id").orderBy("size")))
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes"))))
         .withColumn("words", F.when(F.col("copy") < F.col("passes"), F.col("size")).otherwise(F.col("part")))
         .filter("words > 0")
@@ -201,7 +213,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     spark = docs.sparkSession
     shards = how.pop("shards", None) or shuffle_partitions(spark)
     seed = how.get("seed", 17)
-    draws, _ = mix(docs, shards=shards, **how)
+    draws, _ = mix(sized(docs, seed), shards=shards, **how)
     columns = docs.columns
     keyed = docs.withColumns(
         {"_key": F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"), "source"), "_n": F.lit(1)}
@@ -221,17 +233,14 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
 def taken_per_document(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
     """Every row of ``docs``: doc_id, size, source_size, target, taken."""
-    draws, sources = mix(docs, seed=seed, **how)
-    rows = docs.select(
-        "doc_id",
-        "source",
-        words(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"), "source").alias("row_key"),
-    ).withColumn("same", F.row_number().over(Window.partitionBy("row_key", "doc_id").orderBy("size")))
-    sums = draws.groupBy("row_key", "same").agg(F.sum("words").alias("words"))
+    rows = sized(docs, seed)
+    draws, sources = mix(rows, seed=seed, **how)
+    sums = draws.groupBy("row_key", "same", F.col("doc_id").alias("id")).agg(F.sum("words").alias("words"))
+    sums = sums.withColumnsRenamed({"row_key": "key", "same": "number"})
+    own = (F.col("row_key") == F.col("key")) & (F.col("same") == F.col("number")) & F.col("doc_id").eqNullSafe(F.col("id"))
     named = sources.withColumnRenamed("source", "s")
     return (
-        rows.join(sums, ["row_key", "same"], "left")
+        rows.join(sums, own, "left")
         .join(F.broadcast(named), F.col("source").eqNullSafe(F.col("s")))  # bounded by MOST_SOURCES
         .select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"))
     )
