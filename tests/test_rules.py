@@ -153,10 +153,14 @@ def matches(spark, data):
 
 
 def test_rating_golden(spark):
-    m = matches(spark, [(1, 2000, 1, 200001, 1, 2, 27, 20, 1), (2, 2000, 2, 200002, 1, 3, 17, 20, 3)])
+    data = [(1, 2000, 1, 200001, 1, 2, 27, 20, 1), (2, 2000, 2, 200002, 1, 3, 17, 20, 3)]
+    last = {(r.team, r.period): r.rating for r in R.pair_ratings(matches(spark, data)).collect()}
+    # After the last period the season may go on: no pull yet.
+    assert last[1, 200003] == pytest.approx(1502.725083, abs=1e-5) and last[3, 200003] == pytest.approx(1505.687682, abs=1e-5)
+    m = matches(spark, [*data, (3, 2001, 1, 200101, 1, 2, 7, 3, 1)])
     got = {(r.team, r.period): r.rating for r in R.pair_ratings(m).collect()}
     assert got[1, 200001] == 1500 and got[1, 200002] == pytest.approx(1508.412765, abs=1e-5) and got[2, 200002] == pytest.approx(1491.587235, abs=1e-5)
-    # After the last period the season changes.
+    # A new season's first match finds the pulled ratings.
     assert got[2, 200101] == pytest.approx(1494.940427, abs=1e-5)
     assert got[1, 200101] == pytest.approx(0.75 * 1502.725083 + 0.25 * 1505, abs=1e-5)
     assert got[3, 200101] == pytest.approx(0.75 * 1505.687682 + 0.25 * 1505, abs=1e-5)
@@ -168,8 +172,15 @@ def test_ratings_resume_equals_full_run_and_coach_rule(spark):
     stored = R.pair_ratings(m.filter("period < 200101"))
     again = {(r.team, r.period): r.rating for r in I.advance_ratings(stored, m).collect()}
     assert again.keys() == full.keys() and all(math.isclose(again[k], full[k], abs_tol=1e-9) for k in full)
+    # A state that ends inside a season, and one with nothing new.
+    early = R.pair_ratings(m.filter("period < 200102"))
+    again = {(r.team, r.period): r.rating for r in I.advance_ratings(early, m).collect()}
+    assert again.keys() == full.keys() and all(math.isclose(again[k], full[k], abs_tol=1e-9) for k in full)
+    late = R.pair_ratings(m)
+    assert sorted(map(tuple, I.advance_ratings(late, m).collect())) == sorted(map(tuple, late.collect()))
+    assert R.pair_ratings(m.limit(0)).count() == 0
     holders = spark.createDataFrame([(1, 2001, 1), (2, 2001, 0)], "team long, season long, new_holder int")
-    coach = {(r.team, r.period): r.rating for r in R.pair_ratings(m.filter("period < 200102"), holders=holders).collect()}
+    coach = {(r.team, r.period): r.rating for r in R.pair_ratings(m, holders=holders).collect()}
     assert coach[1, 200101] == 1500 and coach[2, 200101] == pytest.approx(1491.587235, abs=1e-5)
 
 

@@ -45,7 +45,7 @@ def pair_ratings(
     matches: DataFrame,
     start: DataFrame | None = None,
     holders: DataFrame | None = None,
-    first_period: int | None = None,
+    start_season: int | None = None,
 ) -> DataFrame:
     """Ratings *going into* each period for every team, and after the last one.
 
@@ -57,40 +57,51 @@ def pair_ratings(
     period first, so a superstep reads its own slice only.  Several matches of
     a team in one period all see the rating before the period.
 
-    ``start`` (team, rating) resumes a stored state from ``first_period`` on;
-    ``holders`` (team, season, new_holder) switches the season rule for
-    coaches.  The calendar is the only thing collected: one row per period.
+    The state after the last period is labelled as the next period of the same
+    season.  The season rule is applied when the first period of a new season
+    comes up, so a state that ends inside or at the end of a season can be
+    resumed alike: ``start`` (team, rating) is the state to begin with and
+    ``start_season`` the season it belongs to.  ``holders`` (team, season,
+    new_holder) switches the season rule for coaches.  The calendar is the only
+    thing collected: one row per period.  Without matches the result is empty.
     """
     spark = matches.sparkSession
     base = f"{checkpoint_dir(spark)}/pair-ratings-{uuid.uuid4().hex}"
     cols = ["home", "away", "home_points", "away_points", "winner"]
+    calendar = [tuple(r) for r in matches.select("period", "season").distinct().orderBy("period").collect()]
+    if not calendar:
+        return spark.createDataFrame([], "team bigint, period bigint, rating double")
     laid_out = matches.select("season", "period", *cols)
     laid_out.repartitionByRange("period", "home").write.partitionBy("period").parquet(f"{base}/matches")
     games = spark.read.parquet(f"{base}/matches")
-    calendar = [tuple(r) for r in games.select("period", "season").distinct().orderBy("period").collect()]
-    if first_period is not None:
-        calendar = [c for c in calendar if c[0] >= first_period]
-    if not calendar:
-        raise ValueError("no period to rate")
     game_schema = games.select("season", *cols).schema
-    last = (calendar[-1][1] + 1) * 100 + 1
-    periods = [c[0] for c in calendar] + [last]
+    periods = [c[0] for c in calendar] + [calendar[-1][0] + 1]
 
     def store(ratings: DataFrame, period: int) -> DataFrame:
         path = f"{base}/ratings/period={period}"
         ratings.select("team", "rating").write.parquet(path)
         return spark.read.schema("team bigint, rating double").parquet(path)
 
+    def new_season(ratings: DataFrame, season: int) -> DataFrame:
+        """The season rule, as ``season`` begins."""
+        if holders is None:
+            return ratings.select("team", season_start(F.col("rating")).alias("rating"))
+        new = holders.filter(F.col("season") == season).select("team", "new_holder")
+        fresh = F.coalesce(F.col("new_holder") == 1, F.lit(False))
+        return ratings.join(new, "team", "left").select("team", season_start(F.col("rating"), fresh).alias("rating"))
+
     teams = games.select(F.explode(F.array("home", "away")).alias("team")).distinct()
     first = teams.withColumn("rating", F.lit(START))
     if start is not None:
         # Teams that sit out from here on keep their rating.
         teams = teams.unionByName(start.select("team")).distinct()
         first = teams.join(start, "team", "left").select("team", F.coalesce("rating", F.lit(START)).alias("rating"))
+        if start_season is not None and start_season != calendar[0][1]:
+            first = new_season(first, calendar[0][1])
     current = store(first, periods[0])
 
     for i, (period, season) in enumerate(calendar):
-        after_season = calendar[i + 1][1] if i + 1 < len(calendar) else season + 1
+        after_season = calendar[i + 1][1] if i + 1 < len(calendar) else season
         played = spark.read.schema(game_schema).parquet(f"{base}/matches/period={period}")
         both = played.join(current.select(F.col("team").alias("home"), F.col("rating").alias("hr")), "home").join(
             current.select(F.col("team").alias("away"), F.col("rating").alias("ar")), "away"
@@ -105,13 +116,7 @@ def pair_ratings(
         # Old rating plus all changes is one sum per team.
         updated = current.unionByName(moves).groupBy("team").agg(F.sum("rating").alias("rating"))
         if after_season != season:
-            if holders is None:
-                updated = updated.select("team", season_start(F.col("rating")).alias("rating"))
-            else:
-                new = holders.filter(F.col("season") == after_season).select("team", "new_holder")
-                updated = updated.join(new, "team", "left").select(
-                    "team", season_start(F.col("rating"), F.coalesce(F.col("new_holder") == 1, F.lit(False))).alias("rating")
-                )
+            updated = new_season(updated, after_season)
         current = store(updated, periods[i + 1])
     return spark.read.schema("team bigint, rating double, period bigint").parquet(f"{base}/ratings").select("team", "period", "rating")
 

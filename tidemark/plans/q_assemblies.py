@@ -13,7 +13,7 @@ from tidemark.operators import ratings as R
 from tidemark.operators.assemble import assemble, feature, tag
 from tidemark.operators.sides import attach_both
 from tidemark.plans import q_history, q_scalars, q_state, q_tables, q_text  # noqa: F401
-from tidemark.plans.q_state import _SEASON_RULE, _pair_sql, by_part_of_year
+from tidemark.plans.q_state import _SEASON_RULE, _pair_sql
 from tidemark.plans.registry import REGISTRY, query
 from tidemark.plans.testbed import Tables, views
 from tidemark.streaming.incremental import advance_ratings
@@ -97,29 +97,28 @@ def props_table(t: Tables) -> DataFrame:
     return q_tables.markets_wide(t).join(q_history.earlier_season_sums(t), ["player", "season"])
 
 
-_YEARLY = _pair_sql(12, _SEASON_RULE)
+_RATED = _pair_sql(_SEASON_RULE)
 
 
 @query(
     "Q-2 J-4 J-7",
-    f"""SELECT m.match_id, h.rating AS home_rating, a.rating AS away_rating FROM ({views('matches')} SELECT match_id, season, home, away FROM matches) m
-    JOIN ({_YEARLY}) h ON h.team = m.home AND h.period = m.season * 100 + 1 JOIN ({_YEARLY}) a ON a.team = m.away AND a.period = m.season * 100 + 1""",
+    f"""SELECT m.match_id, h.rating AS home_rating, a.rating AS away_rating FROM ({views('matches')} SELECT match_id, period, home, away FROM matches) m
+    JOIN ({_RATED}) h ON h.team = m.home AND h.period = m.period JOIN ({_RATED}) a ON a.team = m.away AND a.period = m.period""",
 )
 def ratings_on_spine(t: Tables) -> DataFrame:
-    """Both sides' rating going into the year, the last known one where a team was idle."""
-    games = by_part_of_year(t, 12)
+    """Both sides' rating going into the period, the last known one where a team was idle."""
+    games = t.matches
     ratings = R.pair_ratings(games)
     keys = games.select("period", F.explode(F.array("home", "away")).alias("team"))
     known = H.resolve(keys, ratings, ["team"], ["rating"], strict=False).withColumn("rating", F.round("rating", 4))
     return attach_both(games.select("match_id", "period", "home", "away"), known, ["rating"]).select("match_id", "home_rating", "away_rating")
 
 
-@query("Q-3 ST-2", _YEARLY)
+@query("Q-3 ST-2", _RATED)
 def ratings_advanced(t: Tables) -> DataFrame:
-    """Ratings stored up to 1998, then advanced by the years they do not cover."""
-    games = by_part_of_year(t, 12)
-    known = R.pair_ratings(games.filter("season < 1999"))
-    return advance_ratings(known, games).withColumn("rating", F.round("rating", 4))
+    """Ratings stored up to a period inside a season, then advanced by the others."""
+    known = R.pair_ratings(t.matches.filter("period < 199706"))
+    return advance_ratings(known, t.matches).withColumn("rating", F.round("rating", 4))
 
 
 def number_tagger(texts: pd.Series) -> pd.Series:

@@ -296,17 +296,18 @@ def match_attributes(t: Tables) -> DataFrame:
     "F-25 H-13",
     """WITH q AS (SELECT l_orderkey, l_linenumber, l_shipdate, CAST(l_quantity AS BIGINT) AS pts FROM lineitem WHERE l_linenumber <= 7),
     a AS (SELECT l_orderkey, [CAST(coalesce(sum(pts) FILTER (l_linenumber = 1), 0) AS BIGINT), coalesce(sum(pts) FILTER (l_linenumber = 2), 0), coalesce(sum(pts) FILTER (l_linenumber = 3), 0), coalesce(sum(pts) FILTER (l_linenumber = 4), 0)] AS base,
-       sum(pts) FILTER (l_linenumber = 5) AS p5, sum(pts) FILTER (l_linenumber = 6) AS p6 FROM q GROUP BY 1)
-    SELECT l_orderkey, base[1]::BIGINT AS q1, base[2]::BIGINT AS q2, base[3]::BIGINT AS q3, base[4]::BIGINT AS q4, coalesce(p6, p5, 0)::BIGINT AS ot FROM a""",
+       sum(pts) FILTER (l_linenumber = 5) AS p5, sum(pts) FILTER (l_linenumber = 6) AS p6, sum(pts) FILTER (l_linenumber = 7) AS p7 FROM q GROUP BY 1)
+    SELECT l_orderkey, base[1]::BIGINT AS q1, base[2]::BIGINT AS q2, base[3]::BIGINT AS q3, base[4]::BIGINT AS q4, coalesce(p7, p6, p5, 0)::BIGINT AS ot FROM a""",
 )
 def quarter_scores(t: Tables) -> DataFrame:
-    """Score lists of four to six parts normalised to four quarters and overtime."""
+    """Score lists of four to seven parts normalised to four quarters and the last overtime."""
     q = F.col("l_quantity").cast("bigint")
-    parts = [F.sum(F.when(F.col("l_linenumber") == i, q)).alias(f"p{i}") for i in range(1, 7)]
+    parts = [F.sum(F.when(F.col("l_linenumber") == i, q)).alias(f"p{i}") for i in range(1, 8)]
     s = t.table("lineitem").groupBy("l_orderkey").agg(*parts)
     base = [F.coalesce(f"p{i}", F.lit(0)) for i in range(1, 5)]
     raw = (
-        F.when(F.col("p6").isNotNull(), F.array(*base, F.coalesce("p5", F.lit(0)), F.col("p6")))
+        F.when(F.col("p7").isNotNull(), F.array(*base, F.coalesce("p5", F.lit(0)), F.coalesce("p6", F.lit(0)), F.col("p7")))
+        .when(F.col("p6").isNotNull(), F.array(*base, F.coalesce("p5", F.lit(0)), F.col("p6")))
         .when(F.col("p5").isNotNull(), F.array(*base, F.col("p5")))
         .otherwise(F.array(*base))
     )

@@ -76,16 +76,9 @@ def standings_on_spine(t: Tables) -> DataFrame:
     return attach_both(t.matches.select("match_id", "period", "home", "away"), known, ["ratio"]).select("match_id", "home_ratio", "away_ratio")
 
 
-
-def by_part_of_year(t: Tables, months: int) -> DataFrame:
-    """Matches on a calendar of quarters or half-years; every match stays in."""
-    part = F.floor((F.col("week") - 1) / months) + 1
-    return t.matches.withColumn("period", F.col("season") * 100 + part)
-
-
-def _pair_sql(months: int, season_rule: str, holders: str = "", holder_join: str = "") -> str:
-    base = views("matches").replace("WITH ", "WITH RECURSIVE ", 1).replace("matches AS MATERIALIZED", "monthly AS MATERIALIZED", 1)
-    return base + f""", matches AS MATERIALIZED (SELECT * REPLACE (season * 100 + (week - 1) // {months} + 1 AS period) FROM monthly), cal AS MATERIALIZED (SELECT period, season, row_number() OVER (ORDER BY period) AS i, coalesce(lead(season) OVER (ORDER BY period), season + 1) AS after FROM (SELECT DISTINCT period, season FROM matches)),
+def _pair_sql(season_rule: str, holders: str = "", holder_join: str = "") -> str:
+    base = views("matches").replace("WITH ", "WITH RECURSIVE ", 1)
+    return base + f""", cal AS MATERIALIZED (SELECT period, season, row_number() OVER (ORDER BY period) AS i, coalesce(lead(season) OVER (ORDER BY period), season) AS after FROM (SELECT DISTINCT period, season FROM matches)),
     g AS MATERIALIZED (SELECT i, cal.season, after, home, away, home_points, away_points, winner FROM matches JOIN cal USING (period)){holders},
     r AS (SELECT team, 1::BIGINT AS i, 1500.0::DOUBLE AS rating FROM (SELECT home AS team FROM matches UNION SELECT away FROM matches)
       UNION ALL
@@ -98,16 +91,16 @@ def _pair_sql(months: int, season_rule: str, holders: str = "", holder_join: str
             SELECT g.i, g.away, 20 * pow(abs(home_points - away_points) + 3, 0.8) / (7.5 + 0.006 * abs(h.rating - a.rating)) * (coalesce(winner = g.away, false)::INT - 1 / (1 + pow(10, (h.rating - a.rating) / 400)))
               FROM g JOIN r h ON h.team = g.home AND h.i = g.i JOIN r a ON a.team = g.away AND a.i = g.i) GROUP BY team, i) mv ON mv.team = c.team AND mv.i = c.i
         GROUP BY c.team, c.i, c.rating) x JOIN cal ON cal.i = x.i {holder_join})
-    SELECT r.team, coalesce(cal.period, ((SELECT max(season) FROM cal) + 1) * 100 + 1)::BIGINT AS period, round(r.rating, 4) AS rating FROM r LEFT JOIN cal USING (i)"""
+    SELECT r.team, coalesce(cal.period, (SELECT max(period) FROM cal) + 1)::BIGINT AS period, round(r.rating, 4) AS rating FROM r LEFT JOIN cal USING (i)"""
 
 
 _SEASON_RULE = "CASE WHEN cal.after <> cal.season AND x.nr <> 1500 THEN 0.75 * x.nr + 0.25 * 1505 ELSE x.nr END"
 
 
-@query("Q-1 Q-3 ST-2", _pair_sql(3, _SEASON_RULE))
+@query("Q-1 Q-3 ST-2", _pair_sql(_SEASON_RULE))
 def team_ratings(t: Tables) -> DataFrame:
-    """Ratings going into each quarter, by period supersteps."""
-    return R.pair_ratings(by_part_of_year(t, 3)).withColumn("rating", F.round("rating", 4))
+    """Ratings going into each period, by period supersteps."""
+    return R.pair_ratings(t.matches).withColumn("rating", F.round("rating", 4))
 
 
 _HOLDERS = """, hold AS MATERIALIZED (SELECT team, season, (s % 3 = 0)::INT AS fresh FROM (SELECT team, season, season + team AS s FROM (SELECT DISTINCT home AS team FROM matches), (SELECT DISTINCT season + 1 AS season FROM matches)))"""
@@ -116,7 +109,7 @@ _HOLDERS = """, hold AS MATERIALIZED (SELECT team, season, (s % 3 = 0)::INT AS f
 @query(
     "Q-4 J-9",
     _pair_sql(
-        6, "CASE WHEN cal.after <> cal.season AND hold.fresh = 1 THEN 1500 ELSE x.nr END", _HOLDERS, "LEFT JOIN hold ON hold.team = x.team AND hold.season = cal.after"
+        "CASE WHEN cal.after <> cal.season AND hold.fresh = 1 THEN 1500 ELSE x.nr END", _HOLDERS, "LEFT JOIN hold ON hold.team = x.team AND hold.season = cal.after"
     ),
 )
 def coach_ratings(t: Tables) -> DataFrame:
@@ -126,7 +119,7 @@ def coach_ratings(t: Tables) -> DataFrame:
     holders = teams.select("team", F.explode(seasons.scalar()).alias("season")).withColumn(
         "new_holder", ((F.col("season") + F.col("team")) % 3 == 0).cast("int")
     )
-    return R.pair_ratings(by_part_of_year(t, 6), holders=holders).withColumn("rating", F.round("rating", 4))
+    return R.pair_ratings(t.matches, holders=holders).withColumn("rating", F.round("rating", 4))
 
 
 # Fixed grades: mean points per player and period.

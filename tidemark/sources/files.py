@@ -77,8 +77,8 @@ def read_sheet(spark: SparkSession, path: str, names: Sequence[str], marker: str
     lines = spark.read.text(path, wholetext=True)
     body = F.regexp_extract(F.col("value"), rf"(?s)(?:^|\n){re.escape(marker)}[^\n]*\n(.*)$", 1)
     rows = lines.select(F.explode(F.split(body, r"\r?\n")).alias("line")).filter("line <> ''")
-    cells = F.split("line", ",")
-    return rows.select(*[F.trim(F.get(cells, F.lit(i))).alias(n) for i, n in enumerate(names)])
+    cells = F.from_csv("line", ", ".join(f"c{i} string" for i in range(len(names))))
+    return rows.select(*[F.trim(cells[f"c{i}"]).alias(n) for i, n in enumerate(names)])
 
 
 def write_split(df: DataFrame, path: str, by: Sequence[str]) -> None:

@@ -61,10 +61,12 @@ def file_team(files: DataFrame, teams: DataFrame) -> DataFrame:
     """
     words = F.filter(F.split(F.lower(F.regexp_replace(F.regexp_replace("file", r"\.[a-z]+$", ""), r"[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
     n = F.size("w")
+    # No run is longer than the longest name: one figure.
+    longest = teams.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
     runs = F.flatten(
         F.transform(
             F.sequence(F.lit(1), n),
-            lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), n - i + 1)), lambda k: F.array_join(F.slice(F.col("w"), i, k), " ")),
+            lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), lambda k: F.array_join(F.slice(F.col("w"), i, k), " ")),
         )
     )
     r = files.withColumn("w", words).filter(n > 0).select("file", F.explode(F.array_distinct(runs)).alias("name"))

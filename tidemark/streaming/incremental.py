@@ -54,14 +54,15 @@ def latest_state(ratings: DataFrame) -> DataFrame:
 def advance_ratings(stored: DataFrame, matches: DataFrame) -> DataFrame:
     """Stored ratings extended by the periods they do not cover yet.
 
-    ``stored`` holds ratings going into each period up to the first unseen
-    one; ``matches`` must hold the periods from there on.
+    ``stored`` holds ratings going into each period up to the first unseen one,
+    which may lie inside a season; ``matches`` must hold the periods from there
+    on.  With nothing new the stored ratings come back as they are.
     """
     upto = stored.agg(F.max("period")).first()[0]
-    new = matches.filter(F.col("period") >= upto)
-    state = latest_state(stored)
-    fresh = pair_ratings(new, start=state)
-    return stored.filter(F.col("period") < fresh.agg(F.min("period")).scalar()).unionByName(fresh)
+    fresh = pair_ratings(matches.filter(F.col("period") >= upto), start=latest_state(stored), start_season=upto // 100)
+    if fresh.isEmpty():
+        return stored
+    return stored.filter(F.col("period") < upto).unionByName(fresh)
 
 
 def append_last_period(stored: DataFrame, snapshots: DataFrame, keys: Sequence[str]) -> DataFrame:
