@@ -261,3 +261,17 @@ def test_p_values_and_selection(spark):
     p = M.p_values(d, ["x", "noise", "flat"], "y")
     assert p["x"] < 1e-6 and p["noise"] > 0.01 and p["flat"] == 1.0
     assert M.select_columns(d, ["x", "noise", "flat"], "y", 0.001) == ["x"]
+
+
+def test_p_values_match_the_solver_and_survive_dependent_columns(spark):
+    from pyspark.ml.regression import LinearRegression
+
+    d = spark.range(200).select(
+        (F.col("id") % 17).alias("a"), (F.xxhash64("id") % 13).alias("b"), (F.col("id") % 17 * 3 + F.xxhash64("id", F.lit(1)) % 40).alias("y")
+    )
+    want = LinearRegression(solver="normal").fit(M.assembled(d, ["a", "b"], "y").select("features", "label")).summary.pValues
+    got = M.p_values(d, ["a", "b"], "y")
+    assert math.isclose(got["a"], want[0], rel_tol=1e-6, abs_tol=1e-12) and math.isclose(got["b"], want[1], rel_tol=1e-6)
+    # Won and lost: each is the other's complement, and both carry the effect.
+    both = M.p_values(d.withColumn("c", 16 - F.col("a")), ["a", "c", "b"], "y")
+    assert both["a"] < 1e-6 and math.isclose(both["a"], both["c"], rel_tol=1e-6, abs_tol=1e-12)

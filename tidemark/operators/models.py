@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -42,16 +43,39 @@ def assembled(df: DataFrame, cols: Sequence[str], label: str | None = None) -> D
 
 
 def p_values(df: DataFrame, cols: Sequence[str], label: str) -> dict[str, float]:
-    """OLS p-value per column; a column without one counts as 1."""
+    """OLS p-value per column; a column that never varies counts as 1.
+
+    Sums of products of the centred columns are one aggregate (columns x
+    columns); its pseudo-inverse gives dependent columns the same finite error
+    instead of none.  Rows with a null or NaN in a used column are left out.
+    """
     used = varying(df, cols)
-    data = assembled(df, used, label).select("features", "label")
-    model = LinearRegression(solver="normal", regParam=0.0).fit(data)
-    try:
-        values = model.summary.pValues
-    except Exception:  # singular design: no standard errors
-        values = []
-    found = {c: p for c, p in zip(used, values)}
-    return {c: (1.0 if found.get(c) is None or found[c] != found[c] else float(found[c])) for c in cols}
+    p = dict.fromkeys(cols, 1.0)
+    if not used:
+        return p
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in used], F.col(label).cast("double").alias("_y")).dropna()
+    names = [*used, "_y"]
+    means = data.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in names]).first()
+    centred = data.select(*[(F.col(c) - means[c]).alias(c) for c in names])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = centred.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"{i}_{j}") for i, j in pairs]).first()
+    gram = np.zeros((len(names), len(names)))
+    for i, j in pairs:
+        gram[i, j] = gram[j, i] = sums[f"{i}_{j}"] or 0.0
+    scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+    gram = gram / np.outer(scale, scale)
+    x, xy, yy = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
+    inverse = np.linalg.pinv(x, rcond=1e-10, hermitian=True)
+    freedom = means["_n"] - np.linalg.matrix_rank(x, tol=1e-10, hermitian=True) - 1
+    if freedom < 1:
+        return p
+    beta = inverse @ xy
+    left = max(float(yy - beta @ xy), 0.0) / freedom
+    error = np.sqrt(np.maximum(np.diag(inverse) * left, 0.0))
+    t = df.sparkSession._jvm.org.apache.commons.math3.distribution.TDistribution(float(freedom))
+    for c, b, e in zip(used, beta.tolist(), error.tolist()):
+        p[c] = 2 * t.cumulativeProbability(-abs(b / e)) if e > 0 else float(b == 0)
+    return p
 
 
 def select_columns(df: DataFrame, cols: Sequence[str], label: str, threshold: float) -> list[str]:
