@@ -70,7 +70,8 @@ def p_values(df: DataFrame, cols: Sequence[str], label: str) -> dict[str, float]
     if freedom < 1:
         return p
     beta = inverse @ xy
-    left = max(float(yy - beta @ xy), 0.0) / freedom
+    # An exact fit leaves rounding only; the floor keeps that from looking like an effect.
+    left = max(float(yy - beta @ xy), 1e-14 * float(yy)) / freedom
     error = np.sqrt(np.maximum(np.diag(inverse) * left, 0.0))
     t = df.sparkSession._jvm.org.apache.commons.math3.distribution.TDistribution(float(freedom))
     for c, b, e in zip(used, beta.tolist(), error.tolist()):

@@ -11,6 +11,7 @@ from tidemark.operators import models as M
 from tidemark.operators import quality as Q
 from tidemark.plans.registry import query
 from tidemark.plans.testbed import Tables, views
+from tidemark.session import stored
 
 NUM = ["home_points", "away_points", "home_yards", "away_yards", "home_attempts", "away_attempts", "home_turnovers", "away_turnovers"]
 FEATURES = ["home_yards", "away_yards", "home_attempts", "away_attempts", "home_turnovers", "away_turnovers"]
@@ -21,6 +22,12 @@ def wide(t: Tables) -> DataFrame:
     return m.select("match_id", *[F.col(c).cast("double").alias(c) for c in NUM], F.coalesce((m.winner == m.home).cast("int"), F.lit(0)).alias("home_win"))
 
 
+def wide_once(t: Tables) -> DataFrame:
+    """The same table written once: a fit passes over its rows many times, and the
+    facts are folded for the first pass only."""
+    return stored(wide(t))
+
+
 @query(
     "ML-1 R-10",
     views("matches") + " , c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, home_points) AS r FROM matches" for c in NUM[1:])
@@ -43,7 +50,7 @@ def correlated_pairs(t: Tables) -> DataFrame:
 @query("ML-2")
 def p_value_selection(t: Tables) -> DataFrame:
     """OLS p-value per column and whether it stays at 0.2."""
-    values = M.p_values(wide(t), FEATURES, "home_points")
+    values = M.p_values(wide_once(t), FEATURES, "home_points")
     return t.spark.createDataFrame([(c, round(p, 6), p <= 0.2) for c, p in values.items()], "feature string, p_value double, kept boolean")
 
 
@@ -66,7 +73,7 @@ def scaled_features(t: Tables) -> DataFrame:
 @query("ML-4 ML-5 ML-14 ML-16")
 def home_win_probability(t: Tables) -> DataFrame:
     """Logistic model on the training part, wrong predictions of the hold-out with probability."""
-    df = wide(t)
+    df = wide_once(t)
     train, test = M.split(df, ["match_id"])
     model = M.fit(train, FEATURES, "home_win", M.classifier())
     out = M.score(model, test, ["match_id", "home_win"], "prediction", probability=True)
@@ -87,7 +94,7 @@ def linear_prediction(t: Tables) -> DataFrame:
 @query("ML-7 ML-9")
 def stacked_models(t: Tables) -> DataFrame:
     """Forest and logistic predictions as features of a final model."""
-    df = wide(t)
+    df = wide_once(t)
     base = {"by_forest": M.classifier("forest"), "by_logistic": M.classifier()}
     return M.stack(df, ["match_id"], FEATURES, "home_win", base, M.classifier())
 
@@ -104,19 +111,19 @@ def model_per_role(t: Tables) -> DataFrame:
 
 @query("ML-10")
 def best_split(t: Tables) -> DataFrame:
-    seed, accuracy = M.best_of_splits(wide(t), ["match_id"], FEATURES, "home_win", M.classifier, [1, 2])
+    seed, accuracy = M.best_of_splits(wide_once(t), ["match_id"], FEATURES, "home_win", M.classifier, [1, 2])
     return t.spark.createDataFrame([(seed, accuracy)], "seed int, accuracy double")
 
 
 @query("ML-11")
 def grid_search(t: Tables) -> DataFrame:
-    rows = M.grid_search(wide(t), FEATURES, "home_win", [0.0, 0.1])
+    rows = M.grid_search(wide_once(t), FEATURES, "home_win", [0.0, 0.1])
     return t.spark.createDataFrame([(float(r), float(a)) for r, a in rows], "reg double, accuracy double")
 
 
 @query("ML-12")
 def threshold_sweep(t: Tables) -> DataFrame:
-    rows = M.threshold_sweep(wide(t), ["match_id"], FEATURES, "home_points", [0.05, 0.2])
+    rows = M.threshold_sweep(wide_once(t), ["match_id"], FEATURES, "home_points", [0.05, 0.2])
     return t.spark.createDataFrame(rows, "threshold double, kept int, r2 double")
 
 
