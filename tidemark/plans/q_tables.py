@@ -743,19 +743,17 @@ def top_orders(t: Tables) -> DataFrame:
     st AS (SELECT DISTINCT player, team, season FROM starters WHERE slot <= 3),
     s AS (SELECT g.team, g.season, g.player, m - CASE WHEN st.player IS NULL THEN 3 ELSE 0 END AS grade FROM g LEFT JOIN st USING (player, team, season)),
     r AS (SELECT *, row_number() OVER (PARTITION BY team, season ORDER BY grade DESC, player) AS rn FROM s)
-    SELECT team, season, string_agg(player, '|' ORDER BY rn) AS depth FROM r WHERE rn <= 22 GROUP BY ALL""",
+    SELECT team, season, player, rn AS seat FROM r""",
 )
 def depth_chart(t: Tables) -> DataFrame:
-    """Players of a team by mean grade, non-starters minus three, as a fixed-size chart."""
+    """All players of a team by mean grade, non-starters minus three, one row per seat."""
     g = t.outings.groupBy("player", "team", "season").agg(F.avg("points").alias("m"))
     st = t.starters.filter("slot <= 3").select("player", "team", "season").distinct().withColumn("st", F.lit(0))
     s = g.join(st, ["player", "team", "season"], "left").select(
         "team", "season", "player", (F.col("m") - F.coalesce("st", F.lit(3))).alias("grade"), (-F.col("player")).alias("down")
     )
-    best = H.newest(s, ["team", "season"], ["grade", "down"], 22, "seat")
-    entry = F.struct("seat", F.col("player").cast("string").alias("p"))
-    depth = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["p"]), "|")
-    return best.groupBy("team", "season").agg(depth.alias("depth"))
+    seat = Window.partitionBy("team", "season").orderBy(F.col("grade").desc(), F.col("down").desc())
+    return s.select("team", "season", "player", F.row_number().over(seat).cast("bigint").alias("seat"))
 
 
 @query(
