@@ -94,7 +94,28 @@ QUERIES = {
     )
 }
 
+# Budget 512, history 64, system 128: cells of 320 fresh tokens; a turn costs its
+# words and 4 tokens, and in the output its escaped text, its role and 24 characters.
+_CHAT_SQL = r"""
+    WITH own AS (SELECT '<|im_end|><|im_start|>assistant ok' AS text),
+    t0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', text FROM own UNION ALL SELECT -1, 1, 'assistant', text FROM own),
+    t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i,
+        len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens,
+        24 + length(role) + len(regexp_extract_all(role, '[\\\n]')) + length(text) + len(regexp_extract_all(text, '<\\*\|')) AS chars FROM t0),
+    p AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY i)::BIGINT AS e FROM t),
+    q AS (SELECT *, e - tokens AS s, (e - tokens) // 320 * 2 + ((e - 1) // 320 > (e - tokens) // 320)::INT AS win FROM p),
+    w AS (SELECT conv_id, win, min(s) AS ws, min(i) AS first_turn FROM q GROUP BY ALL),
+    again AS (SELECT q.conv_id, sum(chars) AS chars FROM q JOIN w ON q.conv_id IS NOT DISTINCT FROM w.conv_id
+        WHERE CASE WHEN i = 0 AND role = 'system' THEN first_turn > 0 ELSE ws > s AND ws <= s + 64 AND q.win < w.win END GROUP BY ALL),
+    d AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS turns,
+        coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM q GROUP BY ALL)
+    SELECT d.conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+        (d.chars + coalesce(again.chars, 0))::BIGINT AS formatted_chars
+    FROM d LEFT JOIN again ON d.conv_id IS NOT DISTINCT FROM again.conv_id"""
+
 SQL = {
+    "op2_chat_windows": _CHAT_SQL,
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
