@@ -174,3 +174,11 @@ def test_shares_modes_and_first_seen(spark):
 def test_wide_drops_sparse_columns(spark):
     d = spark.createDataFrame([(1, "x", 1), (2, "x", 2), (1, "y", 3)], "k int, c string, v int")
     assert A.wide(d, ["k"], "c", "v", ["x", "y"], max_null=0.1).columns == ["k", "x"]
+
+
+def test_null_groups_and_chunks_rank_like_any_other(spark):
+    d = spark.createDataFrame([(None, 5, 1), (None, 7, 2), (1, 9, 3), (1, None, 4)], "g int, v int, id int")
+    got = {r.id: r.rank for r in ranked(d, ["g"], "v", method="rank", width=1).collect()}
+    assert got == {1: 2, 2: 1, 3: 1, 4: None}
+    got = {r.id: r.rank for r in ranked(d, ["g"], "v", method="row_number", tiebreak=["id"], width=1).collect()}
+    assert got == {1: 2, 2: 1, 3: 1, 4: None}

@@ -1,6 +1,7 @@
 """Golden tests of scalars, scoring, text, standings and ratings."""
 
 import math
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,10 @@ def test_scoring(spark):
         ("AJ Mills left end for -2 yards. Penalty on Karl von Bergen: Defensive Holding, 5 yards (accepted)", ["AJ Mills", "Karl von Bergen"]),
         ("Dee E. Moss kneels for -1 yards", ["Dee E. Moss"]),
         ("DeVal McCray-Jones up the middle for no gain", ["DeVal McCray-Jones"]),
+        ("Rolf Griff III left end for 3 yards (tackle by Ha Ha Clin-Dax)", ["Rolf Griff III", "Ha Ha Clin-Dax"]),
+        ("Moe Kost punts 30 yards, fair catch by Tad Gann Jr.. Penalty on Ras-I Dole: Fair Catch Interference, 15 yards", ["Moe Kost", "Tad Gann Jr", "Ras-I Dole"]),
+        ("Al Bo kicks off 60 yards. Penalty on Cy IIvor: Offside on Free Kick, 5 yards", ["Al Bo", "Cy IIvor"]),
+        ("Zed Lo for -14 yards Zed Lo for no gain", ["Zed Lo"]),
         ("Amon-Ra Tell fumbles, recovered by Ki'on Watt", ["Amon-Ra Tell", "Ki'on Watt"]),
     ],
 )
@@ -106,11 +111,42 @@ def test_play_types(spark):
 
 
 def test_run_attributes(spark):
-    a = T.attributes(F.lit("X left guard for 4 yards"), F.lit("run"), F.lit("QB"), F.lit(1), F.lit(3))
+    a = T.attributes(F.lit("X left guard for 4 yards"), F.lit("run"), F.lit("QB"), F.lit(1), F.lit(3), F.lit(False), F.lit(None))
     got = one(spark, a["run_direction"], a["rush_yards"], a["is_qb_run"], a["is_sneak"], a["pass_yards"])
     assert list(got) == ["lg", 4, True, None, None]
 
 
+def test_side_of_a_touchdown_on_kicks_and_blocks(spark):
+    def side(line, kind, block, by):
+        a = T.attributes(F.lit(line), F.lit(kind), F.lit(None).cast("string"), F.lit(1), F.lit(1), F.lit(block), F.lit(by).cast("boolean"))
+        return tuple(one(spark, a["is_off_touchdown"], a["is_def_touchdown"]))
+
+    assert side("A kicks off 60 yards, returned by B for 99 yards, touchdown", "kickoff", False, False) == (False, True)
+    assert side("A punts 40 yards, muffed, recovered by C, touchdown", "punt", False, True) == (True, False)
+    assert side("A 45 yard field goal no good blocked by B, touchdown", "field_goal", True, False) == (False, True)
+    assert side("A 45 yard field goal good", "field_goal", False, None) == (None, None)
+    assert side("A pass to B for 9 yards, touchdown", "pass", False, None) == (True, False)
+    assert side("blocked by B, touchdown", None, True, False) == (False, True)
+
+
+def test_every_combination_of_flags(spark):
+    """A lateral or fumble leaves nothing, penalties decide about the rest."""
+    names = ("is_fumble", "is_penalty", "is_challenge", "is_block", "contains_lateral")
+    flags = spark.createDataFrame(list(product([True, False], repeat=5)), ", ".join(f"{n} boolean" for n in names))
+    cols = {n: F.col(n) for n in names}
+    for line, yards, stands in [("X runs. Penalty on A: Holding, 10 yards. ", -10, False), ("X runs. Penalty on A: Offside, 5 yards (declined). ", None, True)]:
+        for r in flags.select("*", *[v.alias(k) for k, v in T.dispatch(cols, pens(line)).items()]).collect():
+            kept = not (r.is_fumble or r.contains_lateral)
+            assert r.counts == (kept and (stands or not r.is_penalty))
+            assert r.penalty_yards == (yards if kept and r.is_penalty else None)
+
+
+def test_named_scorer(spark):
+    actors = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("id")) for i, n in enumerate(["Al Bo", "Al Bor", "Cy Do"])])
+    lines = ["Al Bor passes to Al Bo for 9 yards, touchdown. Cy Do kicks", "Cy Do kneels", "Cy Do blocked, touchdown"]
+    assert list(one(spark, *[T.named_scorer(F.lit(x), actors) for x in lines])) == [0, None, 2]
+
+
 def pens(line, togo=5, nxt=15):
     return T.penalties(F.lit(line), F.lit(togo), F.lit(nxt))
 

@@ -19,7 +19,9 @@ PENALTY_NAMES = (
     "Delay of Game",
     "Encroachment",
     "Face Mask",
+    "Fair Catch Interference",
     "False Start",
+    "Free Kick",
     "Holding",
     "Illegal Block Above the Waist",
     "Illegal Contact",
@@ -40,14 +42,20 @@ PENALTY_NAMES = (
 )
 
 # A person name from its parts: given name or initials, a middle initial,
-# particles, a last name with inner capitals, hyphens and apostrophes, a suffix.
-_GIVEN = r"(?:(?:[A-Z]\.){1,3}|[A-Z]{2,3}|'?[A-Z][a-z]*(?:['-]?[A-Z]?[a-z]+)*'?)"
+# particles, a last name with inner capitals, hyphens and apostrophes, a suffix
+# (without its dot).  Two given names are taken before a hyphenated last name only,
+# so that neighbouring names stay apart.
+_GIVEN = r"(?:(?:[A-Z]\.){1,3}|[A-Z]{2,3}|'?[A-Z][a-z]*(?:['-](?:[A-Z][a-z]*|[a-z]+)|[A-Z][a-z]+)*'?)"
+_DOUBLE = _GIVEN + r" [A-Z][a-z]+ [A-Z][a-z]+-[A-Z][a-z]+"
 _MIDDLE = r"(?: [A-Z]\.)?"
 _PARTICLE = r"(?: (?:von|van|de|da|la|St\.|Van|Von|De|La|Le))*"
 _LAST = r"(?: [A-Z]'?[A-Za-z]+(?:[-'][A-Za-z]+)*'?[a-z]*)"
-_SUFFIX = r"(?: (?:Jr\.|Sr\.|II|III|IV))?"
-NAME = _GIVEN + _MIDDLE + _PARTICLE + _LAST + _SUFFIX
-TEAM = r"(?:[A-Z][a-z]+ )+(?:[0-9]+[a-z]+|[A-Z][a-z]+)"
+_SUFFIX = r"(?: (?:Jr|Sr|III|II|IV)(?![A-Za-z]))?"
+NAME = f"(?<![A-Za-z])(?:{_DOUBLE}|{_GIVEN}{_MIDDLE}{_PARTICLE}{_LAST}){_SUFFIX}"
+TEAM = r"\b[A-Z][a-z]+\s[A-Z][a-z]+(?:\s[A-Z][a-z]+)?\b"
+TEAM_WITH_NUMBER = r"[A-Z][a-z]+\s[A-Z][a-z]+\s[0-9]+[a-z]+"
+# Fixed value: a city that stands before a number and is no team by itself.
+CITY_ONLY = "San Francisco"
 KICKOFF_TEAM = r"Football Team|[0-9]+[a-z]+|[A-Z][a-z]+"
 
 
@@ -65,7 +73,10 @@ def person_names(text: Column) -> Column:
 
 
 def team_names(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({TEAM})"), 1))
+    """Two or three capitalised words, or two and a number with letters."""
+    words = F.regexp_extract_all(text, F.lit(f"({TEAM})"), 1)
+    numbered = F.regexp_extract_all(text, F.lit(f"({TEAM_WITH_NUMBER})"), 1)
+    return F.array_distinct(F.concat(F.filter(words, lambda n: ~F.contains(n, F.lit(CITY_ONLY))), numbered))
 
 
 def kickoff_teams(text: Column) -> Column:
@@ -168,9 +179,20 @@ def run_direction(text: Column) -> Column:
 
 
 def attributes(
-    text: Column, kind: Column, rusher_positions: Column, togo: Column, down: Column
+    text: Column,
+    kind: Column,
+    rusher_positions: Column,
+    togo: Column,
+    down: Column,
+    is_block: Column,
+    by_offence: Column,
 ) -> dict[str, Column]:
-    """Attributes of a play under its kind; null where the kind has none."""
+    """Attributes of a play under its kind; null where the kind has none.
+
+    ``by_offence``: whether the scorer's team has the ball (the kicking team on
+    kick-offs and punts), null without a scorer.  It decides the side of a
+    touchdown on kicks and blocks.
+    """
 
     def says(word: str) -> Column:
         return F.contains(text, F.lit(word))
@@ -182,6 +204,7 @@ def attributes(
     returned = says("touchdown") & says("returned")
     scored = says("touchdown") & ~says("returned")
     by_passer = F.contains(rusher_positions, F.lit("QB"))
+    by_scorer = F.coalesce(is_block | kind.isin("kickoff", "punt"), F.lit(False)) & says("touchdown")
     return {
         "pass_yards": only(["pass"], F.when(says("incomplete") | says("spiked") | says("no gain"), 0).otherwise(gained)),
         "completed": only(["pass"], gained.isNotNull() & ~says("intercepted")),
@@ -193,8 +216,8 @@ def attributes(
         "is_wr_run": only(["run"], F.when(F.contains(rusher_positions, F.lit("WR")), True)),
         "is_sneak": only(["run"], F.when(by_passer & says("middle") & (togo <= 2) & (down >= 3), True)),
         "sack_yards": only(["sack"], gained),
-        "is_off_touchdown": only(["pass", "run"], scored),
-        "is_def_touchdown": only(["pass", "run", "sack"], returned),
+        "is_off_touchdown": F.when(by_scorer, by_offence).otherwise(only(["pass", "run"], scored)),
+        "is_def_touchdown": F.when(by_scorer, ~by_offence).otherwise(only(["pass", "run", "sack"], returned)),
         "kickoff_yards": only(["kickoff"], number_after(text, r"kicks off (-?[0-9]+)")),
         "punt_yards": only(["punt"], number_after(text, r"punts (-?[0-9]+)")),
         "return_yards": only(["kickoff", "punt"], gained),
@@ -207,7 +230,20 @@ def attributes(
         "timeout_team": only(["timeout"], F.regexp_extract(text, r" by (.+)$", 1)),
         "toss_winner": only(["coin_toss"], F.regexp_extract(text, r"^(\S+)", 1)),
         "toss_deferred": only(["coin_toss"], says("deferred")),
-        "is_safety": F.when(kind.isNotNull(), says("safety")),
+        "is_safety": F.when(kind.isNotNull() | is_block, says("safety")),
+    }
+
+
+def dispatch(flags: dict[str, Column], pens: Column) -> dict[str, Column]:
+    """Whether the play's figures count, and its ``penalty_yards``, by its flags.
+
+    A lateral or a fumble leaves nothing, penalties leave the play's figures only
+    where the play stands besides them.
+    """
+    kept = ~(flags["contains_lateral"] | flags["is_fumble"])
+    return {
+        "counts": kept & F.when(flags["is_penalty"], play_stands(pens)).otherwise(True),
+        "penalty_yards": F.when(kept & flags["is_penalty"], net_penalty_yards(pens)),
     }
 
 
@@ -323,6 +359,19 @@ def scorer(text: Column, entities: Column) -> Column:
     return F.when(at >= 0, F.array_min(placed)["p_id"])
 
 
+def named_scorer(text: Column, actors: Column) -> Column:
+    """Id of the actor whose name ends closest before ``touchdown``.
+
+    ``actors``: ``array<struct<name, id>>``.
+    """
+    head = F.substring_index(text, "touchdown", 1)
+    placed = F.transform(
+        F.filter(actors, lambda a: F.contains(head, a["name"])),
+        lambda a: F.struct(F.length(F.call_function("substring_index", head, a["name"], F.lit(-1))).alias("gap"), a["id"].alias("id")),
+    )
+    return F.when(F.contains(text, F.lit("touchdown")), F.array_min(placed)["id"])
+
+
 def parse_entities(cell: Column) -> Column:
     """``id:start:end|...`` to ``array<struct<p_id, start, end>>``."""
     return F.transform(

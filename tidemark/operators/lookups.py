@@ -87,7 +87,8 @@ def resolve_names(
 
 def id_hint(name: Column) -> tuple[Column, Column]:
     """The two pieces an id is made of: four letters of the last name, two of the first."""
-    last = F.element_at(F.split(name, " "), -1)
+    words = F.filter(F.split(name, " "), lambda w: ~w.isin("Jr", "Jr.", "Sr", "Sr.", "II", "III", "IV"))
+    last = F.element_at(words, -1)
     return F.substring(last, 1, 4), F.substring(name, 1, 2)
 
 

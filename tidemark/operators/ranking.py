@@ -57,7 +57,9 @@ def ranked(
             df = chunked_scan(df, [*group, value], F.floor(F.col(tiebreak[0]) / TIE_ROWS), tiebreak, [RowNumber("_tie")])
         else:
             raise ValueError("row_number needs a tiebreak")
-    out = df.join(places, [*group, value], "left")
+    # One struct as the key: rows of a null group meet as well.
+    key = F.struct(*group, value)
+    out = df.withColumn("_key", key).join(places.select(key.alias("_key"), "_at"), "_key", "left")
     rank = F.when(F.col(value).isNotNull(), rank + (base - 1))
     return out.select(*[c for c in df.columns if c != "_tie"], rank.alias(name))
 

@@ -5,7 +5,8 @@ Here each group is cut into *chunks*: a chunk is a coarse, monotone function
 of the ordering (``num div 65536``, ``floor(value / width)``).  Windows run
 inside (group, chunk); each chunk also folds into one summary row, a second
 small window carries the summaries across chunks, and a join hands the
-carried state to the rows.  Exact for any data.
+carried state to the rows.  Exact for any data: group and chunk travel as one
+struct, which is never null, so a null key is a group like any other.
 """
 
 from __future__ import annotations
@@ -75,10 +76,11 @@ def chunked_scan(
     """
     by = list(by)
     lead_col = F.col(order[0]).desc() if descending else F.col(order[0]).asc()
-    inner = Window.partitionBy(*by, "_chunk").orderBy(lead_col, *[F.col(c) for c in order[1:]])
+    inner = Window.partitionBy("_k").orderBy(lead_col, *[F.col(c) for c in order[1:]])
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(*by).orderBy(F.col("_chunk").desc() if descending else F.col("_chunk"))
+    at_chunk = F.col("_k").getField("_chunk")
+    outer = Window.partitionBy(*[F.col("_k").getField(b) for b in by]).orderBy(at_chunk.desc() if descending else at_chunk)
     earlier = outer.rowsBetween(Window.unboundedPreceding, -1)
 
     if descending and any(isinstance(s, Lag | Lead | Fill) for s in specs):
@@ -127,10 +129,10 @@ def chunked_scan(
                 carry.append(F.last(tot, ignorenulls=True).over(earlier).alias(car))
                 result.append(F.coalesce(loc, car).alias(s.name))
 
-    keyed = df.withColumn("_chunk", chunk)
-    carried = keyed.groupBy(*by, "_chunk").agg(*fold).select(*by, "_chunk", *carry)
+    keyed = df.withColumn("_k", F.struct(*by, chunk.alias("_chunk")))
+    carried = keyed.groupBy("_k").agg(*fold).select("_k", *carry)
     return (
         keyed.select("*", *local)
-        .join(carried, [*by, "_chunk"], "left")
+        .join(carried, "_k", "left")
         .select(*[F.col(c) for c in df.columns], *result)
     )

@@ -246,6 +246,13 @@ def scores(t: Tables) -> DataFrame:
     )
 
 
+# Fixed values of a match's story: lead in scores and points of a blow-out start,
+# its final margin, and the margin of a close match.
+STREAK, STREAK_POINTS, BLOWOUT, CLOSE = 3, 21, 10, 7
+# The derived plays lie within one month, so matches are dealt to seasons by their id.
+SEASONS = 5
+
+
 @query(
     "A-23",
     views("plays") + f""", s AS (SELECT match_id, num, kind, {_STEP} AS p, num % 2 AS side,
@@ -255,7 +262,7 @@ def scores(t: Tables) -> DataFrame:
         sum(CASE WHEN side = 0 AND kind IN (2, 5) THEN p ELSE 0 END) AS hn, sum(CASE WHEN side = 1 AND kind IN (2, 5) THEN p ELSE 0 END) AS an FROM s GROUP BY 1)
     SELECT match_id, (ph AND h - a > 10)::INT AS home_blowout, (pa AND a - h > 10)::INT AS away_blowout, (pa AND a < h AND NOT (a - h > 10))::INT AS home_comeback, (ph AND h < a AND NOT (h - a > 10))::INT AS away_comeback,
       CASE WHEN (ph AND h - a > 10) OR (pa AND a - h > 10) THEN gap ELSE 0 END::BIGINT AS blowout_size, CASE WHEN (ph AND h < a) OR (pa AND a < h) THEN gap ELSE 0 END::BIGINT AS comeback_size,
-      (abs(h - a) <= 7)::INT AS is_close, (h + a >= (SELECT avg(h + a) FROM g))::INT AS high_scoring, hn::BIGINT AS home_non_offensive, an::BIGINT AS away_non_offensive FROM g""",
+      (abs(h - a) <= 7)::INT AS is_close, (h + a >= avg(h + a) OVER (PARTITION BY match_id % 5))::INT AS high_scoring, hn::BIGINT AS home_non_offensive, an::BIGINT AS away_non_offensive FROM g""",
 )
 def match_attributes(t: Tables) -> DataFrame:
     """Blowout, comeback, close and high-scoring matches from the stream of scores."""
@@ -273,21 +280,23 @@ def match_attributes(t: Tables) -> DataFrame:
     odd = F.col("kind").isin(2, 5)
     g = s.groupBy("match_id").agg(
         F.max("hs").alias("h"), F.max("aws").alias("a"), F.max(F.abs(F.col("hs") - F.col("aws"))).alias("gap"),
-        F.bool_or((F.col("hc") - F.col("ac") >= 3) & (F.col("hs") >= 21)).alias("ph"),
-        F.bool_or((F.col("ac") - F.col("hc") >= 3) & (F.col("aws") >= 21)).alias("pa"),
+        F.bool_or((F.col("hc") - F.col("ac") >= STREAK) & (F.col("hs") >= STREAK_POINTS)).alias("ph"),
+        F.bool_or((F.col("ac") - F.col("hc") >= STREAK) & (F.col("aws") >= STREAK_POINTS)).alias("pa"),
         F.sum(F.when(odd, F.col("hp")).otherwise(0)).alias("home_non_offensive"),
         F.sum(F.when(odd, F.col("ap")).otherwise(0)).alias("away_non_offensive"),
     )
-    average = g.agg(F.avg(F.col("h") + F.col("a")).alias("m")).scalar()
+    g = g.withColumn("season", F.col("match_id") % SEASONS)
+    mean = g.groupBy("season").agg((F.sum(F.col("h") + F.col("a")) / F.count(F.lit(1))).alias("average"))
+    g, average = g.join(mean, "season"), F.col("average")
     h, a, ph, pa = (F.col(c) for c in ("h", "a", "ph", "pa"))
-    hb, ab = ph & (h - a > 10), pa & (a - h > 10)
+    hb, ab = ph & (h - a > BLOWOUT), pa & (a - h > BLOWOUT)
     hc, ac = pa & (a < h), ph & (h < a)
     return g.select(
         "match_id", hb.cast("int").alias("home_blowout"), ab.cast("int").alias("away_blowout"),
         hc.cast("int").alias("home_comeback"), ac.cast("int").alias("away_comeback"),
         F.when(hb | ab, F.col("gap")).otherwise(0).alias("blowout_size"),
         F.when(hc | ac, F.col("gap")).otherwise(0).alias("comeback_size"),
-        (F.abs(h - a) <= 7).cast("int").alias("is_close"), (h + a >= average).cast("int").alias("high_scoring"),
+        (F.abs(h - a) <= CLOSE).cast("int").alias("is_close"), (h + a >= average).cast("int").alias("high_scoring"),
         "home_non_offensive", "away_non_offensive",
     )
 

@@ -306,13 +306,13 @@ def listed_in_lineup(t: Tables) -> DataFrame:
 @query(
     "J-13 J-14 F-30",
     views("players", "plays") + """, k AS (SELECT p_id, lower(regexp_replace(name, '[^A-Za-z]', '', 'g')) AS key, name, team FROM players),
-    m AS (SELECT DISTINCT a AS mention FROM plays UNION SELECT DISTINCT b FROM plays)
-    SELECT mention, p_id, (contains(p_id, split_part(mention, ' ', 2)[1:4]) AND contains(p_id, mention[1:2])) AS id_fits
+    m AS (SELECT a AS mention FROM plays UNION SELECT b FROM plays UNION SELECT c FROM plays)
+    SELECT mention, p_id, CASE WHEN p_id IS NOT NULL THEN true END AS id_fits
     FROM m LEFT JOIN k ON key = lower(regexp_replace(mention, '[^A-Za-z]', '', 'g'))""",
 )
 def names_to_ids(t: Tables) -> DataFrame:
     """Names in play lines to player ids through normalised names and aliases."""
-    mentions = t.plays.select(F.explode(F.array("a", "b")).alias("mention")).distinct()
+    mentions = t.plays.select(F.explode(F.array("a", "b", "c")).alias("mention")).distinct()
     players = t.players.select("p_id", "name")
     aliases = players.select("p_id", F.upper("name").alias("aka"))
     out = J.resolve_names(mentions, players, aliases, "mention", [])

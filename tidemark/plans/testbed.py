@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.history import newest
@@ -18,7 +18,9 @@ MATCH_STATS = ("points", "yards", "attempts", "turnovers")
 
 # Segment to role, given names of the derived players.
 ROLES = {"AUTOMOBILE": "QB", "BUILDING": "RB", "FURNITURE": "WR", "HOUSEHOLD": "TE", "MACHINERY": "OL"}
-GIVEN = "Aaron Blake Chris Devon Eric Frank Grant Henry Isaac Jalen Kevin Lucas Marco Nolan Owen Peter".split()
+GIVEN = "Aaron Blake Chris Devon Eric Frank Grant Henry Isaac Jalen Kevin Lucas Ras-I Da'Ron JuJu AJ".split()
+# Forms of the last name in turn: what stands before and after it.
+FORMS = [("", ""), ("", " III"), ("Van ", ""), ("Ha ", "-Dix"), ("", " Jr")]
 
 LINEUP_SIZE = 22
 CHUNK_ROWS = 65536
@@ -41,6 +43,12 @@ CASE kind
  WHEN 12 THEN concat('Timeout #', tn, ' by ', tl)
  WHEN 13 THEN concat(a, ' kicks extra point good')
  WHEN 14 THEN concat(a, ' kneels for -1 yards')
+ WHEN 16 THEN concat(a, ' pass complete short left to ', b, ' for ', y, ' yards. ', b, ' fumbles (forced by ', c, '), recovered by ', a)
+ WHEN 17 THEN concat(a, ' pass complete short right to ', b, ' for ', y, ' yards, lateral to ', c, ' for ', z, ' yards')
+ WHEN 18 THEN concat(a, ' punts blocked by ', b, ', recovered by ', c, ' and returned for ', z, ' yards, touchdown')
+ WHEN 19 THEN concat(a, ' kicks off ', y, ' yards, returned by ', b, ' for ', z, ' yards, touchdown')
+ WHEN 20 THEN concat(a, ' left tackle for ', y, ' yards. Penalty on ', a, ': Holding, 10 yards (declined), Penalty on ', b, ': Offside, 5 yards (declined), Penalty on ', c, ': Illegal Contact, 5 yards')
+ WHEN 21 THEN concat(a, ' right guard for ', y, ' yards. Penalty on ', a, ': Holding, 10 yards, Penalty on ', b, ': Offside, 5 yards, Penalty on ', c, ': Illegal Contact, ', z, ' yards, Penalty on ', b, ': Taunting, 15 yards')
  ELSE concat(tl, ' won the coin toss and deferred, ', a, ' to kick off')
 END
 """
@@ -54,11 +62,29 @@ CASE
  WHEN kind IN (5, 14) THEN 'PASSER,SACKER,NONE'
  WHEN kind = 6 THEN 'PUNTER,RETURNER,NONE'
  WHEN kind IN (7, 8, 13) THEN 'KICKER,RETURNER,TACKLER'
+ WHEN kind = 16 THEN 'PASSER,FUMBLER,TACKLER'
+ WHEN kind = 17 THEN 'PASSER,RECEIVER,LATERALER'
+ WHEN kind = 18 THEN 'PUNTER,BLOCKER,RECOVERER'
+ WHEN kind = 19 THEN 'KICKER,RETURNER,NONE'
+ WHEN kind IN (20, 21) THEN 'RUSHER,PENALIZED,PENALIZED'
  ELSE 'NONE,NONE,NONE'
 END
 """
 
 
+def given_name(k: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(g) for g in GIVEN]), (k % len(GIVEN) + 1).cast("int"))
+
+
+def last_name(k: Column) -> Column:
+    return F.initcap(F.translate((k + 1000).cast("string"), "0123456789", "abcdefghij"))
+
+
+def full_name(k: Column) -> Column:
+    before, after = (F.element_at(F.array(*[F.lit(f[i]) for f in FORMS]), (k % len(FORMS) + 1).cast("int")) for i in (0, 1))
+    return F.concat(given_name(k), F.lit(" "), before, last_name(k), after)
+
+
 class Tables:
     """Lazy views over one folder of parquet files."""
 
@@ -187,13 +213,11 @@ class Tables:
     @cached_property
     def players(self) -> DataFrame:
         """Player dimension with unique derived names and ids."""
-        given = F.array(*[F.lit(g) for g in GIVEN])
         k = F.col("c_custkey")
-        last = F.initcap(F.translate((k + 1000).cast("string"), "0123456789", "abcdefghij"))
-        first = F.element_at(given, (k % len(GIVEN) + 1).cast("int"))
+        first, last = given_name(k), last_name(k)
         return self.table("customer").select(
             k.alias("num"),
-            F.concat_ws(" ", first, last).alias("name"),
+            full_name(k).alias("name"),
             F.concat(F.substring(last, 1, 4), F.substring(first, 1, 2), k.cast("string")).alias("p_id"),
             F.col("c_nationkey").cast("bigint").alias("team"),
             F.element_at(
@@ -210,7 +234,7 @@ class Tables:
         base = self.table("events").select(
             u.alias("match_id"),
             e.alias("num"),
-            (e % 16).alias("kind"),
+            (e % 22).alias("kind"),
             F.round(F.col("value") * 100).cast("bigint").alias("hundredths"),
             (u % 32).alias("home"),
             ((u + 7) % 32).alias("away"),
@@ -227,11 +251,6 @@ class Tables:
             "props",
         ).withColumn("tl", F.substring("tl0", 2, 3))
 
-        def full_name(k):
-            given = F.array(*[F.lit(g) for g in GIVEN])
-            last = F.initcap(F.translate((k + 1000).cast("string"), "0123456789", "abcdefghij"))
-            return F.concat_ws(" ", F.element_at(given, (k % len(GIVEN) + 1).cast("int")), last)
-
         named = base.withColumns({x: full_name(F.col(f"n{x}")) for x in "abc"})
         return named.select(
             "match_id", "num", "kind", "hundredths", "home", "away", "na", "nb", "nc", "a", "b", "c",
@@ -245,9 +264,13 @@ _LAST = "translate(CAST({k} + 1000 AS VARCHAR), '0123456789', 'abcdefghij')"
 
 
 def _name(k: str) -> str:
-    given = "[" + ", ".join(f"'{g}'" for g in GIVEN) + "]"
+    def pick(values) -> str:
+        quoted = ["'" + v.replace("'", "''") + "'" for v in values]
+        return f"[{', '.join(quoted)}][CAST({k} % {len(quoted)} AS INT) + 1]"
+
     last = _LAST.format(k=k)
-    return f"concat_ws(' ', {given}[CAST({k} % {len(GIVEN)} AS INT) + 1], upper({last}[1]) || {last}[2:])"
+    before, after = (pick([f[i] for f in FORMS]) for i in (0, 1))
+    return f"({pick(GIVEN)} || ' ' || {before} || upper({last}[1]) || {last}[2:] || {after})"
 
 
 _ROLE_CASE = "CASE c_mktsegment " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ROLES.items()) + " END"
@@ -315,7 +338,7 @@ VIEWS: dict[str, str] = {
       FROM (
         SELECT *, {_name('na')} AS a, {_name('nb')} AS b, {_name('nc')} AS c
         FROM (
-          SELECT user_id AS match_id, event_id AS num, event_id % 16 AS kind,
+          SELECT user_id AS match_id, event_id AS num, event_id % 22 AS kind,
                  CAST(round(value * 100) AS BIGINT) AS hundredths,
                  user_id % 32 AS home, (user_id + 7) % 32 AS away,
                  (event_id * 7 + user_id) % (SELECT count(*) FROM customer) AS na,
