@@ -124,5 +124,5 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) ->
 
 
 def hash_order(key: Sequence[str], seed: int) -> Column:
-    """Reproducible shuffling key."""
-    return F.xxhash64(*key, F.lit(seed))
+    """Reproducible shuffling key, which other engines can repeat."""
+    return F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in key], F.lit(str(seed))))

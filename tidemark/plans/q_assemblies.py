@@ -5,17 +5,22 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import history as H
+from tidemark.operators import models as M
 from tidemark.operators import ratings as R
 from tidemark.operators.assemble import assemble, feature, tag
 from tidemark.operators.sides import attach_both
 from tidemark.plans import q_history, q_scalars, q_state, q_tables, q_text  # noqa: F401
+from tidemark.plans.q_history import BOTH, SIDE_VALUES, _last_n_sql, round6, team_keys
 from tidemark.plans.q_state import _SEASON_RULE, _pair_sql
 from tidemark.plans.registry import REGISTRY, query
 from tidemark.plans.testbed import Tables, views
+from tidemark.session import stored
+from tidemark.sources.files import scratch
 from tidemark.streaming.incremental import advance_ratings
 
 MATCH_FEATURES = ["last_five_means", "rankings_on_spine", "betting_lines", "match_targets"]
@@ -41,6 +46,80 @@ for _n in {*MATCH_FEATURES, *FULL_FEATURES, *PLAYER_FEATURES}:
     _register(_n)
 
 
+@feature("means_on_spine")
+def means_on_spine(spine: DataFrame, t: Tables) -> DataFrame:
+    """Mean of the last five matches of both sides for any spine (match_id, period,
+    home, away), history rows or a schedule still to be played."""
+    state = H.last_n_means(t.sides, ["team"], {c: F.col(c) for c in SIDE_VALUES}, 5)
+    known = H.resolve(team_keys(spine), state, ["team"], SIDE_VALUES)
+    both = attach_both(spine.select(*SPINE), known, SIDE_VALUES)
+    return both.drop("period", "home", "away")
+
+
+@feature("meetings_on_spine")
+def meetings_on_spine(spine: DataFrame, t: Tables) -> DataFrame:
+    """Earlier meetings of the two sides, and how many of them the home side won."""
+    key = ["lo", "hi"]
+    past = t.matches.select(*H.unordered_pair("home", "away"), "period", "winner")
+    won_by_lo = F.coalesce((F.col("winner") == F.col("lo")).cast("int"), F.lit(0))
+    won_by_hi = F.coalesce((F.col("winner") == F.col("hi")).cast("int"), F.lit(0))
+    totals = H.period_totals(past, key, {"lo_won": won_by_lo, "hi_won": won_by_hi})
+    state = H.running_totals(totals, key, ["n", "lo_won", "hi_won"])
+    keyed = spine.select("match_id", "period", "home", *H.unordered_pair("home", "away"))
+    out = H.asof(keyed, state, key, ["n", "lo_won", "hi_won"])
+    won = F.when(F.col("home") == F.col("lo"), F.col("lo_won")).otherwise(F.col("hi_won"))
+    return out.select("match_id", F.coalesce("n", F.lit(0)).alias("meetings"), F.coalesce(won, F.lit(0)).alias("meetings_won"))
+
+
+UPCOMING = ["means_on_spine", "meetings_on_spine"]
+SPINE = ["match_id", "period", "home", "away"]
+
+
+def held_back(t: Tables) -> tuple[Tables, DataFrame]:
+    """Tables that end before the last period, and that period's schedule without results."""
+    games = stored(t.matches)
+    last = games.agg(F.max("period")).scalar()
+    return t.with_matches(games.filter(F.col("period") < last)), games.filter(F.col("period") == last).select(*SPINE)
+
+
+_MEETINGS_SQL = """, met AS (SELECT m.match_id, count(p.match_id) AS meetings, count(*) FILTER (p.winner = m.home) AS meetings_won FROM matches m LEFT JOIN matches p
+      ON least(p.home, p.away) = least(m.home, m.away) AND greatest(p.home, p.away) = greatest(m.home, m.away) AND p.period < m.period GROUP BY 1)"""
+
+
+@query(
+    "U-1 ML-14 PF-24 PF-25 J-6 SL-1",
+    _last_n_sql(5) + _MEETINGS_SQL + " SELECT match_id, period, home, away, " + ", ".join(f"round({c}, 6) AS {c}" for c in BOTH)
+    + ", meetings, meetings_won FROM j JOIN met USING (match_id) WHERE period = (SELECT max(period) FROM matches)",
+)
+def upcoming_features(t: Tables) -> DataFrame:
+    """Features of a schedule that has no results yet; they equal the history rows of its period."""
+    known, schedule = held_back(t)
+    return round6(assemble(schedule, known, UPCOMING, ["match_id"]), BOTH)
+
+
+_HOLD = _last_n_sql(5) + """, last AS (SELECT max(period) AS p FROM matches),
+    h AS (SELECT j.match_id, j.home_for_points AS x, m.home_points AS y, j.period FROM j JOIN matches m USING (match_id)),
+    mean AS (SELECT avg(x) AS x FROM h WHERE period < (SELECT p FROM last)),
+    f AS (SELECT match_id, y, period, coalesce(x, (SELECT x FROM mean)) AS x FROM h),
+    line AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM f WHERE period < (SELECT p FROM last))
+    SELECT match_id, round(i + s * x, 4) AS prediction FROM f, line WHERE period = (SELECT p FROM last)"""
+
+
+@query("ML-14 ML-6 U-1", _HOLD)
+def upcoming_predictions(t: Tables) -> DataFrame:
+    """Model fitted on the history, saved, loaded again and applied to the schedule.
+
+    Gaps in the schedule's features take the mean of the training rows."""
+    known, schedule = held_back(t)
+    cols = ["home_for_points"]
+    train = stored(assemble(known.matches.select(*SPINE, "home_points"), known, ["means_on_spine"], ["match_id"]).select("home_points", *cols))
+    path = scratch(t.spark, "match-model")
+    M.fit(H.fill_with_mean(train, cols), cols, "home_points", M.regressor()).save(path)
+    rows = assemble(schedule, known, ["means_on_spine"], ["match_id"]).select("match_id", *cols)
+    out = M.score(PipelineModel.load(path), H.fill_with_mean(rows, cols, over=train), ["match_id"], "prediction")
+    return out.withColumn("prediction", F.round("prediction", 4))
+
+
 def _joined(spine_sql: str, names: list[str], on: str) -> str:
     out = f"SELECT * FROM ({spine_sql}) s0"
     for i, n in enumerate(names):

@@ -13,7 +13,7 @@ from tidemark.operators import history as H
 from tidemark.operators import lineups as L
 from tidemark.operators import lookups as J
 from tidemark.operators import setops as S
-from tidemark.operators.ranking import hash_order, ranked, top_k
+from tidemark.operators.ranking import carry_forward, hash_order, ranked, top_k
 from tidemark.plans.registry import query
 from tidemark.plans.testbed import ROLES, Tables, views
 
@@ -739,21 +739,26 @@ def top_orders(t: Tables) -> DataFrame:
 
 @query(
     "R-11 A-13",
-    views("outings", "starters") + """, g AS (SELECT o.player, o.team, o.season, avg(points) AS m FROM outings o GROUP BY ALL),
-    st AS (SELECT DISTINCT player, team, season FROM starters WHERE slot <= 3),
-    s AS (SELECT g.team, g.season, g.player, m - CASE WHEN st.player IS NULL THEN 3 ELSE 0 END AS grade FROM g LEFT JOIN st USING (player, team, season)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY team, season ORDER BY grade DESC, player) AS rn FROM s)
-    SELECT team, season, player, rn AS seat FROM r""",
+    views("outings", "starters") + """, g AS (SELECT team, season, period, player, sum(points) AS s, count(*) AS n FROM outings GROUP BY ALL),
+    st AS (SELECT team, period, player, count(*) AS c FROM starters WHERE slot <= 3 GROUP BY ALL),
+    p AS (SELECT DISTINCT season, period FROM outings),
+    k AS (SELECT p.season, p.period, g.team, g.player, (sum(s) / sum(n))::DOUBLE AS m, sum(coalesce(c, 0)) AS starts FROM p JOIN g ON g.season = p.season AND g.period < p.period
+        LEFT JOIN st ON st.team = g.team AND st.period = g.period AND st.player = g.player GROUP BY ALL)
+    SELECT team, season, period, player, row_number() OVER (PARTITION BY team, season, period ORDER BY m - CASE WHEN starts = 0 THEN 3 ELSE 0 END DESC, player) AS seat FROM k""",
 )
 def depth_chart(t: Tables) -> DataFrame:
-    """All players of a team by mean grade, non-starters minus three, one row per seat."""
-    g = t.outings.groupBy("player", "team", "season").agg(F.avg("points").alias("m"))
-    st = t.starters.filter("slot <= 3").select("player", "team", "season").distinct().withColumn("st", F.lit(0))
-    s = g.join(st, ["player", "team", "season"], "left").select(
-        "team", "season", "player", (F.col("m") - F.coalesce("st", F.lit(3))).alias("grade"), (-F.col("player")).alias("down")
-    )
-    seat = Window.partitionBy("team", "season").orderBy(F.col("grade").desc(), F.col("down").desc())
-    return s.select("team", "season", "player", F.row_number().over(seat).cast("bigint").alias("seat"))
+    """A chart per team and period from the season's earlier games: all players by mean
+    grade, those who never started minus three, one row per seat."""
+    who = ["team", "player"]
+    games = H.period_totals(t.outings, [*who, "season"], {"s": F.col("points")})
+    starts = t.starters.groupBy(*who, "period").agg(F.count_if(F.col("slot") <= 3).alias("starts"))
+    games = games.join(starts, [*who, "period"], "left").withColumn("starts", F.coalesce("starts", F.lit(0)))
+    state = H.running_totals(games, [*who, "season"], ["n", "s", "starts"])
+    every = carry_forward(state, who, ["n", "s", "starts"])
+    known = H.before(every, [*who, "season"], ["n", "s", "starts"]).filter("n IS NOT NULL")
+    grade = F.col("s") / F.col("n") - F.when(F.col("starts") == 0, 3).otherwise(0)
+    charts = known.select("team", "season", "period", "player", grade.alias("grade"))
+    return ranked(charts, ["team", "season", "period"], "grade", "seat", tiebreak=["player"]).drop("grade")
 
 
 @query(
@@ -774,10 +779,10 @@ def filled_lineups(t: Tables) -> DataFrame:
     return L.fill_slots(listed, leaders, ["team", "period"], {"QB": 1, "RB": 2, "WR": 3})
 
 
-@query("R-13")
+@query("R-13", "SELECT o_orderkey FROM orders ORDER BY md5(concat_ws('-', o_orderkey, 7)), o_orderkey LIMIT 100")
 def seeded_sample(t: Tables) -> DataFrame:
     """A reproducible sample of fixed size."""
-    return t.table("orders").select("o_orderkey").orderBy(hash_order(["o_orderkey"], 7)).limit(100)
+    return t.table("orders").select("o_orderkey").orderBy(hash_order(["o_orderkey"], 7), "o_orderkey").limit(100)
 
 
 # --- sets -----------------------------------------------------------------

@@ -95,6 +95,12 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def with_matches(self, matches: DataFrame) -> Tables:
+        """The same folder with other matches, e.g. those known before a period."""
+        other = Tables(self.spark, self.sf_dir)
+        other.matches = matches
+        return other
+
     @cached_property
     def matches(self) -> DataFrame:
         """One row per (period, home, away); figures folded from order lines."""
