@@ -25,18 +25,18 @@ _STAND = views("sides", "divisions", "season_length") + f""", m AS (
   FROM sides s JOIN divisions d ON d.team = s.team JOIN divisions o ON o.team = s.opp),
 st0 AS (SELECT match_id, season, week, period, team, opp, is_home, mw, ml, mt, sum(mw) {_W} AS w, sum(ml) {_W} AS l, sum(mt) {_W} AS t,
    sum(mw * cf) {_W} AS conf_w, sum(ml * cf) {_W} AS conf_l, sum(mt * cf) {_W} AS conf_t, sum(mw * dv) {_W} AS div_w, sum(ml * dv) {_W} AS div_l, sum(mt * dv) {_W} AS div_t,
-   sum(for_points) {_W} AS pf, sum(opp_points) {_W} AS pa FROM m),
+   sum(for_points) {_W} AS pf, sum(opp_points) {_W} AS pa, sum(for_points // 7) {_W} AS tf, sum(opp_points // 7) {_W} AS ta FROM m),
 st AS (SELECT *, {_ratio()} AS ratio, {_ratio('conf_')} AS conf_ratio, {_ratio('div_')} AS div_ratio,
    coalesce(round((2 * (w - mw) + t - mt) / nullif(2 * (w + l + t - 1), 0), 4), 0) AS ratio_before FROM st0)"""
 
 
 @query(
     "Q-9",
-    _STAND + " SELECT match_id, team, w::BIGINT AS w, l::BIGINT AS l, t::BIGINT AS t, pf::BIGINT AS points_for, pa::BIGINT AS points_against, ratio, conf_ratio, div_ratio FROM st",
+    _STAND + " SELECT match_id, team, w::BIGINT AS w, l::BIGINT AS l, t::BIGINT AS t, pf::BIGINT AS points_for, pa::BIGINT AS points_against, tf::BIGINT AS tds_for, ta::BIGINT AS tds_against, ratio, conf_ratio, div_ratio FROM st",
 )
 def running_standings(t: Tables) -> DataFrame:
     st = S.running_standings(t.sides, t.divisions)
-    return st.select("match_id", "team", "w", "l", "t", "points_for", "points_against", "ratio", "conf_ratio", "div_ratio")
+    return st.select("match_id", "team", "w", "l", "t", "points_for", "points_against", "tds_for", "tds_against", "ratio", "conf_ratio", "div_ratio")
 
 
 _SOS = _STAND + f""", met AS (SELECT a.*, CASE WHEN a.is_home THEN b.ratio_before ELSE b.ratio END AS r FROM st a JOIN st b ON b.match_id = a.match_id AND b.team = a.opp),

@@ -18,6 +18,8 @@ from tidemark.plans.registry import query
 from tidemark.plans.testbed import ROLES, Tables, views
 
 ROLE_NAMES = tuple(sorted(ROLES.values()))
+# Roles that a tier counts.
+TIER_ROLES = ("QB", "RB", "WR", "TE")
 
 # --- projections and filters ---------------------------------------------
 
@@ -554,6 +556,18 @@ def markets_wide(t: Tables) -> DataFrame:
     return A.wide(m, ["player", "season"], "market", "line", [f"m{i}" for i in range(4)])
 
 
+@query(
+    "A-14",
+    views("outings") + """, m AS (SELECT season, CASE WHEN match_id % 100003 = 5 THEN 'rare' ELSE 'm' || (match_id % 3) END AS market, max(yards) AS line FROM outings GROUP BY ALL)
+    SELECT season, """ + ", ".join(f"max(line) FILTER (market = 'm{i}') AS m{i}" for i in range(3)) + " FROM m GROUP BY ALL",
+)
+def dense_markets_wide(t: Tables) -> DataFrame:
+    """Markets in columns; the one that most seasons lack goes."""
+    market = F.when(F.col("match_id") % 100003 == 5, "rare").otherwise(F.concat(F.lit("m"), (F.col("match_id") % 3).cast("string")))
+    m = t.outings.groupBy("season", market.alias("market")).agg(F.max("yards").alias("line"))
+    return A.wide(m, ["season"], "market", "line", ["m0", "m1", "m2", "rare"], max_null=0.1)
+
+
 @query(
     "A-15",
     views("matches") + """ SELECT match_id, 'home_points' AS stat, home_points AS value FROM matches UNION ALL SELECT match_id, 'away_points', away_points FROM matches""",
@@ -610,18 +624,20 @@ def model_accuracy(t: Tables) -> DataFrame:
 
 @query(
     "A-22 R-7",
-    views("outings") + """, g AS (SELECT tds AS tier, team, period, count(*) AS size, min(points) AS lo, max(points) AS hi, count(*) FILTER (position = 'QB') AS qb FROM outings GROUP BY ALL),
+    views("outings") + """, g AS (SELECT tds AS tier, team, period, count(*) AS size, min(points) AS lo, max(points) AS hi, """ + ", ".join(f"count(*) FILTER (position = '{r}') AS {r.lower()}" for r in TIER_ROLES) + """ FROM outings GROUP BY ALL),
     md AS (SELECT tier, arg_min(size, (-c, size)) AS modal_size FROM (SELECT tier, size, count(*) AS c FROM g GROUP BY ALL) GROUP BY 1)
-    SELECT g.tier, any_value(modal_size) AS modal_size, min(lo) AS lowest, floor(avg(hi))::BIGINT AS mean_top, min(qb) AS qb_min, max(qb) AS qb_max FROM g JOIN md ON md.tier = g.tier GROUP BY 1""",
+    SELECT g.tier, any_value(modal_size) AS modal_size, min(lo) AS lowest, floor(avg(hi))::BIGINT AS mean_top, """ + ", ".join(f"{f}({r}) AS {r}_{f}" for r in map(str.lower, TIER_ROLES) for f in ("min", "max"))
+    + " FROM g JOIN md ON md.tier = g.tier GROUP BY 1",
 )
 def tier_statistics(t: Tables) -> DataFrame:
     """Modal size, lowest low, mean of the tops and role counts per tier."""
     g = t.outings.groupBy(F.col("tds").alias("tier"), "team", "period").agg(
         F.count(F.lit(1)).alias("size"), F.min("points").alias("lo"), F.max("points").alias("hi"),
-        F.count_if(F.col("position") == "QB").alias("qb"),
+        *[F.count_if(F.col("position") == r).alias(r.lower()) for r in TIER_ROLES],
     )
     stats = g.groupBy("tier").agg(
-        F.min("lo").alias("lowest"), F.floor(F.avg("hi")).alias("mean_top"), F.min("qb").alias("qb_min"), F.max("qb").alias("qb_max")
+        F.min("lo").alias("lowest"), F.floor(F.avg("hi")).alias("mean_top"),
+        *[f(r).alias(f"{r}_{f.__name__}") for r in map(str.lower, TIER_ROLES) for f in (F.min, F.max)],
     )
     return stats.join(A.mode_by(g, ["tier"], "size", "modal_size"), "tier")
 

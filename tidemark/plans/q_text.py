@@ -384,20 +384,29 @@ def similar_vectors(t: Tables) -> DataFrame:
 
 @query(
     "Q-13",
-    P + """, c AS (SELECT match_id, num, home, away, (kind IN (2, 6, 8))::INT AS turned, kind = 7 AS kickoff, num % 2 AS receiver FROM plays),
-    g AS (SELECT *, count(*) FILTER (kickoff) OVER (PARTITION BY match_id ORDER BY num) AS drive FROM c),
+    P + """, c AS (SELECT match_id, num, home, away, kind, (kind IN (2, 6, 8))::INT AS turned, num % 2 AS receiver FROM plays),
+    f AS (SELECT match_id, arg_min(receiver, num) FILTER (kind = 7) AS opening, min(num) FILTER (kind = 15) AS half FROM c GROUP BY 1),
+    k AS (SELECT c.*, CASE WHEN kind = 7 THEN receiver WHEN num = half THEN 1 - coalesce(opening, 0) END AS mark FROM c JOIN f USING (match_id)),
+    g AS (SELECT *, count(mark) OVER (PARTITION BY match_id ORDER BY num) AS drive FROM k),
     s AS (SELECT *, sum(turned) OVER (PARTITION BY match_id, drive ORDER BY num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS turns,
-             last_value(CASE WHEN kickoff THEN receiver END IGNORE NULLS) OVER (PARTITION BY match_id ORDER BY num) AS start FROM g)
+             last_value(mark IGNORE NULLS) OVER (PARTITION BY match_id ORDER BY num) AS start FROM g)
     SELECT match_id, num, CASE WHEN (coalesce(start, 0) + coalesce(turns, 0)) % 2 = 0 THEN home ELSE away END AS possession FROM s""",
 )
 def possession_by_turns(t: Tables) -> DataFrame:
-    """Possession flips at every change and restarts at a kick-off (parity of a running count)."""
-    p = t.plays.select(
-        "match_id", "num", "home", "away", F.col("kind").isin(2, 6, 8).cast("int").alias("turned"),
-        F.when(F.col("kind") == 7, F.col("num") % 2).alias("receiver"),
+    """Possession flips at every change and restarts at a kick-off (parity of a running count).
+
+    The second half starts with the side that did not receive the opening kick-off;
+    the derived plays have no clock, so their first coin-toss line opens it."""
+    receiver, num = F.when(F.col("kind") == 7, F.col("num") % 2), F.col("num")
+    opening = t.plays.groupBy("match_id").agg(
+        F.min_by(receiver, F.when(F.col("kind") == 7, num)).alias("opening"), F.min(F.when(F.col("kind") == 15, num)).alias("half")
     )
+    p = t.plays.select(
+        "match_id", "num", "home", "away", F.col("kind").isin(2, 6, 8).cast("int").alias("turned"), receiver.alias("receiver")
+    ).join(opening, "match_id")
+    p = p.withColumn("receiver", F.coalesce("receiver", F.when(num == F.col("half"), 1 - F.coalesce("opening", F.lit(0)))))
     p = chunked_scan(p, ["match_id"], num_chunk(), ["num"], [RunningSum("turns", "turned", inclusive=False)])
-    # Turns counted before the last kick-off are taken off again.
+    # Turns counted before the last mark are taken off again.
     p = p.withColumn("mark", F.when(F.col("receiver").isNotNull(), F.struct("receiver", F.coalesce("turns", F.lit(0)).alias("at"))))
     p = chunked_scan(p, ["match_id"], num_chunk(), ["num"], [Fill("last", "mark")])
     since = F.coalesce("turns", F.lit(0)) - F.coalesce(F.col("last.at"), F.lit(0))
