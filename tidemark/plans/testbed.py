@@ -25,33 +25,35 @@ FORMS = [("", ""), ("", " III"), ("Van ", ""), ("Ha ", "-Dix"), ("", " Jr")]
 LINEUP_SIZE = 22
 CHUNK_ROWS = 65536
 
-# One line per play; a, b, c are names, y and z yards as text, tl a team code.
-PLAY_TEXT = """
-CASE kind
- WHEN 0 THEN concat(a, ' pass complete short left to ', b, ' for ', y, ' yards (tackle by ', c, ')')
- WHEN 1 THEN concat(a, ' pass incomplete deep right intended for ', b)
- WHEN 2 THEN concat(a, ' pass deep left intended for ', b, ' is intercepted by ', c, ' and returned for ', y, ' yards, touchdown')
- WHEN 3 THEN concat(a, ' left guard for ', y, ' yards (tackle by ', c, ')')
- WHEN 4 THEN concat(a, ' up the middle for ', z, ' yards, touchdown')
- WHEN 5 THEN concat(a, ' sacked by ', b, ' for -', z, ' yards')
- WHEN 6 THEN concat(a, ' punts ', y, ' yards, fair catch by ', b)
- WHEN 7 THEN concat(a, ' kicks off ', y, ' yards, returned by ', b, ' for ', z, ' yards (tackle by ', c, ')')
- WHEN 8 THEN concat(a, ' ', y, ' yard field goal good')
- WHEN 9 THEN concat(a, ' pass complete short right to ', b, ' for ', y, ' yards. Penalty on ', c, ': Defensive Holding, ', z, ' yards (accepted) (no play)')
- WHEN 10 THEN concat(a, ' right end for ', y, ' yards. Penalty on ', b, ': Offside, 5 yards (declined), Penalty on ', c, ': Holding, 10 yards')
- WHEN 11 THEN concat(a, ' right end for ', y, ' yards. ', tl, ' challenged the spot ruling, and the original play was overturned. ', a, ' right end for ', z, ' yards')
- WHEN 12 THEN concat('Timeout #', tn, ' by ', tl)
- WHEN 13 THEN concat(a, ' kicks extra point good')
- WHEN 14 THEN concat(a, ' kneels for -1 yards')
- WHEN 16 THEN concat(a, ' pass complete short left to ', b, ' for ', y, ' yards. ', b, ' fumbles (forced by ', c, '), recovered by ', a)
- WHEN 17 THEN concat(a, ' pass complete short right to ', b, ' for ', y, ' yards, lateral to ', c, ' for ', z, ' yards')
- WHEN 18 THEN concat(a, ' punts blocked by ', b, ', recovered by ', c, ' and returned for ', z, ' yards, touchdown')
- WHEN 19 THEN concat(a, ' kicks off ', y, ' yards, returned by ', b, ' for ', z, ' yards, touchdown')
- WHEN 20 THEN concat(a, ' left tackle for ', y, ' yards. Penalty on ', a, ': Holding, 10 yards (declined), Penalty on ', b, ': Offside, 5 yards (declined), Penalty on ', c, ': Illegal Contact, 5 yards')
- WHEN 21 THEN concat(a, ' right guard for ', y, ' yards. Penalty on ', a, ': Holding, 10 yards, Penalty on ', b, ': Offside, 5 yards, Penalty on ', c, ': Illegal Contact, ', z, ' yards, Penalty on ', b, ': Taunting, 15 yards')
- ELSE concat(tl, ' won the coin toss and deferred, ', a, ' to kick off')
-END
-"""
+# One line per kind of play; a, b, c are names, y and z yards, tl a team code, tn a number.
+PLAY_LINES = (
+    "{a} pass complete short left to {b} for {y} yards (tackle by {c})",
+    "{a} pass incomplete deep right intended for {b}",
+    "{a} pass deep left intended for {b} is intercepted by {c} and returned for {y} yards, touchdown",
+    "{a} left guard for {y} yards (tackle by {c})",
+    "{a} up the middle for {z} yards, touchdown",
+    "{a} sacked by {b} for -{z} yards",
+    "{a} punts {y} yards, fair catch by {b}",
+    "{a} kicks off {y} yards, returned by {b} for {z} yards (tackle by {c})",
+    "{a} {y} yard field goal good",
+    "{a} pass complete short right to {b} for {y} yards. Penalty on {c}: Defensive Holding, {z} yards (accepted) (no play)",
+    "{a} right end for {y} yards. Penalty on {b}: Offside, 5 yards (declined), Penalty on {c}: Holding, 10 yards",
+    "{a} right end for {y} yards. {tl} challenged the spot ruling, and the original play was overturned. {a} right end for {z} yards",
+    "Timeout #{tn} by {tl}",
+    "{a} kicks extra point good",
+    "{a} kneels for -1 yards",
+    "{tl} won the coin toss and deferred, {a} to kick off",
+    "{a} pass complete short left to {b} for {y} yards. {b} fumbles (forced by {c}), recovered by {a}",
+    "{a} pass complete short right to {b} for {y} yards, lateral to {c} for {z} yards",
+    "{a} punts blocked by {b}, recovered by {c} and returned for {z} yards, touchdown",
+    "{a} kicks off {y} yards, returned by {b} for {z} yards, touchdown",
+    "{a} left tackle for {y} yards. Penalty on {a}: Holding, 10 yards (declined), Penalty on {b}: Offside, 5 yards (declined), Penalty on {c}: Illegal Contact, 5 yards",
+    "{a} right guard for {y} yards. Penalty on {a}: Holding, 10 yards, Penalty on {b}: Offside, 5 yards, Penalty on {c}: Illegal Contact, {z} yards, Penalty on {b}: Taunting, 15 yards",
+)
+# Filled in by replacement: a CASE over finished lines would not fit one generated method.
+PLAY_TEXT = "CASE kind " + " ".join(f"WHEN {i} THEN '{line}'" for i, line in enumerate(PLAY_LINES)) + " END"
+for _slot in ("a", "b", "c", "y", "z", "tl", "tn"):
+    PLAY_TEXT = f"replace({PLAY_TEXT}, '{{{_slot}}}', {_slot})"
 
 # Roles of a, b, c per kind of play.
 PLAY_ROLES = """
