@@ -311,3 +311,12 @@ def test_p_values_match_the_solver_and_survive_dependent_columns(spark):
     # Won and lost: each is the other's complement, and both carry the effect.
     both = M.p_values(d.withColumn("c", 16 - F.col("a")), ["a", "c", "b"], "y")
     assert both["a"] < 1e-6 and math.isclose(both["a"], both["c"], rel_tol=1e-6, abs_tol=1e-12)
+
+
+def test_models_per_group_on_several_columns(spark):
+    rows = [(g, float(x), float(x * x), None, 1.0 + g * x + 2 * x * x) for g in (1, 2) for x in range(6)]
+    d = spark.createDataFrame([(*r[:3], r[1] * 2, r[4]) for r in rows] + [(1, 7.0, 49.0, 14.0, None)], "g int, a double, b double, c double, y double")
+    got = {r.g: r for r in M.grouped_planes(d, ["g"], ["a", "b"], "y").collect()}
+    assert got[2].intercept == pytest.approx(1) and got[2].coefficients == pytest.approx([2, 2])
+    # Dependent columns: the same fitted values, finite weights.
+    assert M.impute_with_planes(d, ["g"], ["a", "c", "b"], "y").filter("a = 7").first().y == pytest.approx(1 + 7 + 98)

@@ -193,3 +193,49 @@ def impute_with_line(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFr
     out = df.join(lines, list(by), "left")
     guess: Column = F.col("intercept") + F.col("slope") * F.col(x)
     return out.withColumn(y, F.coalesce(F.col(y).cast("double"), guess)).drop("slope", "intercept", "r2")
+
+
+def grouped_planes(df: DataFrame, by: Sequence[str], cols: Sequence[str], y: str) -> DataFrame:
+    """One least-squares model on several columns per group: by, intercept, coefficients.
+
+    The group's means and covariances are one aggregate, so any number of rows
+    folds to one row per group; these rows are solved by the pseudo-inverse in
+    Arrow batches.  Rows with a null in any column are left out, as is a null y;
+    dependent columns share their weight.
+    """
+    known = df.select(*by, *[F.col(c).cast("double").alias(c) for c in [*cols, y]]).dropna(subset=[*cols, y])
+    pairs = [(a, b) for i, a in enumerate(cols) for b in [*cols[i:], y]]
+    folded = known.groupBy(*by).agg(
+        F.array(*[F.avg(c) for c in [*cols, y]]).alias("_means"), F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("_cov")
+    )
+    k = len(cols)
+
+    def solve(batches):
+        for pdf in batches:
+            found = []
+            for means, flat in zip(pdf["_means"], pdf["_cov"]):
+                gram, right, values = np.zeros((k, k)), np.zeros(k), iter(flat)
+                for i in range(k):
+                    for j in range(i, k):
+                        gram[i, j] = gram[j, i] = next(values)
+                    right[i] = next(values)
+                beta = np.linalg.pinv(gram, hermitian=True) @ right
+                found.append((float(means[k] - beta @ means[:k]), beta.tolist()))
+            out = pdf[list(by)].copy()
+            out["intercept"], out["coefficients"] = [f[0] for f in found], [f[1] for f in found]
+            yield out
+
+    fields = [f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by]
+    return folded.mapInPandas(solve, ", ".join([*fields, "intercept double", "coefficients array<double>"]))
+
+
+def plane_value(cols: Sequence[str]) -> Column:
+    """Prediction of a joined :func:`grouped_planes` row."""
+    return sum((F.get("coefficients", F.lit(i)) * F.col(c) for i, c in enumerate(cols)), F.col("intercept"))
+
+
+def impute_with_planes(df: DataFrame, by: Sequence[str], cols: Sequence[str], y: str) -> DataFrame:
+    """Missing ``y`` from the group's model on several columns over the rows that have it."""
+    models = grouped_planes(df, by, cols, y)
+    out = df.join(models, list(by), "left")
+    return out.withColumn(y, F.coalesce(F.col(y).cast("double"), plane_value(cols))).drop("intercept", "coefficients")

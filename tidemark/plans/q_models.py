@@ -109,6 +109,34 @@ def model_per_role(t: Tables) -> DataFrame:
     return out.select("position", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")])
 
 
+_PLANE = """, c AS (SELECT position, avg(points) AS my, avg(attempts) AS m1, avg(yards) AS m2, var_pop(attempts) AS v1, var_pop(yards) AS v2, covar_pop(attempts, yards) AS v12,
+      covar_pop(attempts, points) AS c1, covar_pop(yards, points) AS c2 FROM outings WHERE {rows} GROUP BY 1),
+    b AS (SELECT *, (c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12) AS b1, (c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12) AS b2 FROM c)"""
+
+
+@query(
+    "ML-8",
+    views("outings") + _PLANE.format(rows="true") + " SELECT position, round(my - b1 * m1 - b2 * m2, 6) AS intercept, round(b1, 6) AS by_attempts, round(b2, 6) AS by_yards FROM b",
+)
+def planes_per_role(t: Tables) -> DataFrame:
+    """Model on several columns per role, fitted from one aggregate."""
+    out = M.grouped_planes(t.outings, ["position"], ["attempts", "yards"], "points")
+    b = F.col("coefficients")
+    return out.select("position", F.round("intercept", 6).alias("intercept"), F.round(b[0], 6).alias("by_attempts"), F.round(b[1], 6).alias("by_yards"))
+
+
+@query(
+    "ML-15 ML-8",
+    views("outings") + _PLANE.format(rows="match_id % 10 <> 0")
+    + " SELECT match_id, player, round(CASE WHEN match_id % 10 <> 0 THEN points ELSE my + b1 * (attempts - m1) + b2 * (yards - m2) END, 4) AS points FROM outings JOIN b USING (position)",
+)
+def imputed_by_columns(t: Tables) -> DataFrame:
+    """Missing points from the role's model on several columns."""
+    holed = t.outings.select("match_id", "player", "position", "attempts", "yards", F.when(F.col("match_id") % 10 != 0, F.col("points")).alias("points"))
+    out = M.impute_with_planes(holed, ["position"], ["attempts", "yards"], "points")
+    return out.select("match_id", "player", F.round("points", 4).alias("points"))
+
+
 @query("ML-10")
 def best_split(t: Tables) -> DataFrame:
     seed, accuracy = M.best_of_splits(wide_once(t), ["match_id"], FEATURES, "home_win", M.classifier, [1, 2])
