@@ -320,3 +320,19 @@ def test_models_per_group_on_several_columns(spark):
     assert got[2].intercept == pytest.approx(1) and got[2].coefficients == pytest.approx([2, 2])
     # Dependent columns: the same fitted values, finite weights.
     assert M.impute_with_planes(d, ["g"], ["a", "c", "b"], "y").filter("a = 7").first().y == pytest.approx(1 + 7 + 98)
+
+
+def test_append_reads_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    one_batch = spark.createDataFrame([(1, 1, 2020), (2, 1, 2020), (3, 1, 2021), (4, 1, None)], "k int, v int, season int")
+    two = spark.createDataFrame([(2, 9, 2020), (5, 9, 2020), (4, 9, None), (6, 9, 2022)], "k int, v int, season int")
+    I.append_new(spark, path, one_batch, ["k"], "season")
+    # A broken file in a partition that the batch does not touch is never opened.
+    for f in (tmp_path / "t" / "season=2021").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    for f in (tmp_path / "t" / "season=2021").glob(".*.crc"):
+        f.unlink()
+    schema = "k int, v int, season int"
+    I.append_new(spark, path, two, ["k"], "season")
+    got = spark.read.schema(schema).parquet(path).filter("season IS NULL OR season <> 2021")
+    assert sorted((r.k, r.v) for r in got.collect()) == [(1, 1), (2, 1), (4, 1), (5, 9), (6, 9)]

@@ -22,7 +22,8 @@ def streamed_append(t: Tables) -> DataFrame:
     mid = events.agg(F.avg("event_id")).scalar()
     for part in (events.filter(F.col("event_id") <= mid * 1.2), events.filter(F.col("event_id") >= mid * 0.8)):
         part.write.mode("append").parquet(src)
-    I.stream_append(t.spark, src, events.schema, dst, ["event_id"], lambda b: b, Fi.scratch(t.spark, "stream-ckpt"), files_per_batch=1)
+    ckpt = Fi.scratch(t.spark, "stream-ckpt")
+    I.stream_append(t.spark, src, events.schema, dst, ["event_id"], lambda b: b, ckpt, files_per_batch=1, partition="event_type")
     return t.spark.read.schema(events.schema).parquet(dst)
 
 

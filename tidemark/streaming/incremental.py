@@ -12,12 +12,23 @@ from tidemark.operators.setops import unseen
 from tidemark.sources.files import exists, overwrite_partitions
 
 
-def append_new(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str]) -> None:
-    """Append the rows of ``batch`` whose key the table does not hold yet."""
+def append_new(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], partition: str | None = None) -> None:
+    """Append the rows of ``batch`` whose key the table does not hold yet.
+
+    ``partition`` names a column that the key determines (a season, a day): the table
+    is laid out by it, and only the partitions that the batch touches are read.
+    """
     batch = batch.dropDuplicates(list(keys))
     if exists(spark, path):
-        batch = unseen(batch, spark.read.parquet(path), keys)
-    batch.write.mode("append").parquet(path)
+        known = spark.read.schema(batch.schema).parquet(path)
+        if partition is not None:
+            # One value per touched partition comes to the driver.
+            touched = [r[0] for r in batch.select(partition).distinct().collect()]
+            col = F.col(partition)
+            known = known.filter(col.isin([v for v in touched if v is not None]) | (col.isNull() if None in touched else F.lit(False)))
+        batch = unseen(batch, known, keys)
+    writer = batch.write.mode("append")
+    (writer if partition is None else writer.partitionBy(partition)).parquet(path)
 
 
 def stream_append(
@@ -29,15 +40,17 @@ def stream_append(
     derive: Callable[[DataFrame], DataFrame],
     checkpoint: str,
     files_per_batch: int = 1000,
+    partition: str | None = None,
 ) -> None:
     """Run a file stream to its end: derive, then append unseen keys.
 
     The anti-join makes a replayed batch harmless, so the table holds each
-    key once whatever fails in between.
+    key once whatever fails in between.  With ``partition`` a batch reads the
+    partitions it touches and not the whole target (see :func:`append_new`).
     """
 
     def step(batch: DataFrame, _: int) -> None:
-        append_new(spark, target, derive(batch), keys)
+        append_new(spark, target, derive(batch), keys, partition)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = (
