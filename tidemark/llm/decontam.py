@@ -57,9 +57,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and for each text where its words begin
     (one more entry for the end).  Words are lower-cased runs of letters and digits."""
-    data = [t.lower().encode("utf-8", "replace") for t in texts]
+    return run_hashes([t.lower().encode("utf-8", "replace") for t in texts], _IS_WORD)
+
+
+def run_hashes(data: list[bytes], word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for runs of the bytes that ``word_bytes`` marks (not the space)."""
     buf = np.frombuffer(b" ".join(data) + b" ", dtype=np.uint8)
-    is_word = _IS_WORD[buf]
+    is_word = word_bytes[buf]
     edge = np.flatnonzero(np.diff(is_word.view(np.int8), prepend=np.int8(0)))
     starts, ends = edge[::2], edge[1::2]
     size = 1 << max(20, int(len(buf)).bit_length())
