@@ -160,11 +160,13 @@ def threshold_sweep(df: DataFrame, keys: Sequence[str], cols: Sequence[str], lab
     """Hold-out R2 of a linear model per p-value threshold."""
     train, test = split(df, keys)
     values = p_values(train, cols, label)
-    out = []
+    out, known = [], {}
     for th in thresholds:
-        kept = [c for c, p in values.items() if p <= th] or list(cols)
-        pred = fit(train, kept, label, regressor()).transform(test.withColumn("label", F.col(label).cast("double")))
-        out.append((th, len(kept), RegressionEvaluator(metricName="r2").evaluate(pred)))
+        kept = tuple(c for c, p in values.items() if p <= th) or tuple(cols)
+        if kept not in known:  # thresholds that keep the same columns share their fit
+            pred = fit(train, kept, label, regressor()).transform(test.withColumn("label", F.col(label).cast("double")))
+            known[kept] = RegressionEvaluator(metricName="r2").evaluate(pred)
+        out.append((th, len(kept), known[kept]))
     return out
 
 
