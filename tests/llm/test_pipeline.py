@@ -81,4 +81,4 @@ def test_registered(spark, stages):
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, stages[4]))
     numbers = sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op") and n[2].isdigit())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))

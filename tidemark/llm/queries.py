@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, exact, mixing, quality, simhash, suffix, tokens, toxicity, warc
+from tidemark.llm import bpe, chat, decontam, exact, infill, mixing, periodic, quality, simhash, suffix, tokens, toxicity, warc
 from tidemark.llm.common import fold, table
 
 TOXIC_FOLDS, TOXIC_HELD = 5, 0
@@ -78,6 +78,44 @@ def op10_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = F.col("top")
+    found = periodic.word_runs(periodic.with_planted_runs(table(spark, sf_dir, "documents"))).withColumn("top", periodic.longest_run())
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        top["start"].alias("start"),
+        top["length"].alias("length"),
+        top["period"].alias("period"),
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(periodic.run_table(), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_infill_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.restored(infill.fill_in_middle(table(spark, sf_dir, "documents"), seed=42, rate=50, spm=80)).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -91,6 +129,9 @@ QUERIES = {
         op8_warc_archives,
         op9_benchmark_windows,
         op10_simhash_covering,
+        op11_periodic_runs,
+        op12_bpe_tree,
+        op13_infill_rotation,
     )
 }
 
@@ -114,10 +155,26 @@ _CHAT_SQL = r"""
         (d.chars + coalesce(again.chars, 0))::BIGINT AS formatted_chars
     FROM d LEFT JOIN again ON d.conv_id IS NOT DISTINCT FROM again.conv_id"""
 
+# Seed 42; half of the texts that hold no mark change, four fifths of those to spm.
+_INFILL_SQL = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+        regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t FROM documents),
+    e AS (SELECT *, len(t)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+        ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+    f AS (SELECT *, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain'
+        WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM e),
+    g AS (SELECT *, coalesce(array_to_string(t[1:a], ''), '') AS p, coalesce(array_to_string(t[a + 1:b], ''), '') AS m,
+        coalesce(array_to_string(t[b + 1:], ''), '') AS s FROM f)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+            ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+    FROM g"""
+
 SQL = {
     "op2_chat_windows": _CHAT_SQL,
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op13_infill_rotation": _INFILL_SQL,
 }
