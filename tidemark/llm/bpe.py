@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +41,21 @@ WINDOW = 64
 #: Bytes before the end of a part in which its split into words may still change:
 #: four characters of four bytes.
 MARGIN = 16
+#: Bit of the first token of a word; ids are smaller.
+START = 1 << 30
+#: Cells that a worker remembers, then it starts afresh, and characters of one.
+MEMORY, LONG_CELL = 500_000, 48
 #: Bytes of tokens and text that a task holds before it hands out a batch.
 BATCH = 4_000_000
 
+# White space is a word break wherever other signs follow: one blank belongs to what
+# follows it, any other last sign of white space stands alone.  So words break before
+# a blank and its signs, and before white space that follows a sign.
+_SPACE = " \t\n\x0b\x0c\r"
+_CELL = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?= [^ \t-\r])|[ \t-\r]+[^ \t-\r]*")
+# Signs that may count as white space as well: their texts are encoded as a whole.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+
 
 @dataclass
 class Node:
@@ -79,23 +92,68 @@ class Bpe:
         marks = sorted((t.content for t in added), key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
         byte_of = byte_alphabet()
-        self.bytes: list[bytes] = [b""] * (1 + max(self.tok.get_vocab().values(), default=0))
+        self.bytes = np.full(1 + max(self.tok.get_vocab().values(), default=0), b"", dtype=object)
         for token, i in self.tok.get_vocab().items():
             known = all(c in byte_of for c in token)
             self.bytes[i] = bytes(byte_of[c] for c in token) if known else token.encode()
+        self.cells: dict[str, bytes] = {}
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encoded(self, text: str) -> np.ndarray:
+        """The library's ids of the text with START on the first of each word."""
+        e = self.tok.encode(text, add_special_tokens=False)
+        ids, words = np.array(e.ids, dtype=np.int32), np.array(e.word_ids, dtype=np.int64)
+        return ids | np.append(True, words[1:] != words[:-1])[: len(ids)] * np.int32(START)
+
+    def _learn(self, cells: list[str]) -> None:
+        """Remember the cells' ids, those of many cells from one call.
+
+        Cells that begin with white space and end without stay what they are in a
+        row; their places in the result follow from their lengths."""
+        row = [c for c in cells if c[0] in _SPACE and c[-1] not in _SPACE]
+        for at in range(0, len(row), 4096):
+            some = row[at : at + 4096]
+            found = self._encoded("".join(some))
+            ends = np.cumsum([len(c.encode()) for c in some])
+            reached = np.cumsum(self.lengths[found & ~START])
+            cuts = np.searchsorted(reached, ends) + 1
+            if not np.array_equal(reached[cuts - 1], ends):
+                raise ValueError("the tokenizer does not break words at white space")
+            data, last = found.tobytes(), 0
+            for c, cut in zip(some, (cuts * 4).tolist(), strict=True):
+                self.cells[c] = data[last:cut]
+                last = cut
+        for c in cells:
+            if c not in self.cells:
+                self.cells[c] = self._encoded(c).tobytes()
+
+    def marked(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text with START on the first of each word.
+
+        Cells of a text lie between places where every word split falls, so a
+        text's ids are its cells' ids in a row; a short cell goes to the library
+        once and is remembered.
+        """
+        if len(self.cells) > MEMORY:
+            self.cells = {}
+        known = self.cells
+        plain = [not _ODD.search(t) and not (self.marks and self.marks.search(t)) for t in texts]
+        parts = [_CELL.findall(t) if p else [t] for t, p in zip(texts, plain, strict=True)]
+        new = {c for c in set().union(*parts) if c not in known}
+        self._learn([c for c in new if len(c) <= LONG_CELL])
+        once = {c: self._encoded(c).tobytes() for c in new if len(c) > LONG_CELL}
+        out = []
+        for p in parts:
+            packed = b"".join([known.get(c) or once[c] for c in p] if once else map(known.__getitem__, p))
+            out.append(np.frombuffer(packed, dtype=np.int32))
+        return out
 
     def node(self, data: bytes, lo: int) -> Node:
         """Encoding of a part that starts at ``lo`` of its text."""
-        e = self.tok.encode(data.decode(), add_special_tokens=False)
-        ids, words = np.array(e.ids, dtype=np.int32), np.array(e.word_ids, dtype=np.int64)
-        starts = np.append(True, words[1:] != words[:-1])[: len(ids)]
-        return self.known(ids, starts, lo)
+        return self.known(self.marked([data.decode()])[0], lo)
 
-    def known(self, ids: np.ndarray, starts: np.ndarray, lo: int) -> Node:
+    def known(self, marked: np.ndarray, lo: int) -> Node:
+        ids, starts = marked & ~START, (marked & START) != 0
         ends = lo + np.cumsum(self.lengths[ids])
         return Node(lo, int(ends[-1]) if len(ends) else lo, ids, ends, starts)
 
@@ -103,10 +161,10 @@ class Bpe:
         """The text cut at added tokens, which stand alone."""
         return [s for s in (self.marks.split(text) if self.marks else [text]) if s]
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids: their bytes in a row; ids outside the vocabulary say nothing."""
-        known, n = self.bytes, len(self.bytes)
-        return b"".join([known[i] for i in ids if i is not None and 0 <= i < n]).decode("utf-8", "replace")
+        inside = (ids >= 0) & (ids < len(self.bytes))
+        return b"".join(self.bytes[ids if inside.all() else ids[inside]].tolist()).decode("utf-8", "replace")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -223,7 +281,7 @@ def _short(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                ids = coder.ids([t.decode("utf-8", "replace") for t in part.column("text").to_pylist()])
+                ids = [m & ~START for m in coder.marked([t.decode("utf-8", "replace") for t in part.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), _lists(ids)], names=["doc_id", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, ids array<int>")
@@ -258,24 +316,22 @@ def _long(docs: DataFrame, tokenizer: str, leaf: int) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
-                nodes = [coder.node(p.encode(), 0) for p in part.column("piece").to_pylist()]
-                columns = [*part.columns, _lists([n.ids for n in nodes]), pa.array([np.packbits(n.starts).tobytes() for n in nodes], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "ids", "starts"])
+                marked = coder.marked(part.column("piece").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(marked)], names=[*part.schema.names, "marked"])
 
     def grow(table: pa.Table) -> pa.Table:
         coder = bpe(tokenizer)
         table = table.sort_by([("segment", "ascending"), ("leaf", "ascending")])
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("segment", "piece", "starts")), strict=True))
-        ids = [np.array(x.values, dtype=np.int32) for x in table.column("ids")]
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("segment", "piece")), strict=True))
+        marked = [x.values.to_numpy() for x in table.column("marked")]
         out, at = [], 0
         while at < len(rows):
             end = at
             while end < len(rows) and rows[end][0] == rows[at][0]:
                 end += 1
             data, nodes, lo = "".join(r[1] for r in rows[at:end]).encode(), [], 0
-            for (_, _, bits), x in zip(rows[at:end], ids[at:end], strict=True):
-                starts = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(x)).astype(bool)
-                nodes.append(coder.known(x, starts, lo))
+            for m in marked[at:end]:
+                nodes.append(coder.known(m, lo))
                 lo = nodes[-1].hi
             out.append(concatenate(coder, data, nodes).ids)
             at = end
@@ -287,7 +343,7 @@ def _long(docs: DataFrame, tokenizer: str, leaf: int) -> DataFrame:
     pieces = pa.schema([("tree", pa.string()), ("doc_id", pa.int64()), ("segment", pa.int32()), ("leaf", pa.int32()), ("piece", pa.string())])
     leaves = docs.withColumn("tree", F.sha2("text", 256)).mapInArrow(cut, "tree string, doc_id long, segment int, leaf int, piece string")
     leaves = leaves.groupBy("tree", "doc_id", "segment", "leaf", "piece").agg(F.count(F.lit(1)).alias("copies"))
-    schema = "tree string, doc_id long, segment int, leaf int, piece string, copies long, ids array<int>, starts binary"
+    schema = "tree string, doc_id long, segment int, leaf int, piece string, copies long, marked array<int>"
     grown = leaves.mapInArrow(encode, schema).groupBy("tree", "doc_id").applyInArrow(grow, "doc_id long, copies long, ids array<int>")
     return grown.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "ids")
 
@@ -327,7 +383,11 @@ def decode(frame: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
-                texts = [coder.decode(() if x is None else x) for x in part.column("ids").to_pylist()]
+                lists = part.column("ids")
+                if lists.null_count:
+                    lists = lists.fill_null([])
+                flat, at_of = pc.fill_null(lists.flatten(), -1).to_numpy(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+                texts = [coder.decode(flat[a:b]) for a, b in zip(at_of, at_of[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return frame.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
