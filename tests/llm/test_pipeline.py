@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from test_operators import similar
-from test_simhash import slow_fingerprint, union
+from test_similar import groups
 from tidemark.llm import mixing
 
 SF = "/root/testdata/sf0.001"
@@ -43,10 +43,8 @@ def test_quality_keeps_clean_documents(stages):
 
 
 def test_one_document_of_each_group(stages):
-    fp = {r.doc_id: slow_fingerprint(r.text) for r in stages[0]}
-    ids = sorted(fp)
-    group = union([(a, b) for a in ids for b in ids if a < b and (fp[a] ^ fp[b]).bit_count() <= 2], ids)
-    assert sorted(r.doc_id for r in stages[1]) == sorted(set(group.values()))
+    want = groups({r.doc_id: r.text for r in stages[0]})
+    assert sorted(r.doc_id for r in stages[1]) == sorted(set(want.values()))
 
 
 def test_no_benchmark_passage_is_left(stages):
@@ -82,3 +80,39 @@ def test_registered(spark, stages):
     assert sorted(map(tuple, got)) == sorted(map(tuple, stages[4]))
     numbers = sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op") and n[2].isdigit())
     assert numbers == list(range(1, 14))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, own_id long, own_key int, _own_words string, words int, shard int"
+
+
+def odd_rows():
+    line = "A clear sentence about rivers, towns and their long history stands here. "
+    base = [(i, line * (i % 5 + 1) + f"Number {i} closes it.", "en", "a" if i % 3 else None, 1, "s", 7, 8, "w", 9, 3) for i in range(30)]
+    more = [(None, line, "en", "b", 1, "s", 7, 8, "w", 9, 3), (50, None, None, None, None, None, None, None, None, None, None)]
+    return base + base[:4] + more + more + [(51, "", "en", "b", 0, "s", 7, 8, "w", 9, 3), (52, line * 4000, "en", "b", 1, "s", 7, 8, "w", 9, 3)]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_with_odd_rows_and_clashing_names(spark, k):
+    """Null ids and texts, repeated rows, a long text, columns named like helpers."""
+    given = odd_rows()
+    out = corpus_pipeline.STAGES[k][1](spark, spark.createDataFrame(given, ODD), SF)
+    got = out.collect()
+    if k < 4:
+        assert out.columns == [f.split()[0] for f in ODD.split(", ")]
+        assert all((r.score, r.own_id, r.own_key, r._own_words, r.words, r.shard) in (("s", 7, 8, "w", 9, 3), (None,) * 6) for r in got)
+    if k == 1:
+        want = groups({r[0]: r[1] for r in given if r[0] is not None})
+        assert Counter(r.doc_id for r in got) == Counter(r[0] for r in given if r[0] is None or want[r[0]] == r[0])
+    if k == 2:
+        assert Counter(map(tuple, got)) == Counter(given)
+    if k == 3:
+        assert None in {r.source for r in got} and not any(r.doc_id in (50, 51) for r in got)
+        assert all(r.n_chars == len(r.text) for r in got)
+    if k == 4:
+        assert Counter(r.doc_id for r in got) == Counter(r[0] for r in given)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_with_an_empty_table(spark, k):
+    assert corpus_pipeline.STAGES[k][1](spark, spark.createDataFrame([], ODD), SF).count() == 0

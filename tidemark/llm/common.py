@@ -29,6 +29,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A beginning for helper columns that no column of a frame has."""
+    prefix = "own_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder; nothing is created yet."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Emitter
+from tidemark.llm.common import Emitter, free_prefix
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 18
 #: Benchmark items, and their characters, per pass over the documents; a
@@ -251,5 +251,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item.
 
     A row with a null doc_id can't be named by a result and is kept."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+    name = f"{free_prefix(docs.columns)}id"
+    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs["doc_id"] == bad[name], "left_anti")

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, Scratch, shuffle_partitions
+from tidemark.llm.common import WORD, Scratch, free_prefix, shuffle_partitions
 
 #: Words of a block on average; a source has at least one block.
 BLOCK_WORDS = 20_000
@@ -214,21 +214,20 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     shards = how.pop("shards", None) or shuffle_partitions(spark)
     seed = how.get("seed", 17)
     draws, _ = mix(sized(docs, seed), shards=shards, **how)
-    columns = docs.columns
-    keyed = docs.withColumns(
-        {"_key": F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"), "source"), "_n": F.lit(1)}
-    ).withColumn("_same", F.row_number().over(Window.partitionBy("_key", "doc_id").orderBy("_n")))
-    picks = draws.select(
-        F.col("row_key").alias("_key"), F.col("same").alias("_same"), F.col("doc_id").alias("_id"), "words", "size", "shard", "position"
-    ).withColumnsRenamed({"words": "_words", "size": "_size", "shard": "_shard", "position": "_position"})
-    cut = F.array_join(F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, F.col("_words").cast("int") + F.col("_lead")), " ")
-    j = keyed.join(
-        picks, (keyed["_key"] == picks["_key"]) & (keyed["_same"] == picks["_same"]) & keyed["doc_id"].eqNullSafe(picks["_id"])
-    ).withColumn("_lead", F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int"))
-    out = j.withColumn("text", F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text")))
+    columns, own = docs.columns, free_prefix(docs.columns)
+    key, same, lead = f"{own}key", f"{own}same", f"{own}lead"
+    keyed = docs.withColumn(key, F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"), "source"))
+    keyed = keyed.withColumn(same, F.row_number().over(Window.partitionBy(key, "doc_id").orderBy(F.lit(1))))
+    keyed = keyed.withColumn(lead, F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int"))
+    names = {"row_key": "row", "same": "number", "doc_id": "id", "words": "words", "size": "size", "shard": "shard", "position": "position"}
+    picks = draws.select(*(F.col(c).alias(own + n) for c, n in names.items()))
+    words, size, shard, position = (own + n for n in ("words", "size", "shard", "position"))
+    cut = F.array_join(F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, F.col(words).cast("int") + F.col(lead)), " ")
+    picked = (F.col(key) == F.col(f"{own}row")) & (F.col(same) == F.col(f"{own}number")) & F.col("doc_id").eqNullSafe(F.col(f"{own}id"))
+    out = keyed.join(picks, picked).withColumn("text", F.when(F.col(words) < F.col(size), cut).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.repartitionByRange(shards, "_shard", "_position").sortWithinPartitions("_shard", "_position").select(*columns)
+    return out.repartitionByRange(shards, shard, position).sortWithinPartitions(shard, position).select(*columns)
 
 
 def taken_per_document(docs: DataFrame, seed: int = 17, **how) -> DataFrame:

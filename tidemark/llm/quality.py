@@ -235,13 +235,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_fold, label: str = "quality") ->
     return Model(np.array(w), (a, b), slope, offset)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with a column score, whole texts.
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` (doc_id, text, ...) with a column ``name``, whole texts.
 
     A null text is empty, one empty line.  The score depends on the text alone;
-    all columns of ``docs`` are passed on, but one of the name score is replaced."""
-    docs = docs.drop("score")
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    all columns of ``docs`` are passed on, but one of that name is replaced."""
+    docs = docs.drop(name)
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches):
         for b in batches:
@@ -254,6 +254,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     part, size = [], 0
             if part:
                 out += model.scores(part)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
