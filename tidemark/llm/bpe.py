@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import rows_of
+from tidemark.llm.common import REMEMBERING, rows_of
 
 #: Code points of a leaf at most; texts longer than two leaves become trees.
 LEAF = 8192
@@ -98,6 +98,10 @@ class Bpe:
             self.bytes[i] = bytes(byte_of[c] for c in token) if known else token.encode()
         self.cells: dict[str, bytes] = {}
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
+        REMEMBERING.append(self)
+
+    def forget(self) -> None:
+        self.cells = {}
 
     def _encoded(self, text: str) -> np.ndarray:
         """The library's ids of the text with START on the first of each word."""

@@ -95,6 +95,16 @@ class Output:
         self.fs.move(self.temp, self.path)
 
 
+#: Tokenizers of this worker that remember words from task to task.
+REMEMBERING: list = []
+
+
+def release() -> None:
+    """Empty the worker's memories of words; the next operator needs the room."""
+    for coder in REMEMBERING:
+        coder.forget()
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Rows of Arrow batches as Python tuples of the named columns."""
     for b in batches:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tidemark.llm.common import release
 from tidemark.llm.fitting import descend, platt, sample_ids, sigmoid
 
 #: Labelled rows of a fit, and lines that such a row may have, at most.
@@ -244,6 +245,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches):
+        release()
         for b in batches:
             texts, out, part, size = b.column("text").to_pylist(), [], [], 0
             for t in texts:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Emitter, Output, file_system, new_folder, rows_of, shuffle_partitions
+from tidemark.llm.common import REMEMBERING, Emitter, Output, file_system, new_folder, rows_of, shuffle_partitions
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEK_SKIPPABLE, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -64,6 +64,11 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
+        REMEMBERING.append(self)
+
+    def forget(self) -> None:
+        self.words, self.pieces = {}, {}
+
     def raw(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
