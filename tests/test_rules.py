@@ -65,15 +65,16 @@ def test_scoring(spark):
 @pytest.mark.parametrize(
     "line, names",
     [
-        ("Rob Marks pass complete to D'Arby Quill for 4 yards (tackle by J.T. O'Brady and Lu-Ann St. Croix)", ["Rob Marks", "D'Arby Quill", "J.T. O'Brady", "Lu-Ann St. Croix"]),
-        ("AJ Mills left end for -2 yards. Penalty on Karl von Bergen: Defensive Holding, 5 yards (accepted)", ["AJ Mills", "Karl von Bergen"]),
-        ("Dee E. Moss kneels for -1 yards", ["Dee E. Moss"]),
-        ("DeVal McCray-Jones up the middle for no gain", ["DeVal McCray-Jones"]),
-        ("Rolf Griff III left end for 3 yards (tackle by Ha Ha Clin-Dax)", ["Rolf Griff III", "Ha Ha Clin-Dax"]),
-        ("Moe Kost punts 30 yards, fair catch by Tad Gann Jr.. Penalty on Ras-I Dole: Fair Catch Interference, 15 yards", ["Moe Kost", "Tad Gann Jr", "Ras-I Dole"]),
-        ("Al Bo kicks off 60 yards. Penalty on Cy IIvor: Offside on Free Kick, 5 yards", ["Al Bo", "Cy IIvor"]),
-        ("Zed Lo for -14 yards Zed Lo for no gain", ["Zed Lo"]),
-        ("Amon-Ra Tell fumbles, recovered by Ki'on Watt", ["Amon-Ra Tell", "Ki'on Watt"]),
+        # A suffix, a double given name, a particle, an apostrophe, inner capitals, initials.
+        ("Nils Ormond IV right end for 7 yards", ["Nils Ormond IV"]),
+        ("Pip Pip Ashdown-Reef left guard for 1 yards", ["Pip Pip Ashdown-Reef"]),
+        ("Udo van Laar sacked by Q'Enzo Birch for -6 yards", ["Udo van Laar", "Q'Enzo Birch"]),
+        ("LeVon McTavish-Dorn kneels for -1 yards", ["LeVon McTavish-Dorn"]),
+        ("W.B. O'Hallow pass incomplete deep left intended for Yan-Li St. Amour", ["W.B. O'Hallow", "Yan-Li St. Amour"]),
+        ("KZ Plum left tackle for 2 yards. Penalty on Odo von Trast: Defensive Holding, 5 yards (declined)", ["KZ Plum", "Odo von Trast"]),
+        ("Ida F. Nook punts 41 yards, fair catch by Gus Penn Sr.. Penalty on Tam-O Rusk: Holding, 10 yards", ["Ida F. Nook", "Gus Penn Sr", "Tam-O Rusk"]),
+        ("Kiri-Ann Sable fumbles, recovered by Lo'ran Dey", ["Kiri-Ann Sable", "Lo'ran Dey"]),
+        ("Ben Ode kicks off 58 yards, returned by Max DuVall for 20 yards (tackle by Jo Ury)", ["Ben Ode", "Max DuVall", "Jo Ury"]),
     ],
 )
 def test_person_names(spark, line, names):

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import stored
+
 
 def correlations(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """Correlation of each column with the target, as rows; one pass."""
@@ -144,28 +145,226 @@ def best_of_splits(df: DataFrame, keys: Sequence[str], cols: Sequence[str], labe
     return best[1], best[0]
 
 
-def grid_search(df: DataFrame, cols: Sequence[str], label: str, reg: Sequence[float], folds: int = 2):
-    """Cross-validated grid over the regularisation of a logistic model."""
-    model = LogisticRegression(featuresCol="features", labelCol="label", maxIter=10)
-    grid = ParamGridBuilder().addGrid(model.regParam, list(reg)).build()
-    cv = CrossValidator(
-        estimator=model, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-        numFolds=folds, parallelism=2, seed=1,
+def pooled_classes(df: DataFrame, label: str, least: int, other: float = -1.0) -> DataFrame:
+    """``df`` with ``label`` pooled: classes of fewer than ``least`` rows become ``other``.
+
+    The classes are counted in one aggregate and joined back; nulls stay null."""
+    counts = df.groupBy(F.col(label).alias("_pooled")).agg(F.count(F.lit(1)).alias("_rows"))
+    out = df.join(counts, F.col(label).eqNullSafe(F.col("_pooled")), "left")
+    kept = F.when(F.col(label).isNull() | (F.col("_rows") >= least), F.col(label).cast("double")).otherwise(F.lit(other))
+    return out.withColumn(label, kept).drop("_pooled", "_rows")
+
+
+class Multinomial:
+    """A softmax model over numeric columns: probabilities per class.
+
+    Labels may be any numbers; they are numbered in ascending order for the fit and
+    given back under their own value.
+    """
+
+    def __init__(self, pipeline: PipelineModel, classes: list[float]):
+        self.pipeline, self.classes = pipeline, classes
+
+    def probabilities(self, df: DataFrame, keys: Sequence[str], name: str = "class") -> DataFrame:
+        """One row per key and class: keys, ``name``, probability."""
+        out = self.pipeline.transform(df).select(*keys, vector_to_array("probability").alias("_p"))
+        pairs = F.arrays_zip(F.array(*[F.lit(c) for c in self.classes]).alias("c"), F.col("_p").alias("p"))
+        return out.select(*keys, F.inline(pairs)).toDF(*keys, name, "probability")
+
+    def predictions(self, df: DataFrame, keys: Sequence[str], name: str = "prediction") -> DataFrame:
+        """Keys with the likeliest class (the smallest of equals) and its probability."""
+        p = vector_to_array("probability")
+        best = F.array_max(p)
+        value = F.element_at(F.array(*[F.lit(c) for c in self.classes]), F.array_position(p, best).cast("int"))
+        return self.pipeline.transform(df).select(*keys, value.alias(name), best.alias(f"{name}_probability"))
+
+    def save(self, path: str) -> None:
+        self.pipeline.save(f"{path}/pipeline")
+        spark = SparkSession.active()
+        spark.createDataFrame([(self.classes,)], "classes array<double>").coalesce(1).write.parquet(f"{path}/classes")
+
+    @classmethod
+    def load(cls, path: str) -> Multinomial:
+        classes = SparkSession.active().read.parquet(f"{path}/classes").first()["classes"]
+        return cls(PipelineModel.load(f"{path}/pipeline"), list(classes))
+
+
+def fit_multinomial(df: DataFrame, cols: Sequence[str], label: str, iterations: int = 200, reg: float = 0.0, tol: float = 1e-9) -> Multinomial:
+    """Softmax model of ``label`` over ``cols``, one coefficient row per class.
+
+    Rows with a null in a used column are left out.  The classes are the distinct
+    labels (pool rare ones first, :func:`pooled_classes`): one short row each comes
+    to the driver, and the model holds one coefficient per class and column.  With a
+    single class its probability is 1.
+    """
+    data = df.select(*cols, F.col(label).cast("double").alias("_label")).dropna()
+    classes = [r[0] for r in data.select("_label").distinct().orderBy("_label").collect()]
+    numbers = F.array(*[F.lit(c) for c in classes])
+    model = LogisticRegression(
+        featuresCol="scaled", labelCol="label", family="multinomial", maxIter=iterations, regParam=reg, tol=tol, standardization=False
     )
-    fitted = cv.fit(assembled(df, cols, label).select("features", "label"))
-    return list(zip(reg, fitted.avgMetrics))
+    numbered = data.withColumn("_label", (F.array_position(numbers, F.col("_label")) - 1).cast("double"))
+    return Multinomial(fit(numbered, cols, "_label", model), classes)
+
+
+def class_accuracy(predicted: DataFrame, label: str, name: str = "prediction") -> float:
+    """Share of rows whose prediction is their label."""
+    return predicted.agg(F.avg((F.col(name) == F.col(label)).cast("double"))).first()[0]
+
+
+# --- least squares from folded products ------------------------------------
+
+
+class Products:
+    """Sums of products of columns and a target per group: (1, x.., y) times itself.
+
+    One aggregate over the rows gives a small matrix per group; sums of groups are
+    sums of matrices, so any union of groups (all seasons from a year on, all folds
+    but one) is solved without reading the rows again.  The columns are shifted by
+    their overall means first, which keeps the products well scaled.
+    """
+
+    def __init__(self, df: DataFrame, group: Column, cols: Sequence[str], y: str):
+        self.cols, k = list(cols), len(cols) + 1
+        data = df.select(group.alias("_g"), *[F.col(c).cast("double").alias(c) for c in cols], F.col(y).cast("double").alias("_y")).dropna()
+        means = data.agg(*[F.avg(c).alias(c) for c in [*cols, "_y"]]).first()
+        self.shift = np.array([means[c] or 0.0 for c in [*cols, "_y"]])
+        moved = data.select("_g", *[(F.col(c) - float(m)).alias(c) for c, m in zip([*cols, "_y"], self.shift)])
+        names = [F.lit(1.0), *[F.col(c) for c in cols], F.col("_y")]
+        sums = [F.sum(names[i] * names[j]) for i in range(k + 1) for j in range(i, k + 1)]
+        self.groups: dict = {}
+        for row in moved.groupBy("_g").agg(F.array(*sums).alias("s")).collect():  # a small matrix per group
+            m, values = np.zeros((k + 1, k + 1)), iter(row["s"])
+            for i in range(k + 1):
+                for j in range(i, k + 1):
+                    m[i, j] = m[j, i] = next(values)
+            self.groups[row["_g"]] = m
+
+    def total(self, groups) -> np.ndarray:
+        k = len(self.cols) + 2
+        return sum((self.groups[g] for g in groups), np.zeros((k, k)))
+
+    def solve(self, products: np.ndarray, ridge: float = 0.0) -> tuple[float, np.ndarray]:
+        """Intercept and coefficients; ``ridge`` weighs the squared coefficients of
+        columns scaled to deviation 1, times the number of rows."""
+        n = products[0, 0]
+        if not n:
+            return 0.0, np.zeros(len(self.cols))
+        mean = products[0, 1:] / n
+        cov = products[1:, 1:] / n - np.outer(mean, mean)
+        scale = np.sqrt(np.where(np.diag(cov)[:-1] > 1e-12, np.diag(cov)[:-1], 1.0))
+        x, xy = cov[:-1, :-1] / np.outer(scale, scale), cov[:-1, -1] / scale
+        beta = np.linalg.pinv(x + ridge * np.eye(len(x)), rcond=1e-10, hermitian=True) @ xy / scale
+        mean = mean + self.shift
+        return float(mean[-1] - beta @ mean[:-1]), beta
+
+    def squared_error(self, products: np.ndarray, intercept: float, beta: np.ndarray) -> float:
+        """Mean squared error of a model over the rows behind ``products``."""
+        v = np.concatenate([[-(intercept + beta @ self.shift[:-1] - self.shift[-1])], -beta, [1.0]])
+        return float(v @ products @ v / products[0, 0]) if products[0, 0] else float("nan")
+
+
+def r2(products: np.ndarray, error: float) -> float:
+    n = products[0, 0]
+    spread = products[-1, -1] / n - (products[0, -1] / n) ** 2 if n else 0.0
+    return float(1 - error / spread) if spread > 0 else float("nan")
+
+
+def bucket(keys: Sequence[str], buckets: int, salt: str = "") -> Column:
+    """Part of a row by the md5 of its keys, which any engine repeats: 0 to buckets - 1."""
+    text = F.concat_ws(":", F.lit(salt), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % buckets
+
+
+def start_sweep(df: DataFrame, keys: Sequence[str], cols: Sequence[str], y: str, starts: Sequence[int], season: str = "season", test_percent: int = 20) -> list[tuple]:
+    """(start, train rows, test rows, R2, accuracy of y >= 0.5) of a least-squares
+    model per start season.
+
+    The products are folded per season and part once; seasons from a start on are a
+    running sum from the end, so all starts are solved from one pass.  The accuracy
+    takes one more pass that scores every start at once.
+    """
+    test = bucket(keys, 100) < test_percent
+    group = F.struct(F.col(season).cast("bigint").alias("season"), test.alias("test"))
+    p = Products(df, group, cols, y)
+    models = {}
+    for start in starts:
+        later = [(g, g["test"]) for g in p.groups if g["season"] is not None and g["season"] >= start]
+        train, held = p.total([g for g, t in later if not t]), p.total([g for g, t in later if t])
+        models[start] = (*p.solve(train), train, held)
+    used = df.filter(test).dropna(subset=[*cols, y])
+    right = []
+    for start, (b, w, _, _) in models.items():
+        value = sum((F.col(c) * float(x) for c, x in zip(cols, w)), F.lit(float(b)))
+        hit = ((value >= 0.5) == (F.col(y) >= 0.5)).cast("double")
+        right.append(F.avg(F.when(F.col(season) >= start, hit)).alias(f"a{start}"))
+    accuracy = used.agg(*right).first()
+    return [
+        (s, int(train[0, 0]), int(held[0, 0]), r2(held, p.squared_error(held, b, w)), accuracy[f"a{s}"]) for s, (b, w, train, held) in models.items()
+    ]
+
+
+def ridge_path(df: DataFrame, keys: Sequence[str], cols: Sequence[str], y: str, strengths: Sequence[float], folds: int = 5, test_percent: int = 20) -> list[tuple]:
+    """(strength, mean R2 over the folds, R2 of the held-out part), each strength
+    fitted on all folds but one, then on the whole training part.
+
+    Products per fold are folded once; leaving a fold out is a difference of
+    matrices, so the grid may have any size.
+    """
+    part = F.when(bucket(keys, 100) < test_percent, F.lit(-1)).otherwise(bucket(keys, folds, "fold"))
+    p = Products(df, part, cols, y)
+    inner = [g for g in p.groups if g != -1]
+    train, held = p.total(inner), p.total([g for g in p.groups if g == -1])
+    out = []
+    for strength in strengths:
+        scores = []
+        for g in inner:
+            b, w = p.solve(train - p.groups[g], strength)
+            scores.append(r2(p.groups[g], p.squared_error(p.groups[g], b, w)))
+        b, w = p.solve(train, strength)
+        out.append((float(strength), float(np.mean(scores)) if scores else float("nan"), r2(held, p.squared_error(held, b, w))))
+    return out
+
+
+def forest_grid(df: DataFrame, keys: Sequence[str], cols: Sequence[str], label: str, grid: Sequence[Mapping[str, object]], folds: int = 5, test_percent: int = 20, kind: str = "classifier") -> list[tuple]:
+    """(number in the grid, mean accuracy over the folds, accuracy on the held-out
+    part) of a forest per candidate; all candidates share folds and split by key."""
+    make = classifier if kind == "classifier" else regressor
+    train, test = df.filter(bucket(keys, 100) >= test_percent), df.filter(bucket(keys, 100) < test_percent)
+    train = train.withColumn("_fold", bucket(keys, folds, "fold"))
+
+    def accuracy(fitted: PipelineModel, rows: DataFrame) -> float | None:
+        out = fitted.transform(rows)
+        return out.agg(F.avg((F.round("prediction") == F.col(label)).cast("double"))).first()[0]
+
+    out = []
+    for i, params in enumerate(grid):
+        scores = []
+        for fold in range(folds):
+            fitted = fit(train.filter(F.col("_fold") != fold), cols, label, make("forest", **params))
+            scores.append(accuracy(fitted, train.filter(F.col("_fold") == fold)))
+        known = [x for x in scores if x is not None]
+        out.append((i, float(np.mean(known)), accuracy(fit(train, cols, label, make("forest", **params)), test)))
+    return out
 
 
 def threshold_sweep(df: DataFrame, keys: Sequence[str], cols: Sequence[str], label: str, thresholds: Sequence[float]) -> list[tuple[float, int, float]]:
-    """Hold-out R2 of a linear model per p-value threshold."""
-    train, test = split(df, keys)
+    """Hold-out accuracy per p-value threshold: of a logistic model for a 0/1 target,
+    of a forest classifier over exact values for others.  A forest takes some hundred
+    classes, so values of fewer than a ninetieth of all rows are pooled there."""
+    span = df.agg(F.min(label), F.max(label), F.count(label)).first()
+    kind, classed = "logistic", df.withColumn("_class", F.col(label).cast("double"))
+    if (span[0], span[1]) != (0, 1):
+        kind, classed = "forest", pooled_classes(classed, "_class", span[2] // 90 + 1)
+        numbers = F.array(*[F.lit(r[0]) for r in classed.select("_class").dropna().distinct().orderBy("_class").collect()])
+        classed = stored(classed.withColumn("_class", (F.array_position(numbers, F.col("_class")) - 1).cast("double")))
+    train, test = split(classed, keys)
     values = p_values(train, cols, label)
     out, known = [], {}
     for th in thresholds:
         kept = tuple(c for c, p in values.items() if p <= th) or tuple(cols)
         if kept not in known:  # thresholds that keep the same columns share their fit
-            pred = fit(train, kept, label, regressor()).transform(test.withColumn("label", F.col(label).cast("double")))
-            known[kept] = RegressionEvaluator(metricName="r2").evaluate(pred)
+            known[kept] = class_accuracy(fit(train, kept, "_class", classifier(kind)).transform(test), "_class")
         out.append((th, len(kept), known[kept]))
     return out
 

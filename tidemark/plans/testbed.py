@@ -18,9 +18,9 @@ MATCH_STATS = ("points", "yards", "attempts", "turnovers")
 
 # Segment to role, given names of the derived players.
 ROLES = {"AUTOMOBILE": "QB", "BUILDING": "RB", "FURNITURE": "WR", "HOUSEHOLD": "TE", "MACHINERY": "OL"}
-GIVEN = "Aaron Blake Chris Devon Eric Frank Grant Henry Isaac Jalen Kevin Lucas Ras-I Da'Ron JuJu AJ".split()
+GIVEN = "Aaron Blake Chris Devon Eric Frank Grant Henry Isaac Jalen Kevin Lucas Tam-O Ve'Lor RoRo KZ".split()
 # Forms of the last name in turn: what stands before and after it.
-FORMS = [("", ""), ("", " III"), ("Van ", ""), ("Ha ", "-Dix"), ("", " Jr")]
+FORMS = [("", ""), ("", " III"), ("Van ", ""), ("Bo ", "-Vale"), ("", " Jr")]
 
 LINEUP_SIZE = 22
 CHUNK_ROWS = 65536
