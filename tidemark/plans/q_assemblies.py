@@ -13,9 +13,13 @@ from tidemark.operators import history as H
 from tidemark.operators import models as M
 from tidemark.operators import ratings as R
 from tidemark.operators.assemble import assemble, feature, tag
+from tidemark.operators.folds import Folds
+from tidemark.operators.lookups import join_all
 from tidemark.operators.sides import attach_both
+from tidemark.plans import features as X
 from tidemark.plans import q_history, q_scalars, q_state, q_tables, q_text  # noqa: F401
-from tidemark.plans.q_history import BOTH, SIDE_VALUES, _last_n_sql, round6, team_keys
+from tidemark.plans.q_history import _RANKED as RANKED
+from tidemark.plans.q_history import BOTH, SIDE_VALUES, _last_n_sql, _rank_sql, round6, team_keys
 from tidemark.plans.q_state import _SEASON_RULE, _pair_sql
 from tidemark.plans.registry import REGISTRY, query
 from tidemark.plans.testbed import Tables, views
@@ -120,6 +124,25 @@ def upcoming_predictions(t: Tables) -> DataFrame:
     return out.withColumn("prediction", F.round("prediction", 4))
 
 
+@query("ML-14 ML-6 U-1")
+def upcoming_full_predictions(t: Tables) -> DataFrame:
+    """Linear model of the home score on the full feature set, fitted on the history,
+    saved, loaded again and applied to the schedule.
+
+    History and schedule share every fold but those of the spine itself."""
+    known, schedule = held_back(t)
+    facts = Folds(known, schedule)
+    history = facts.over(facts("matches").select(*SPINE))
+    wide = stored(history.assemble(X.WIDE).join(facts("matches").select("match_id", "home_points"), "match_id"))
+    upcoming = stored(facts.assemble(X.WIDE))
+    cols = [c for c in upcoming.columns if c not in SPINE]
+    used = M.varying(wide, cols)
+    path = scratch(t.spark, "full-model")
+    M.fit(H.fill_with_mean(wide, used), used, "home_points", M.regressor(regParam=0.01)).save(path)
+    out = M.score(PipelineModel.load(path), H.fill_with_mean(upcoming, used, over=wide), ["match_id"], "prediction")
+    return out.withColumn("prediction", F.round("prediction", 4))
+
+
 def _joined(spine_sql: str, names: list[str], on: str) -> str:
     out = f"SELECT * FROM ({spine_sql}) s0"
     for i, n in enumerate(names):
@@ -133,16 +156,58 @@ _SPINE = views("matches") + " SELECT match_id, period, home, away FROM matches"
 
 @query("J-2 J-3 PF-18", _joined(_SPINE, MATCH_FEATURES, "match_id"))
 def match_table(t: Tables) -> DataFrame:
-    """Current match model: last-five means, ranks, betting lines, targets."""
-    spine = t.matches.select("match_id", "period", "home", "away")
-    return assemble(spine, t, MATCH_FEATURES, ["match_id"])
+    """Current match model: last-five means, ranks, betting lines, targets.
+
+    Histories come from shared folds; lines and targets are columns of the match."""
+    t = t.once("matches")
+    folds = Folds(t, t.matches.select(*SPINE))
+    folds.done["matches"] = t.matches
+    wide = stored(folds.assemble(["last_five_raw", "rankings_on_spine"]))
+    wide = round6(H.fill_with_mean(wide, BOTH), BOTH)
+    own = [REGISTRY[n].build(t) for n in ("betting_lines", "match_targets")]
+    return join_all(wide, [df.select("match_id", *[c for c in df.columns if c not in wide.columns]) for df in own], ["match_id"])
 
 
 @query("J-2 J-3", _joined(_SPINE, FULL_FEATURES, "match_id"))
 def match_full_table(t: Tables) -> DataFrame:
-    """Wider match model: records, standings, last results, meetings, coaches."""
-    spine = t.matches.select("match_id", "period", "home", "away")
-    return assemble(spine, t, FULL_FEATURES, ["match_id"])
+    """Wider match model: records, standings, last results, meetings, coaches.
+
+    All features come from shared folds: the matches are folded and written once."""
+    folds = Folds(t, t.matches.select(*SPINE))
+    folds = folds.over(folds("matches").select(*SPINE))
+    wide = stored(folds.assemble(X.FULL))
+    return round6(H.fill_with_mean(wide, X.SCORED), X.SCORED)
+
+
+_RATED = _pair_sql(_SEASON_RULE)
+_RATINGS_SQL = f"""SELECT m.match_id, h.rating AS home_rating, a.rating AS away_rating FROM ({views('matches')} SELECT match_id, period, home, away FROM matches) m
+    JOIN ({_RATED}) h ON h.team = m.home AND h.period = m.period JOIN ({_RATED}) a ON a.team = m.away AND a.period = m.period"""
+_UP = ["season_record", "standings_on_spine", "last_results", "last_points_allowed", "head_to_head_results", "matchup_info", "coach_month_record"]
+_RANKS_SQL = _rank_sql() + """, pk AS (SELECT k.team, k.period, """ + ", ".join(
+    f"arg_max(r.{c}_rank, r.period) AS {c}_rank" for c in RANKED
+) + """ FROM (SELECT DISTINCT team, period FROM sides) k JOIN ranks r ON r.team = k.team AND r.period < k.period GROUP BY ALL)
+    SELECT match_id, """ + ", ".join(f"{r[0]}.{c}_rank AS {r}_{c}_rank" for r in ("home", "away") for c in RANKED) + """
+    FROM matches m LEFT JOIN pk h ON h.team = home AND h.period = m.period LEFT JOIN pk a ON a.team = away AND a.period = m.period"""
+_RAW_SQL = _last_n_sql(5) + """, r2 AS (SELECT kteam, kperiod, """ + ", ".join(
+    [f"max(for_points) FILTER (rn = {i}) AS scored_{i}" for i in range(1, 6)]
+    + [f"max({c}) FILTER (rn = {i}) AS {c}_{i}" for c in ("for_points", "for_yards", "opp_yards") for i in range(1, 4)]
+) + """ FROM recent WHERE rn <= 5 GROUP BY ALL)
+    SELECT j.match_id, """ + ", ".join(f"round({c}, 6) AS {c}" for c in BOTH) + ", " + ", ".join(
+    f"{r[0]}.{c} AS {r}_{c}" for r in ("home", "away")
+    for c in [*[f"scored_{i}" for i in range(1, 6)], *[f"{c}_{i}" for c in ("for_points", "for_yards", "opp_yards") for i in range(1, 4)]]
+) + " FROM j LEFT JOIN r2 h ON h.kteam = home AND h.kperiod = j.period LEFT JOIN r2 a ON a.kteam = away AND a.kperiod = j.period"
+
+
+@query(
+    "U-1 J-2 ML-14 R-4 H-6 H-1 Q-2",
+    "SELECT * FROM (" + _joined(_SPINE, _UP, "match_id") + f" LEFT JOIN ({_RANKS_SQL}) zr USING (match_id) LEFT JOIN ({_RAW_SQL}) zw USING (match_id)"
+    + f" LEFT JOIN ({_RATINGS_SQL}) zq USING (match_id)) WHERE period = (SELECT max(period) FROM (SELECT year(l_shipdate) * 100 + month(l_shipdate) AS period FROM lineitem WHERE l_suppkey <> l_partkey % (SELECT count(*) FROM supplier)))",
+)
+def upcoming_full_table(t: Tables) -> DataFrame:
+    """The full feature set of a schedule without results: the matches of its period are
+    not among the facts, and its rows equal the history rows."""
+    known, schedule = held_back(t)
+    return Folds(known, schedule).assemble(X.WIDE)
 
 
 @query(
@@ -151,6 +216,7 @@ def match_full_table(t: Tables) -> DataFrame:
 )
 def player_table(t: Tables) -> DataFrame:
     """Player points model: averages, last games, opponent, shares, starter flag."""
+    t = t.once("outings")  # nine features read them
     spine = t.outings.select("match_id", "player", "team", "period", "position")
     return assemble(spine, t, PLAYER_FEATURES, ["match_id", "player"])
 
@@ -176,13 +242,9 @@ def props_table(t: Tables) -> DataFrame:
     return q_tables.markets_wide(t).join(q_history.earlier_season_sums(t), ["player", "season"])
 
 
-_RATED = _pair_sql(_SEASON_RULE)
-
-
 @query(
     "Q-2 J-4 J-7",
-    f"""SELECT m.match_id, h.rating AS home_rating, a.rating AS away_rating FROM ({views('matches')} SELECT match_id, period, home, away FROM matches) m
-    JOIN ({_RATED}) h ON h.team = m.home AND h.period = m.period JOIN ({_RATED}) a ON a.team = m.away AND a.period = m.period""",
+    _RATINGS_SQL,
 )
 def ratings_on_spine(t: Tables) -> DataFrame:
     """Both sides' rating going into the period, the last known one where a team was idle."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.history import newest
 from tidemark.operators.sides import sides
+from tidemark.session import stored
 
 MATCH_STATS = ("points", "yards", "attempts", "turnovers")
 
@@ -103,6 +104,14 @@ class Tables:
         other.matches = matches
         return other
 
+    def once(self, *names: str) -> Tables:
+        """The same tables with the named views written once, for plans that read
+        them many times."""
+        other = Tables(self.spark, self.sf_dir)
+        for name in names:
+            setattr(other, name, stored(getattr(self, name)))
+        return other
+
     @cached_property
     def matches(self) -> DataFrame:
         """One row per (period, home, away); figures folded from order lines."""
