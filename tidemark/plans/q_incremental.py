@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import setops as S
-from tidemark.operators.standings import period_standings, snapshots
+from tidemark.plans.q_state import _COACH_SQL, _SEASON_RULE, _pair_sql, coach_holders
 from tidemark.plans.registry import query
 from tidemark.plans.testbed import Tables, views
+from tidemark.session import stored
 from tidemark.sources import files as Fi
 from tidemark.streaming import incremental as I
+from tidemark.streaming import rating_stream as R
+from tidemark.streaming import weekly as W
+
+# Ratings of the teams that have played by then, up to the last period.
+_SEEN = """WITH x AS ({rated}) SELECT team, period, rating FROM x JOIN (SELECT team, min(period) AS first FROM (""" + views("sides").replace("{", "{{").replace("}", "}}") + """ SELECT team, period FROM sides) GROUP BY 1) USING (team)
+    WHERE period >= first AND period <= (SELECT max(period) FROM (""" + views("matches").replace("{", "{{").replace("}", "}}") + """ SELECT period FROM matches))"""
 
 
 @query("ST-1 S-2", "SELECT event_id, user_id, event_type, value FROM events")
@@ -37,22 +44,29 @@ def batch_append(t: Tables) -> DataFrame:
     return S.append_unseen(rows.filter("season < 2000"), rows, ["player", "season"])
 
 
-@query(
-    "ST-3 Q-11",
-    "SELECT team, period, w FROM (" + views("sides", "season_length") + """, e AS (SELECT team, season, period, sum((for_points > opp_points)::INT) AS w FROM sides JOIN season_length USING (season) WHERE week <= weeks GROUP BY ALL),
-    g AS (SELECT team, season, period FROM (SELECT DISTINCT team, season FROM sides JOIN season_length USING (season) WHERE week <= weeks + 1) JOIN (SELECT DISTINCT season, period FROM sides JOIN season_length USING (season) WHERE week <= weeks) USING (season))
-    SELECT team, period, CASE WHEN min(first) OVER (PARTITION BY team, season) <= period THEN sum(coalesce(w, 0)) OVER (PARTITION BY team, season ORDER BY period)::BIGINT END AS w
-    FROM g LEFT JOIN e USING (team, season, period) LEFT JOIN (SELECT team, season, min(period) AS first FROM sides GROUP BY ALL) USING (team, season))""",
-)
+_SNAPS = """, e AS (SELECT team, season, period, sum((for_points > opp_points)::INT) AS w, sum((for_points < opp_points)::INT) AS l, sum((for_points = opp_points)::INT) AS t,
+      sum(for_points) AS points_for, sum(opp_points) AS points_against FROM sides JOIN season_length USING (season) WHERE week <= weeks GROUP BY ALL),
+    g AS (SELECT team, season, p.period FROM (SELECT team, season, min(period) AS first FROM e GROUP BY ALL) JOIN (SELECT DISTINCT season, period FROM e) p USING (season) WHERE p.period >= first)
+    SELECT team, season, period, """ + ", ".join(
+    f"sum(coalesce({c}, 0)) OVER (PARTITION BY team, season ORDER BY period)::BIGINT AS {c}" for c in ("w", "l", "t", "points_for", "points_against")
+) + " FROM g LEFT JOIN e USING (team, season, period)"
+
+
+@query("ST-3 Q-11", views("sides", "season_length") + _SNAPS)
 def snapshot_append(t: Tables) -> DataFrame:
-    """Snapshots up to the last period, then the last one appended."""
-    snaps = snapshots(period_standings(t.sides), t.season_length, ["w"]).select("team", "period", "w")
-    # Written once: the stored part and the newest one come from the same table.
+    """A table of snapshots advanced twice: inside a season, and over its end.
+
+    Each step reads the stored table and the matches of the new periods only."""
+    sides = t.sides
     path = Fi.scratch(t.spark, "snapshots")
-    snaps.write.parquet(path)
-    snaps = t.spark.read.parquet(path)
-    newest = snaps.agg(F.max("period")).scalar()
-    return I.append_last_period(snaps.filter(F.col("period") < newest), snaps, ["team", "period"])
+    cuts = [0, 199606, 199803, 999999]
+    schema = "team bigint, season bigint, period bigint, w bigint, l bigint, t bigint, points_for bigint, points_against bigint"
+    stored = t.spark.createDataFrame([], schema)
+    for lo, hi in zip(cuts, cuts[1:]):
+        new = sides.filter((F.col("period") > lo) & (F.col("period") <= hi))
+        I.advance_snapshots(stored, new, t.season_length).write.mode("append").parquet(path)
+        stored = t.spark.read.schema(schema).parquet(path)
+    return stored
 
 
 @query(
@@ -67,3 +81,74 @@ def season_overwrite(t: Tables) -> DataFrame:
     stale.select("player", "points", "season").write.partitionBy("season").parquet(path)
     I.replace_season(rows.filter("season = 2001").select("player", "points", "season"), path)
     return t.spark.read.schema("player bigint, points bigint, season bigint").parquet(path)
+
+
+@query("ST-2 Q-1 Q-3", _SEEN.format(rated=_pair_sql(_SEASON_RULE)))
+def ratings_streamed(t: Tables) -> DataFrame:
+    """Ratings advanced by a stream of periods with the state store, stopped and
+    resumed inside a season, one period delivered twice."""
+    return _streamed(t, None)
+
+
+@query("ST-2 Q-4", _SEEN.format(rated=_COACH_SQL))
+def coach_ratings_streamed(t: Tables) -> DataFrame:
+    """The same with the holders of each season as events: new ones start again."""
+    return _streamed(t, coach_holders(t))
+
+
+def _streamed(t: Tables, holders: DataFrame | None) -> DataFrame:
+    games = stored(t.matches)
+    src, dst, ckpt = (Fi.scratch(t.spark, f"rating-{n}") for n in ("in", "out", "ckpt"))
+    pool = F.lit("all")
+    events = R.match_events(games, pool)
+    if holders is not None:
+        first = games.groupBy("season").agg(F.min("period").alias("first"))
+        events = events.unionByName(R.holder_events(holders.join(first, "season"), pool, F.col("first")))
+    # Files land in the order of their periods: three deliveries, the second one again
+    # with the third.
+    cuts = [0, 199406, 199706, 999999]
+    for lo, hi in zip(cuts, cuts[1:]):
+        part = events.filter((F.col("period") > lo) & (F.col("period") <= hi))
+        part.coalesce(1).write.mode("append").parquet(src)
+        if hi == cuts[-1]:
+            events.filter((F.col("period") > cuts[1]) & (F.col("period") <= cuts[2])).coalesce(1).write.mode("append").parquet(src)
+        R.stream_ratings(t.spark, src, dst, ckpt)
+    out = t.spark.read.schema(R.RATINGS).parquet(dst)
+    return out.select("team", "period", F.round("rating", 4).alias("rating"))
+
+
+@query(
+    "ST-4 IO-1 IO-14 J-1",
+    views("outings") + " SELECT player, season, any_value(position) AS position, count(*) AS games, sum(points)::BIGINT AS points FROM outings GROUP BY player, season",
+)
+def weekly_refresh(t: Tables) -> DataFrame:
+    """Two landings through three stages; the second run breaks once and resumes."""
+    root = Fi.scratch(t.spark, "weekly")
+    rows = t.outings.select("match_id", "player", "season", "position", "points")
+    fields = "match_id bigint, player bigint, season bigint, position string, points bigint"
+    landed = f"{root}/landed"
+    broken = [False, True, False]
+    ran = []
+    for delivery, breaks in (("season < 1996", broken[0]), ("season >= 1996", broken[1]), (None, broken[2])):
+        if delivery is not None:
+            rows.filter(delivery).write.mode("append").option("header", True).csv(landed)
+        driver = W.Weekly(t.spark, root)
+
+        def totals(converted: DataFrame, players: DataFrame, breaks: bool = breaks) -> DataFrame:
+            if breaks:
+                raise RuntimeError("broken on purpose")
+            sums = converted.groupBy("player", "season").agg(F.count(F.lit(1)).alias("games"), F.sum("points").alias("points"))
+            return sums.join(players, "player").select("player", "season", "position", "games", "points")
+
+        try:
+            driver.stage("converted", lambda: Fi.read_csv(t.spark, landed, fields), inputs=[landed])
+            driver.stage("players", lambda c: c.groupBy("player").agg(F.min("position").alias("position")), after=["converted"])
+            driver.stage("totals", totals, after=["converted", "players"])
+        except RuntimeError:
+            if not breaks:
+                raise
+        ran.append(driver.ran)
+    # The third run found the first two stages done.
+    if ran[2] != ["totals"]:
+        raise RuntimeError(f"stages ran again: {ran}")
+    return driver.table("totals")

@@ -106,20 +106,24 @@ def team_ratings(t: Tables) -> DataFrame:
 _HOLDERS = """, hold AS MATERIALIZED (SELECT team, season, (s % 3 = 0)::INT AS fresh FROM (SELECT team, season, season + team AS s FROM (SELECT DISTINCT home AS team FROM matches), (SELECT DISTINCT season + 1 AS season FROM matches)))"""
 
 
-@query(
-    "Q-4 J-9",
-    _pair_sql(
-        "CASE WHEN cal.after <> cal.season AND hold.fresh = 1 THEN 1500 ELSE x.nr END", _HOLDERS, "LEFT JOIN hold ON hold.team = x.team AND hold.season = cal.after"
-    ),
+_COACH_SQL = _pair_sql(
+    "CASE WHEN cal.after <> cal.season AND hold.fresh = 1 THEN 1500 ELSE x.nr END", _HOLDERS, "LEFT JOIN hold ON hold.team = x.team AND hold.season = cal.after"
 )
-def coach_ratings(t: Tables) -> DataFrame:
-    """The same recursion; a season change resets the rating of a new coach only."""
+
+
+def coach_holders(t: Tables) -> DataFrame:
+    """Who is new in which season: team, season, new_holder."""
     seasons = t.season_length.agg(F.collect_set(F.col("season") + 1).alias("s"))
     teams = t.matches.select(F.col("home").alias("team")).distinct()
-    holders = teams.select("team", F.explode(seasons.scalar()).alias("season")).withColumn(
+    return teams.select("team", F.explode(seasons.scalar()).alias("season")).withColumn(
         "new_holder", ((F.col("season") + F.col("team")) % 3 == 0).cast("int")
     )
-    return R.pair_ratings(t.matches, holders=holders).withColumn("rating", F.round("rating", 4))
+
+
+@query("Q-4 J-9", _COACH_SQL)
+def coach_ratings(t: Tables) -> DataFrame:
+    """The same recursion; a season change resets the rating of a new coach only."""
+    return R.pair_ratings(t.matches, holders=coach_holders(t)).withColumn("rating", F.round("rating", 4))
 
 
 # Fixed grades: mean points per player and period.

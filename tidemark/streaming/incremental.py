@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ratings import pair_ratings
@@ -64,24 +64,59 @@ def latest_state(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("team").agg(F.max_by("rating", "period").alias("rating"))
 
 
-def advance_ratings(stored: DataFrame, matches: DataFrame) -> DataFrame:
+def advance_ratings(stored: DataFrame, matches: DataFrame, holders: DataFrame | None = None) -> DataFrame:
     """Stored ratings extended by the periods they do not cover yet.
 
     ``stored`` holds ratings going into each period up to the first unseen one,
     which may lie inside a season; ``matches`` must hold the periods from there
-    on.  With nothing new the stored ratings come back as they are.
+    on.  With nothing new the stored ratings come back as they are; without stored
+    ratings all periods are new.  ``holders`` (team, season, new_holder) switches to
+    the coach rule, as in :func:`pair_ratings`.
     """
     upto = stored.agg(F.max("period")).first()[0]
-    fresh = pair_ratings(matches.filter(F.col("period") >= upto), start=latest_state(stored), start_season=upto // 100)
+    if upto is None:
+        return pair_ratings(matches, holders=holders)
+    fresh = pair_ratings(
+        matches.filter(F.col("period") >= upto), start=latest_state(stored), holders=holders, start_season=upto // 100
+    )
     if fresh.isEmpty():
         return stored
     return stored.filter(F.col("period") < upto).unionByName(fresh)
 
 
-def append_last_period(stored: DataFrame, snapshots: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Stored snapshots plus those of the newest period that are not in yet."""
-    newest = snapshots.filter(F.col("period") == snapshots.agg(F.max("period")).scalar())
-    return stored.unionByName(unseen(newest, stored, keys))
+def advance_snapshots(stored: DataFrame, side_rows: DataFrame, season_length: DataFrame) -> DataFrame:
+    """Standing snapshots of the periods in ``side_rows``, from the stored ones.
+
+    ``stored``: team, season, period, w, l, t, points_for, points_against, one row per
+    team and period end since its first match of the season; ``side_rows`` holds only
+    matches of newer periods.  The last stored row of each team in its season is the
+    state to begin with, each new period adds its own sums, idle teams keep theirs;
+    nothing older is read again.  Periods past the regular season give no snapshot.
+    Null-safe on an empty stored table: then all periods are new.
+    """
+    figures = ["w", "l", "t", "points_for", "points_against"]
+    state = stored.groupBy("team", "season").agg(F.max_by(F.struct("period", *figures), "period").alias("s")).select("team", "season", "s.*")
+    marks = {
+        "w": F.count_if(F.col("for_points") > F.col("opp_points")),
+        "l": F.count_if(F.col("for_points") < F.col("opp_points")),
+        "t": F.count_if(F.col("for_points") == F.col("opp_points")),
+        "points_for": F.sum("for_points"),
+        "points_against": F.sum("opp_points"),
+    }
+    lengths = season_length.select("season", "weeks")
+    rows = side_rows.join(lengths, "season").filter(F.col("period") % 100 <= F.col("weeks"))
+    delta = rows.groupBy("team", "season", "period").agg(*[v.alias(k) for k, v in marks.items()])
+    # The state is one more delta, older than all new periods of its season.
+    new = delta.groupBy("season").agg(F.array_sort(F.collect_set("period")).alias("periods"))
+    begin = state.join(new.select("season"), "season", "left_semi").select("team", "season", "period", *figures, F.lit(True).alias("old"))
+    both = begin.unionByName(delta.withColumn("old", F.lit(False)))
+    run = Window.partitionBy("team", "season").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.select("team", "season", "period", "old", *[F.sum(c).over(run).alias(c) for c in figures])
+    # A row holds until the team's next one: it fills the new periods from its own on.
+    until = F.lead("period").over(Window.partitionBy("team", "season").orderBy("period"))
+    held = ends.withColumn("_next", until).join(new, "season")
+    inside = F.filter("periods", lambda p: (p >= F.col("period")) & (F.col("_next").isNull() | (p < F.col("_next"))))
+    return held.select("team", "season", F.explode(inside).alias("period"), *figures)
 
 
 def replace_season(df: DataFrame, path: str) -> None:
