@@ -178,6 +178,17 @@ def last_n_means(
     )
 
 
+def last_n_array_means(
+    history: DataFrame, by: Sequence[str], values: Mapping[str, Column], width: int, n: int, order: str = "match_id", period: str = "period"
+) -> DataFrame:
+    """State table: means, element by element, of arrays of ``width`` figures over the
+    newest n rows.  A null array, or a missing element, does not count; an element that
+    no row has is null."""
+    flat = {f"_{k}_{i}": F.get(v, F.lit(i)) for k, v in values.items() for i in range(width)}
+    state = last_n_means(history, by, flat, n, order, period=period)
+    return state.select(*by, period, *[F.array(*[f"_{k}_{i}" for i in range(width)]).alias(k) for k in values])
+
+
 def last_n_rows(
     history: DataFrame,
     by: Sequence[str],

@@ -85,6 +85,51 @@ def resolve_names(
     return out.drop("_key")
 
 
+def grams(text: Column, size: int = 3) -> Column:
+    """Distinct pieces of ``size`` letters of a text; a shorter text is one piece."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+
+
+def resolve_contained(
+    mentions: DataFrame, names: DataFrame, keys: Sequence[str], mention: str, context: Sequence[str], teams: Sequence[str]
+) -> DataFrame:
+    """Mentions to the one entity whose name contains them: keys, mention, p_id, team.
+
+    ``names`` (p_id, team, name and the ``context`` columns) lists every spelling of an
+    entity, aliases too; a mention looks at its own context and at the teams in its
+    ``teams`` columns.  Exactly one entity must fit, else p_id and team are null, as
+    they are for an empty or null mention.
+
+    An inverted index of three-letter pieces brings candidates: each distinct mention
+    looks under the piece that the fewest names hold, and containment is verified on
+    those.  Mentions of one or two letters look under pieces of their own length.
+    """
+    wanted = mentions.select(mention).filter(F.length(mention) > 0).distinct()
+    size = F.least(F.length(mention), F.lit(3))
+    spelled = names.select("name").distinct()
+    index = spelled.select(
+        "name", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("name"), k) for k in (1, 2, 3)])))).alias("_gram")
+    )
+    counts = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.when(size == 1, grams(F.col(mention), 1)).when(size == 2, grams(F.col(mention), 2)).otherwise(grams(F.col(mention), 3))
+    pieces = wanted.select(mention, F.explode(own).alias("_gram"))
+    # A piece that no name has rules the mention out.
+    rare = (
+        pieces.join(counts, "_gram", "left")
+        .groupBy(mention)
+        .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"), F.min(F.coalesce("_n", F.lit(0))).alias("_n"))
+        .filter("_n > 0")
+    )
+    spellings = rare.join(index, "_gram").filter(F.contains("name", F.col(mention))).select(mention, "name")
+    # Spellings meet the entities first, then the mention's own context and teams.
+    fits = spellings.join(names, "name").select(mention, "p_id", "team", *context).distinct()
+    asked = mentions.select(*keys, mention, *context, F.explode(F.array_distinct(F.array(*teams))).alias("team"))
+    hits = asked.join(fits, [mention, *context, "team"])
+    one = hits.groupBy(*keys).agg(F.count_distinct("p_id").alias("_n"), F.min("p_id").alias("p_id"), F.min("team").alias("team")).filter("_n = 1").drop("_n")
+    return mentions.select(*keys, mention).join(one, list(keys), "left")
+
+
 def id_hint(name: Column) -> tuple[Column, Column]:
     """The two pieces an id is made of: four letters of the last name, two of the first."""
     words = F.filter(F.split(name, " "), lambda w: ~w.isin("Jr", "Jr.", "Sr", "Sr.", "II", "III", "IV"))

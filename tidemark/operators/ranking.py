@@ -86,6 +86,35 @@ def ranked_many(
     )
 
 
+def ranked_in(
+    df: DataFrame,
+    groupings: dict[str, Sequence[str]],
+    value: str,
+    tiebreak: Sequence[str],
+    keys: Sequence[str],
+    method: str = "row_number",
+    descending: bool = True,
+    width: float | None = None,
+) -> DataFrame:
+    """Ranks of ``value`` inside several groupings: ``{name of the rank: columns}``.
+
+    Each row goes once per grouping into one long form, whose groups are the grouping's
+    number and its columns (the others are null, as in grouping sets); one fold and one
+    scan rank them all, and the ranks come back by ``keys``, which identify a row.
+    """
+    cols = sorted({c for group in groupings.values() for c in group})
+    forms = [
+        F.struct(F.lit(i).alias("_set"), *[(F.col(c) if c in group else F.lit(None).cast(df.schema[c].dataType)).alias(f"_by_{c}") for c in cols])
+        for i, group in enumerate(groupings.values())
+    ]
+    rest = [c for c in df.columns if c not in keys]
+    long = df.select("*", F.inline(F.array(*forms)))
+    r = ranked(long, ["_set", *[f"_by_{c}" for c in cols]], value, "_r", method, tiebreak if method == "row_number" else (), descending, width=width)
+    return r.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in rest], *[F.max(F.when(F.col("_set") == i, F.col("_r"))).alias(n) for i, n in enumerate(groupings)]
+    )
+
+
 def season_grid(values: DataFrame, entity: Sequence[str], season: str = "season", period: str = "period") -> DataFrame:
     """Every entity of a season at every period of that season.
 

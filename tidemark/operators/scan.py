@@ -12,12 +12,16 @@ struct, which is never null, so a null key is a group like any other.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Chunk numbers that one chunk of the next level holds.
+FAN = 1024
+
+
 @dataclass(frozen=True)
 class RowNumber:
     name: str
@@ -34,8 +38,11 @@ class RunningSum:
 
 @dataclass(frozen=True)
 class RunningMax:
+    """Maximum over earlier rows, and the row itself when ``inclusive``."""
+
     name: str
     col: str
+    inclusive: bool = True
 
 
 @dataclass(frozen=True)
@@ -52,10 +59,11 @@ class Lead:
 
 @dataclass(frozen=True)
 class Fill:
-    """Last non-null value at or before the row."""
+    """Last non-null value at or before the row; only before it unless ``inclusive``."""
 
     name: str
     col: str
+    inclusive: bool = True
 
 
 Spec = RowNumber | RunningSum | RunningMax | Lag | Lead | Fill
@@ -68,9 +76,15 @@ def chunked_scan(
     order: Sequence[str],
     specs: Sequence[Spec],
     descending: bool = False,
+    levels: int = 1,
 ) -> DataFrame:
     """Add the scan columns ``specs`` to ``df``.
 
+    Chunk summaries are carried by a window over the group's chunks.  With more
+    ``levels`` they are themselves scanned in chunks of ``FAN`` chunk numbers, and so
+    on, so that no window holds more than a group's rows over chunk size and
+    ``FAN ** (levels - 1)``; ``chunk`` must then be a number.
+
     ``order`` names the ordering columns, unique within a group.  ``descending`` turns the first ordering column
     (and the chunks) round; the others always ascend.
     """
@@ -79,16 +93,12 @@ def chunked_scan(
     inner = Window.partitionBy("_k").orderBy(lead_col, *[F.col(c) for c in order[1:]])
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
-    at_chunk = F.col("_k").getField("_chunk")
-    outer = Window.partitionBy(*[F.col("_k").getField(b) for b in by]).orderBy(at_chunk.desc() if descending else at_chunk)
-    earlier = outer.rowsBetween(Window.unboundedPreceding, -1)
-
     if descending and any(isinstance(s, Lag | Lead | Fill) for s in specs):
         raise ValueError("lag, lead and fill scan upwards")
     at = F.struct(*order)
     local: list[Column] = []
     fold: list[Column] = []
-    carry: list[Column] = []
+    carry: list[Spec] = []
     result: list[Column] = []
 
     for i, s in enumerate(specs):
@@ -97,42 +107,75 @@ def chunked_scan(
             case RowNumber():
                 local.append(F.row_number().over(inner).cast("bigint").alias(loc))
                 fold.append(F.count(F.lit(1)).alias(tot))
-                carry.append(F.sum(tot).over(earlier).alias(car))
+                carry.append(RunningSum(car, tot, inclusive=False))
                 result.append((F.col(loc) + F.coalesce(car, F.lit(0))).alias(s.name))
             case RunningSum():
                 local.append(F.sum(s.col).over(upto if s.inclusive else before).alias(loc))
                 fold.append(F.sum(s.col).alias(tot))
-                carry.append(F.sum(tot).over(earlier).alias(car))
+                carry.append(RunningSum(car, tot, inclusive=False))
                 result.append(
                     F.when(F.col(loc).isNull(), F.col(car))
                     .otherwise(F.col(loc) + F.coalesce(F.col(car), F.lit(0)))
                     .alias(s.name)
                 )
             case RunningMax():
-                local.append(F.max(s.col).over(upto).alias(loc))
+                local.append(F.max(s.col).over(upto if s.inclusive else before).alias(loc))
                 fold.append(F.max(s.col).alias(tot))
-                carry.append(F.max(tot).over(earlier).alias(car))
+                carry.append(RunningMax(car, tot, inclusive=False))
                 result.append(F.greatest(loc, car).alias(s.name))
             case Lag():
                 local.append(F.lag(F.struct(s.col)).over(inner).alias(loc))
                 fold.append(F.max_by(F.struct(s.col), at).alias(tot))
-                carry.append(F.lag(tot).over(outer).alias(car))
+                carry.append(Lag(car, tot))
                 result.append(F.coalesce(loc, car).getField(s.col).alias(s.name))
             case Lead():
                 local.append(F.lead(F.struct(s.col)).over(inner).alias(loc))
                 fold.append(F.min_by(F.struct(s.col), at).alias(tot))
-                carry.append(F.lead(tot).over(outer).alias(car))
+                carry.append(Lead(car, tot))
                 result.append(F.coalesce(loc, car).getField(s.col).alias(s.name))
             case Fill():
-                local.append(F.last(s.col, ignorenulls=True).over(upto).alias(loc))
+                local.append(F.last(s.col, ignorenulls=True).over(upto if s.inclusive else before).alias(loc))
                 fold.append(F.max_by(s.col, F.when(F.col(s.col).isNotNull(), at)).alias(tot))
-                carry.append(F.last(tot, ignorenulls=True).over(earlier).alias(car))
+                carry.append(Fill(car, tot, inclusive=False))
                 result.append(F.coalesce(loc, car).alias(s.name))
 
     keyed = df.withColumn("_k", F.struct(*by, chunk.alias("_chunk")))
-    carried = keyed.groupBy("_k").agg(*fold).select("_k", *carry)
+    carried = _carry(keyed.groupBy("_k").agg(*fold), by, carry, descending, levels)
     return (
         keyed.select("*", *local)
         .join(carried, "_k", "left")
         .select(*[F.col(c) for c in df.columns], *result)
     )
+
+
+def _carry(summaries: DataFrame, by: Sequence[str], specs: Sequence[Spec], descending: bool, levels: int) -> DataFrame:
+    """What each chunk gets from the chunks before it: ``_k`` and the scan columns."""
+    keys = [F.col("_k").getField(b).alias(f"_g{i}") for i, b in enumerate(by)]
+    rows = summaries.select("*", *keys, F.col("_k").getField("_chunk").alias("_at"))
+    names = [f"_g{i}" for i in range(len(by))]
+    if levels > 1:
+        # The next level's own columns have the same names; those of this one step aside.
+        inner = {c: f"_s{c}" for c in rows.columns if c[:2] in ("_t", "_k")}
+        above = [replace(s, name=f"up{s.name}", col=inner[s.col]) for s in specs]
+        coarse = F.floor(F.col("_at") / FAN)
+        out = chunked_scan(rows.withColumnsRenamed(inner), names, coarse, ["_at"], above, descending, levels - 1)
+        return out.select(F.col("_s_k").alias("_k"), *[F.col(f"up{s.name}").alias(s.name) for s in specs])
+    order = F.col("_at").desc() if descending else F.col("_at")
+    outer = Window.partitionBy(*names).orderBy(order)
+    earlier = outer.rowsBetween(Window.unboundedPreceding, -1)
+    columns = []
+    for s in specs:
+        match s:
+            case RunningSum():
+                c = F.sum(s.col).over(earlier)
+            case RunningMax():
+                c = F.max(s.col).over(earlier)
+            case Lag():
+                c = F.lag(s.col).over(outer)
+            case Lead():
+                c = F.lead(s.col).over(outer)
+            case _:
+                c = F.last(s.col, ignorenulls=True).over(earlier)
+        columns.append(c.alias(s.name))
+    return rows.select("_k", *columns)
+

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars as X
 from tidemark.operators import history as H
 from tidemark.operators.ranking import carry_forward, ranked, ranked_many
 from tidemark.operators.scan import Lag, Lead, chunked_scan
-from tidemark.operators.sides import attach_both
+from tidemark.operators.sides import attach_both, sides
 from tidemark.plans.registry import query
 from tidemark.plans.testbed import MATCH_STATS, Tables, views
 
@@ -363,7 +364,7 @@ def last_play_value(t: Tables) -> DataFrame:
 
 
 @query(
-    "H-13 A-2",
+    "A-2",
     views("sides") + """, recent AS (
       SELECT k.team AS kteam, k.period AS kperiod, s.for_points, s.opp_points, s.is_home,
              row_number() OVER (PARTITION BY k.team, k.period ORDER BY s.period DESC, s.match_id DESC) AS rn
@@ -395,6 +396,36 @@ def last_ten_mean_of_role_means(t: Tables) -> DataFrame:
     return out.select("match_id", "team", both("fh", "fa").alias("scored"), both("oh", "oa").alias("allowed"))
 
 
+_Q = range(1, 5)
+
+
+@query(
+    "H-13 F-25 A-2",
+    views("quarters") + """, r AS (SELECT match_id, period, home AS team, true AS is_home, """ + ", ".join(f"home_p{i} AS f{i}, away_p{i} AS o{i}" for i in _Q)
+    + " FROM quarters UNION ALL SELECT match_id, period, away, false, " + ", ".join(f"away_p{i}, home_p{i}" for i in _Q) + """ FROM quarters),
+    recent AS (SELECT k.team AS kteam, k.period AS kperiod, r.*, row_number() OVER (PARTITION BY k.team, k.period ORDER BY r.period DESC, r.match_id DESC) AS rn
+      FROM (SELECT DISTINCT team, period FROM r) k JOIN r ON r.team = k.team AND r.period < k.period),
+    m AS (SELECT kteam, kperiod, """ + ", ".join(f"(avg({c}{i}) FILTER (is_home) + avg({c}{i}) FILTER (NOT is_home)) / 2 AS {c}{i}" for c in "fo" for i in _Q)
+    + " FROM recent WHERE rn <= 10 GROUP BY ALL) SELECT r.match_id, r.team, " + ", ".join(f"round(m.f{i}, 6) AS scored_q{i}, round(m.o{i}, 6) AS allowed_q{i}" for i in _Q)
+    + " FROM r LEFT JOIN m ON kteam = team AND kperiod = period",
+)
+def quarter_means(t: Tables) -> DataFrame:
+    """Points per quarter scored and allowed: mean of the home mean and the away mean
+    over the last ten matches, without overtime; null unless both roles occurred."""
+    slots = [X.quarter_slots(F.col(f"{r}_parts")).alias(f"{r}_quarters") for r in ("home", "away")]
+    rows = sides(t.quarters.select("match_id", "period", "home", "away", *slots), ["quarters"], ("match_id", "period"))
+    values = {
+        "fh": F.when(F.col("is_home"), F.col("for_quarters")), "fa": F.when(~F.col("is_home"), F.col("for_quarters")),
+        "oh": F.when(F.col("is_home"), F.col("opp_quarters")), "oa": F.when(~F.col("is_home"), F.col("opp_quarters")),
+    }
+    state = H.last_n_array_means(rows, ["team"], values, 4, 10)
+    out = H.asof(rows.select("match_id", "team", "period"), state, ["team"], list(values), in_history=True)
+    mean = lambda x, y, i: F.round((F.get(x, F.lit(i)) + F.get(y, F.lit(i))) / 2, 6)
+    return out.select(
+        "match_id", "team", *[mean("fh", "fa", i).alias(f"scored_q{i + 1}") for i in range(4)], *[mean("oh", "oa", i).alias(f"allowed_q{i + 1}") for i in range(4)]
+    )
+
+
 # --- players -------------------------------------------------------------
 
 _PK = """, pk AS (SELECT DISTINCT player, season, week, period FROM outings),

@@ -30,6 +30,14 @@ def directory_scan(t: Tables) -> DataFrame:
     return S.read_directory(t.spark, path, "o_orderkey bigint, o_totalprice double", S.folder_value("o_orderstatus"), "status")
 
 
+@query("IO-3 IO-12", "SELECT o_orderkey, o_totalprice, o_orderpriority AS priority FROM orders")
+def files_by_name(t: Tables) -> DataFrame:
+    """One file per value, read back with the file's name as a column."""
+    path = S.scratch(t.spark, "orders-by-priority")
+    S.write_named(t.table("orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), path, "o_orderpriority")
+    return S.read_directory(t.spark, path, "o_orderkey bigint, o_totalprice double", S.file_stem(), "priority")
+
+
 @query(
     "IO-4 S-1",
     "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL FROM supplier",
@@ -103,10 +111,10 @@ def odds_documents(t: Tables) -> DataFrame:
     return L.odds_rows(t.matches.select("match_id", doc.alias("doc")), "doc")
 
 
-@query("IO-11", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+@query("IO-11", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
 def json_round_trip(t: Tables) -> DataFrame:
     path = S.scratch(t.spark, "orders-json")
-    t.table("orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority", "o_totalprice").write.json(path)
+    t.table("orders").select("o_orderkey", "o_orderpriority", "o_totalprice").write.json(path)
     return t.spark.read.schema("o_orderkey bigint, o_orderpriority string, o_totalprice double").json(path)
 
 

@@ -13,9 +13,10 @@ from tidemark.operators import history as H
 from tidemark.operators import lineups as L
 from tidemark.operators import lookups as J
 from tidemark.operators import setops as S
-from tidemark.operators.ranking import carry_forward, hash_order, ranked, top_k
+from tidemark.operators.ranking import carry_forward, hash_order, ranked, ranked_in, top_k
 from tidemark.plans.registry import query
 from tidemark.plans.testbed import ROLES, Tables, views
+from tidemark.session import stored
 
 ROLE_NAMES = tuple(sorted(ROLES.values()))
 # Roles that a tier counts.
@@ -321,6 +322,31 @@ def names_to_ids(t: Tables) -> DataFrame:
     return out.select("mention", "p_id", J.id_fits(F.col("p_id"), F.col("mention")).alias("id_fits"))
 
 
+_MENTIONS = """, m AS (SELECT match_id, num, 1995 + num % 4 AS year, home, away,
+      CASE num % 4 WHEN 0 THEN a WHEN 1 THEN list_last(string_split(a, ' ')) WHEN 2 THEN substr(b, 2, 7) ELSE upper(c) END AS mention FROM plays),
+    d AS (SELECT DISTINCT p.p_id, p.name, upper(p.name) AS aka, p.team, o.season AS year FROM players p JOIN outings o ON o.player = p.num WHERE p.position IN ('QB', 'RB', 'WR', 'TE'))"""
+
+
+@query(
+    "J-13 J-14 T-16",
+    views("players", "plays", "outings") + _MENTIONS + """, h AS (SELECT match_id, num, p_id, d.team FROM m JOIN d ON d.year = m.year AND d.team IN (m.home, m.away) AND (contains(name, mention) OR contains(aka, mention))),
+    u AS (SELECT match_id, num, any_value(p_id) AS p_id, any_value(team) AS team FROM h GROUP BY ALL HAVING count(DISTINCT p_id) = 1)
+    SELECT match_id, num, mention, p_id, team FROM m LEFT JOIN u USING (match_id, num)""",
+)
+def names_in_context(t: Tables) -> DataFrame:
+    """Whole and partial names in play lines to the one player of either team in that
+    year whose name or alias contains them; missing and ambiguous ones stay null."""
+    n = F.col("num")
+    partial = (
+        F.when(n % 4 == 0, F.col("a")).when(n % 4 == 1, F.element_at(F.split("a", " "), -1)).when(n % 4 == 2, F.substring("b", 2, 7)).otherwise(F.upper("c"))
+    )
+    mentions = t.plays.select("match_id", "num", (1995 + n % 4).alias("year"), "home", "away", partial.alias("mention"))
+    active = t.outings.select(F.col("player").alias("num"), F.col("season").alias("year")).distinct()
+    known = t.players.filter(F.col("position").isin("QB", "RB", "WR", "TE")).join(active, "num")
+    names = known.select("p_id", "year", "team", F.explode(F.array("name", F.upper("name"))).alias("name"))
+    return J.resolve_contained(mentions, names, ["match_id", "num"], "mention", ["year"], ["home", "away"])
+
+
 @query(
     "J-14",
     views("players") + """, f AS (SELECT split_part(name, ' ', 1) AS given, p_id, num, team, position FROM players),
@@ -734,9 +760,8 @@ def pool_ranks(t: Tables) -> DataFrame:
     """Ranks inside all players, the role and the flex pool."""
     s = t.outings.groupBy("player", "position", "season").agg(F.sum("points").alias("p"))
     s = s.withColumn("flex", F.col("position").isin("RB", "WR", "TE"))
-    s = ranked(s, ["season"], "p", "all_rank", tiebreak=["player"], width=8)
-    s = ranked(s, ["season", "position"], "p", "role_rank", tiebreak=["player"], width=8)
-    s = ranked(s, ["season", "flex"], "p", "flex_rank", tiebreak=["player"], width=8)
+    pools = {"all_rank": ["season"], "role_rank": ["season", "position"], "flex_rank": ["season", "flex"]}
+    s = ranked_in(stored(s), pools, "p", ["player"], ["player", "season", "position"], width=8)
     return s.select("player", "season", "all_rank", "role_rank", "flex_rank")
 
 
@@ -756,7 +781,7 @@ def top_orders(t: Tables) -> DataFrame:
 @query(
     "R-11 A-13",
     views("outings", "starters") + """, g AS (SELECT team, season, period, player, sum(points) AS s, count(*) AS n FROM outings GROUP BY ALL),
-    st AS (SELECT team, period, player, count(*) AS c FROM starters WHERE slot <= 3 GROUP BY ALL),
+    st AS (SELECT team, period, player, count(*) AS c FROM starters GROUP BY ALL),
     p AS (SELECT DISTINCT season, period FROM outings),
     k AS (SELECT p.season, p.period, g.team, g.player, (sum(s) / sum(n))::DOUBLE AS m, sum(coalesce(c, 0)) AS starts FROM p JOIN g ON g.season = p.season AND g.period < p.period
         LEFT JOIN st ON st.team = g.team AND st.period = g.period AND st.player = g.player GROUP BY ALL)
@@ -767,7 +792,7 @@ def depth_chart(t: Tables) -> DataFrame:
     grade, those who never started minus three, one row per seat."""
     who = ["team", "player"]
     games = H.period_totals(t.outings, [*who, "season"], {"s": F.col("points")})
-    starts = t.starters.groupBy(*who, "period").agg(F.count_if(F.col("slot") <= 3).alias("starts"))
+    starts = t.starters.groupBy(*who, "period").agg(F.count(F.lit(1)).alias("starts"))
     games = games.join(starts, [*who, "period"], "left").withColumn("starts", F.coalesce("starts", F.lit(0)))
     state = H.running_totals(games, [*who, "season"], ["n", "s", "starts"])
     every = carry_forward(state, who, ["n", "s", "starts"])

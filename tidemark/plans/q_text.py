@@ -10,6 +10,7 @@ from tidemark.operators import quality as Q
 from tidemark.operators.scan import Fill, Lead, RowNumber, RunningSum, chunked_scan
 from tidemark.plans.registry import query
 from tidemark.plans.testbed import Tables, views
+from tidemark.session import stored
 
 CHUNK = 4096
 P = views("plays")
@@ -54,14 +55,14 @@ def team_names(t: Tables) -> DataFrame:
 
 @query(
     "T-3 T-4",
-    P + f""", n AS (SELECT match_id, num, detail, unnest({_NAMES}) AS name FROM plays WHERE detail NOT LIKE '%coin toss%'),
+    P + f""", n AS (SELECT match_id, num, detail, unnest({_NAMES}) AS name FROM plays),
     s AS (SELECT *, string_split(detail, name) AS parts FROM n),
     o AS (SELECT match_id, num, name, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * length(name))) AS start FROM s)
     SELECT match_id, num, name, start::INT AS start, (start + length(name))::INT AS "end", (start = min(start) OVER (PARTITION BY match_id, num))::INT AS leading FROM o""",
 )
 def name_spans(t: Tables) -> DataFrame:
     """All offsets of each name, and whether the name leads the line."""
-    p = t.plays.filter(~F.contains("detail", F.lit("coin toss"))).select("match_id", "num", "detail", X.person_names(F.col("detail")).alias("names"))
+    p = t.plays.select("match_id", "num", "detail", X.person_names(F.col("detail")).alias("names"))
     lead = X.leading_name(F.col("detail"), F.col("names"))
     rows = p.select("match_id", "num", "detail", lead.alias("lead"), F.explode("names").alias("name"))
     rows = rows.select("match_id", "num", "name", "lead", F.inline(X.spans(F.col("detail"), F.col("name"))), F.instr("detail", F.col("name")).alias("first"))
@@ -135,7 +136,7 @@ def penalty_plays(t: Tables) -> DataFrame:
 
 def with_penalties(plays: DataFrame) -> DataFrame:
     """Plays with the array of their penalties, judged by the next play's yards to go."""
-    p = chunked_scan(plays, ["match_id"], num_chunk(), ["num"], [Lead("next_togo", "togo")])
+    p = chunked_scan(plays, ["match_id"], num_chunk(), ["num"], [Lead("next_togo", "togo")], levels=2)
     return p.withColumn("pens", X.penalties(F.col("detail"), F.col("togo"), F.col("next_togo")))
 
 
@@ -360,7 +361,7 @@ def short_texts(t: Tables) -> DataFrame:
 def renumbered_plays(t: Tables) -> DataFrame:
     """Drop repeated header and opening rows, then renumber."""
     p = t.plays.filter(~F.col("kind").isin(12, 15)).select("match_id", "num")
-    return chunked_scan(p, ["match_id"], num_chunk(), ["num"], [RowNumber("new_num")])
+    return chunked_scan(p, ["match_id"], num_chunk(), ["num"], [RowNumber("new_num")], levels=2)
 
 
 @query(
@@ -398,17 +399,18 @@ def possession_by_turns(t: Tables) -> DataFrame:
     The second half starts with the side that did not receive the opening kick-off;
     the derived plays have no clock, so their first coin-toss line opens it."""
     receiver, num = F.when(F.col("kind") == 7, F.col("num") % 2), F.col("num")
-    opening = t.plays.groupBy("match_id").agg(
+    plays = stored(t.plays.select("match_id", "num", "home", "away", "kind"))
+    opening = plays.groupBy("match_id").agg(
         F.min_by(receiver, F.when(F.col("kind") == 7, num)).alias("opening"), F.min(F.when(F.col("kind") == 15, num)).alias("half")
     )
-    p = t.plays.select(
+    p = plays.select(
         "match_id", "num", "home", "away", F.col("kind").isin(2, 6, 8).cast("int").alias("turned"), receiver.alias("receiver")
     ).join(opening, "match_id")
     p = p.withColumn("receiver", F.coalesce("receiver", F.when(num == F.col("half"), 1 - F.coalesce("opening", F.lit(0)))))
-    p = chunked_scan(p, ["match_id"], num_chunk(), ["num"], [RunningSum("turns", "turned", inclusive=False)])
+    p = chunked_scan(p, ["match_id"], num_chunk(), ["num"], [RunningSum("turns", "turned", inclusive=False)], levels=2)
     # Turns counted before the last mark are taken off again.
     p = p.withColumn("mark", F.when(F.col("receiver").isNotNull(), F.struct("receiver", F.coalesce("turns", F.lit(0)).alias("at"))))
-    p = chunked_scan(p, ["match_id"], num_chunk(), ["num"], [Fill("last", "mark")])
+    p = chunked_scan(p, ["match_id"], num_chunk(), ["num"], [Fill("last", "mark")], levels=2)
     since = F.coalesce("turns", F.lit(0)) - F.coalesce(F.col("last.at"), F.lit(0))
     flips = F.coalesce(F.col("last.receiver"), F.lit(0)) + since
     return p.select("match_id", "num", F.when(flips % 2 == 0, F.col("home")).otherwise(F.col("away")).alias("possession"))
@@ -424,4 +426,4 @@ def possession_by_leader(t: Tables) -> DataFrame:
     dim = t.players.select(F.col("num").alias("na"), "team", "position")
     ball = ~F.col("kind").isin(12, 15) & F.col("position").isin("QB", "RB", "WR", "TE")
     p = t.plays.join(dim, "na").select("match_id", "num", F.when(ball, F.col("team")).alias("team"))
-    return chunked_scan(p, ["match_id"], num_chunk(), ["num"], [Fill("possession", "team")]).select("match_id", "num", "possession")
+    return chunked_scan(p, ["match_id"], num_chunk(), ["num"], [Fill("possession", "team")], levels=2).select("match_id", "num", "possession")

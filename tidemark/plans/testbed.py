@@ -151,6 +151,28 @@ class Tables:
             .alias("winner"),
         )
 
+    @cached_property
+    def quarters(self) -> DataFrame:
+        """Score lists of both sides per match: the lines of a match, dealt to quarters
+        by their number, the fifth and later ones to overtimes."""
+        teams = self.table("supplier").agg(F.count(F.lit(1))).scalar()
+        lines = self.table("lineitem").select(
+            (F.year("l_shipdate").cast("bigint") * 100 + F.month("l_shipdate")).alias("period"),
+            F.col("l_suppkey").alias("home"),
+            (F.col("l_partkey") % teams).alias("away"),
+            F.col("l_quantity").cast("bigint").alias("q"),
+            (F.floor("l_extendedprice") % 50 + 1).alias("p"),
+            F.col("l_linenumber").alias("ln"),
+        )
+        last = F.max("ln")
+
+        def slots(points: str) -> Column:
+            part = [F.coalesce(F.sum(F.when(F.col("ln") == i, F.col(points))), F.lit(0)) for i in range(1, 8)]
+            return F.slice(F.array(*part), F.lit(1), F.greatest(last, F.lit(4)).cast("int"))
+
+        folded = lines.filter("home <> away").groupBy("period", "home", "away").agg(slots("q").alias("home_parts"), slots("p").alias("away_parts"))
+        return folded.select(F.concat_ws("-", "period", "home", "away").alias("match_id"), "*")
+
     @cached_property
     def sides(self) -> DataFrame:
         """One row per (match, side)."""
@@ -321,6 +343,12 @@ VIEWS: dict[str, str] = {
              home_points, home_yards, home_attempts, home_turnovers,
              CAST(coalesce(winner = away, false) AS BIGINT)
       FROM matches""",
+    "quarters": """
+      SELECT concat_ws('-', period, home, away) AS match_id, period, home, away, """
+    + ", ".join(f"CAST(coalesce(sum({c}) FILTER (ln = {i}), 0) AS BIGINT) AS {r}_p{i}" for r, c in (("home", "q"), ("away", "p")) for i in range(1, 8))
+    + """, max(ln) AS parts FROM (
+        SELECT CAST(year(l_shipdate) * 100 + month(l_shipdate) AS BIGINT) AS period, l_suppkey AS home, l_partkey % (SELECT count(*) FROM supplier) AS away,
+          CAST(l_quantity AS BIGINT) AS q, CAST(floor(l_extendedprice) AS BIGINT) % 50 + 1 AS p, l_linenumber AS ln FROM lineitem) WHERE home <> away GROUP BY ALL""",
     "season_length": """
       SELECT CAST(year(l_shipdate) AS BIGINT) AS season, CAST(max(month(l_shipdate)) AS BIGINT) - 2 AS weeks
       FROM lineitem GROUP BY 1""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,8 @@ def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
 
 def file_stem() -> Column:
     """Name of the row's file without folder and extension."""
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.[a-z]+(?:\.gz)?$", 1)
+    return F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B")))
 
 
 def folder_value(key: str) -> Column:
@@ -81,9 +83,25 @@ def read_sheet(spark: SparkSession, path: str, names: Sequence[str], marker: str
     return rows.select(*[F.trim(cells[f"c{i}"]).alias(n) for i, n in enumerate(names)])
 
 
-def write_split(df: DataFrame, path: str, by: Sequence[str]) -> None:
-    """One folder per value."""
-    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+def write_named(df: DataFrame, path: str, by: str) -> None:
+    """One CSV file per value of ``by``, named after it (a null value: ``null``; a
+    slash or colon in a value becomes a hyphen).
+
+    Each value is written by one task, since it becomes one file; the files get their
+    names when all are written.  The list of values comes to the driver, one file name
+    each."""
+    spark, temp = df.sparkSession, f"{path}/_writing"
+    name = F.regexp_replace(F.coalesce(F.col(by).cast("string"), F.lit("null")), "[/:]", "-")
+    rows = df.withColumn("_name", name).repartition("_name").drop(by)
+    rows.write.partitionBy("_name").option("header", True).csv(temp)
+    file_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = file_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(file_path(temp)):
+        if folder.isDirectory():
+            value = unquote(folder.getPath().getName().split("=", 1)[1])
+            for part in fs.globStatus(file_path(f"{folder.getPath()}/part-*")):
+                fs.rename(part.getPath(), file_path(f"{path}/{value}.csv"))
+    fs.delete(file_path(temp), True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
