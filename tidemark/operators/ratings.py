@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -194,3 +195,16 @@ def best_in_lineup(entries: DataFrame, ratings: DataFrame, role: str, default: f
     wanted = entries.filter(F.col("position") == role).select("team", "period", "player")
     known = asof(wanted, ratings.select("player", "period", "rating"), ["player"], ["rating"])
     return known.groupBy("team", "period").agg(F.max(F.coalesce("rating", F.lit(default))).alias("rating"))
+
+
+def best_by_role(entries: DataFrame, ratings: DataFrame, roles: Sequence[str], default: float = PLAYER_START) -> DataFrame:
+    """Best known rating among a line-up's players, a column per role: team, period,
+    ``best_<role>`` (null where the line-up lists nobody of the role).
+
+    One as-of lookup for all entries; the roles are conditional maxima of one fold."""
+    from tidemark.operators.history import asof
+
+    wanted = entries.filter(F.col("position").isin(*roles)).select("team", "period", "player", "position")
+    known = asof(wanted, ratings.select("player", "period", "rating"), ["player"], ["rating"])
+    rating = F.coalesce("rating", F.lit(default))
+    return known.groupBy("team", "period").agg(*[F.max(F.when(F.col("position") == r, rating)).alias(f"best_{r.lower()}") for r in roles])

@@ -182,6 +182,87 @@ def match_full_table(t: Tables) -> DataFrame:
 _RATED = _pair_sql(_SEASON_RULE)
 _RATINGS_SQL = f"""SELECT m.match_id, h.rating AS home_rating, a.rating AS away_rating FROM ({views('matches')} SELECT match_id, period, home, away FROM matches) m
     JOIN ({_RATED}) h ON h.team = m.home AND h.period = m.period JOIN ({_RATED}) a ON a.team = m.away AND a.period = m.period"""
+#: Registered features of a team and period, and the prefix of their columns.
+TEAM_FEATURES = {
+    "lineup_ratings_by_role": "lineup_", "lineup_share_means_by_role": "share_", "best_lineup_ratings": "", "split_games": "", "coach_ratings": "coach_",
+}
+#: Of a match; of a match and one of its sides.
+LINE_COLUMNS = ["home_spread", "away_spread", "home_favoured", "ou_points"]
+LEAGUE_COLUMNS = [f"{r}_{c}" for r in ("home", "away") for c in ("for_points", "opp_points")]
+QUARTERS = [f"{c}_q{i}" for c in ("scored", "allowed") for i in range(1, 5)]
+TEAM_COLUMNS = {
+    "lineup_ratings_by_role": [f"{r.lower()}_{a}" for r in sorted(q_state.ROLE_ORDER) for a in ("avg", "min", "max")],
+    "lineup_share_means_by_role": [f"{r.lower()}_avg" for r in sorted(q_state.ROLE_ORDER)],
+    "best_lineup_ratings": [f"best_{r.lower()}" for r in q_state.ROLE_ORDER],
+    "split_games": ["split_game"],
+    "coach_ratings": ["rating"],
+}
+
+
+def _wide_sql() -> str:
+    out = f"SELECT * FROM ({_SPINE}) s0"
+    for i, n in enumerate(["season_record", "standings_on_spine", "last_results", "head_to_head_results", "matchup_info", "coach_month_record"]):
+        out += f" LEFT JOIN ({REGISTRY[n].sql}) f{i} USING (match_id)"
+    out += f" LEFT JOIN (SELECT match_id, {', '.join(LINE_COLUMNS)} FROM ({REGISTRY['betting_lines'].sql})) USING (match_id)"
+    league = ", ".join(f"{c} AS league_{c}" for c in LEAGUE_COLUMNS)
+    out += f" LEFT JOIN (SELECT match_id, {league} FROM ({REGISTRY['last_five_with_league_fallback'].sql})) USING (match_id)"
+    for r in ("home", "away"):
+        for n, prefix in TEAM_FEATURES.items():
+            cols = ", ".join(f"{c} AS {r}_{prefix}{c}" for c in TEAM_COLUMNS[n])
+            out += f" LEFT JOIN (SELECT team AS {r}, period, {cols} FROM ({REGISTRY[n].sql})) USING ({r}, period)"
+        cols = ", ".join(f"{c} AS {r}_{c}" for c in QUARTERS)
+        out += f" LEFT JOIN (SELECT match_id, team AS {r}, {cols} FROM ({REGISTRY['quarter_means'].sql})) USING (match_id, {r})"
+    return out
+
+
+@query("U-1 J-2 J-4 Q-4 Q-5 Q-7 A-6 A-11 A-12 F-11 F-12 H-2 H-13 H-26", _wide_sql())
+def match_wide_table(t: Tables) -> DataFrame:
+    """The widest match table: histories from shared folds, with lines, league means,
+    quarter means, line-up ratings and shares, coach ratings of both sides.
+
+    Matches and outings are written once; every part reads those."""
+    t = t.once("matches", "outings")
+    spine = t.matches.select(*SPINE)
+    folds = Folds(t, spine)
+    folds.done["matches"] = t.matches
+    own = ["season_record", "standings_on_spine", "last_results", "head_to_head_results", "matchup_info", "coach_month_record"]
+    wide = folds.assemble(own)
+    league = q_history.last_five_with_league_fallback(t).select("match_id", *[F.col(c).alias(f"league_{c}") for c in LEAGUE_COLUMNS])
+    wide = join_all(wide, [REGISTRY["betting_lines"].build(t).select("match_id", *LINE_COLUMNS), league], ["match_id"])
+    parts = {n: REGISTRY[n].build(t).select("team", "period", *TEAM_COLUMNS[n]) for n in TEAM_FEATURES}
+    # One row per team and period of all parts: a full join folds them into one side table.
+    team = None
+    for n, prefix in TEAM_FEATURES.items():
+        part = parts[n].select("team", "period", *[F.col(c).alias(prefix + c) for c in TEAM_COLUMNS[n]])
+        team = part if team is None else team.join(part, ["team", "period"], "full")
+    cols = [c for c in team.columns if c not in ("team", "period")]
+    wide = attach_both(wide, stored(team), cols)
+    quarters = stored(q_history.quarter_means(t))
+    for r in ("home", "away"):
+        side = quarters.select("match_id", F.col("team").alias(r), *[F.col(c).alias(f"{r}_{c}") for c in QUARTERS])
+        wide = wide.join(side, ["match_id", r], "left")
+    return wide
+
+
+#: Player features by their keys; a prefix where names meet.
+PLAYER_MORE = {
+    "season_offset_join": (["match_id", "player"], ["record", "ratio"]),
+    "week_ranks": (["match_id"], ["week_rank", "max_rank"]),
+    "primary_so_far": (["player", "team", "period"], ["is_primary"]),
+    "team_calendar_shares": (["player", "team", "period"], [f"share_{i}" for i in range(1, 5)]),
+    "team_calendar_share_differences": (["player", "team", "period"], [f"diff_{i}" for i in range(1, 4)]),
+    "starts_info": (["player", "period"], ["career_games", "career_starts", "season_games", "season_starts", "last_games", "last_starts"]),
+}
+
+
+def _player_wide_sql() -> str:
+    out = f"SELECT *, {', '.join(f'(position = {chr(39)}{r}{chr(39)})::INT AS is_{r.lower()}' for r in q_state.ROLE_ORDER)} FROM ({REGISTRY['player_table'].sql})"
+    for n, (keys, cols) in PLAYER_MORE.items():
+        out += f" LEFT JOIN (SELECT DISTINCT {', '.join([*keys, *cols])} FROM ({REGISTRY[n].sql})) USING ({', '.join(keys)})"
+    best = ", ".join(f"best_{r.lower()}" for r in q_state.ROLE_ORDER)
+    return out + f" LEFT JOIN (SELECT team, period, {best} FROM ({REGISTRY['best_lineup_ratings'].sql})) USING (team, period)"
+
+
 _UP = ["season_record", "standings_on_spine", "last_results", "last_points_allowed", "head_to_head_results", "matchup_info", "coach_month_record"]
 _RANKS_SQL = _rank_sql() + """, pk AS (SELECT k.team, k.period, """ + ", ".join(
     f"arg_max(r.{c}_rank, r.period) AS {c}_rank" for c in RANKED
@@ -221,6 +302,17 @@ def player_table(t: Tables) -> DataFrame:
     return assemble(spine, t, PLAYER_FEATURES, ["match_id", "player"])
 
 
+@query("U-1 J-2 J-8 ML-13 R-3 A-7 H-22 H-23 H-25 Q-7", _player_wide_sql())
+def player_wide_table(t: Tables) -> DataFrame:
+    """The widest player table: with earlier records, week ranks, primary flags, calendar
+    shares and their differences, starts, role columns and the line-up's best ratings."""
+    t = t.once("outings")
+    wide = player_table(t).select("*", *[(F.col("position") == r).cast("int").alias(f"is_{r.lower()}") for r in q_state.ROLE_ORDER])
+    for n, (keys, cols) in PLAYER_MORE.items():
+        wide = wide.join(REGISTRY[n].build(t).select(*keys, *cols).distinct(), keys, "left")
+    return wide.join(q_state.best_lineup_ratings(t), ["team", "period"], "left")
+
+
 @query(
     "H-27 H-28 H-29 J-2",
     f"SELECT * FROM ({REGISTRY['season_projection'].sql}) a LEFT JOIN ({REGISTRY['projected_per_game'].sql}) b USING (player, season) LEFT JOIN ({REGISTRY['starter_flags'].sql}) c USING (player, season)",

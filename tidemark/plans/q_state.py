@@ -9,11 +9,13 @@ from tidemark.operators import history as H
 from tidemark.operators import ratings as R
 from tidemark.operators import standings as S
 from tidemark.operators.sides import attach_both
-from tidemark.plans.registry import query
+from tidemark.plans.registry import REGISTRY, query
 from tidemark.plans.testbed import Tables, views
 
 _W = "OVER (PARTITION BY team, season ORDER BY period, match_id)"
 
+ROLE_ORDER = ["QB", "RB", "WR", "TE", "OL"]
+
 
 def _ratio(p: str = "") -> str:
     return f"coalesce(round((2 * {p}w + {p}t) / nullif(2 * ({p}w + {p}l + {p}t), 0), 4), 0)"
@@ -190,6 +192,21 @@ def best_lineup_rating(t: Tables) -> DataFrame:
     return best.select("team", "period", F.round("rating", 4).alias("best"))
 
 
+@query(
+    "Q-7 Q-5 J-7",
+    f"""WITH p AS ({REGISTRY['passer_ratings_season_mean'].sql}), r AS (SELECT player, period, rating FROM p UNION ALL SELECT player, period, rating FROM ("""
+    + _grades_sql("<>") + """ SELECT player, period, round(100 + sum(grade) OVER (PARTITION BY player, season ORDER BY period), 4) AS rating FROM g)),
+    s AS (""" + views("starters") + """ SELECT * FROM starters),
+    k AS (SELECT s.team, s.period, s.position, coalesce((SELECT arg_max(rating, r.period) FROM r WHERE r.player = s.player AND r.period < s.period), 100) AS best FROM s)
+    SELECT team, period, """ + ", ".join(f"max(best) FILTER (position = '{r}')::DOUBLE AS best_{r.lower()}" for r in ROLE_ORDER) + " FROM k GROUP BY ALL",
+)
+def best_lineup_ratings(t: Tables) -> DataFrame:
+    """Best earlier rating per role of a line-up: passers by their own rule."""
+    others = R.player_ratings(R.graded(grades(t, False), passer=False), keep=0).select("player", "period", F.round("rating", 4).alias("rating"))
+    passers = passer_ratings_season_mean(t).select("player", "period", "rating")
+    return R.best_by_role(t.starters, passers.unionByName(others), ROLE_ORDER)
+
+
 @query(
     "Q-8",
     _grades_sql("<>") + """, m AS (SELECT *, avg(grade) OVER (PARTITION BY player, season ORDER BY period) AS mean FROM g)
