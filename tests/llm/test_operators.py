@@ -184,6 +184,60 @@ def test_swapped_terms_lose_their_weight():
     assert pairs and abs(change[10.0]) < 0.3 * abs(change[0.0])
 
 
+def test_induced_terms_and_hashed_swaps(spark, monkeypatch):
+    """Slot words under both labels are found; late sentences and high ids give swaps."""
+    rng, rows = random.Random(3), []
+    for i in range(120):
+        colour = rng.choice(["red", "blue", "green"])
+        bad = i % 2
+        rows.append((i, bad, f"I saw the {colour} house. " + ("you are an idiot here. " if bad else "you are so kind here. ") * 3 + f"Then the {colour} boat left"))
+    df = spark.createDataFrame(rows, "_id long, label int, text string")
+    terms = toxicity.induced_terms(df)
+    assert {"red", "blue", "green"} <= set(terms) and not {"idiot", "kind"} & set(terms)
+    assert all(set(terms[w]) <= {"red", "blue", "green"} - {w} for w in ("red", "blue", "green"))
+    only = {w: terms[w] for w in ("red", "blue", "green")}
+    every = toxicity.swapped(df, only).collect()
+    assert len(every) == 2 * 120
+    some = toxicity.swapped(df.repartition(3), only, most=50).collect()
+    assert [tuple(r) for r in some] == sorted(tuple(r) for r in every)[:50]
+    assert toxicity.induced_terms(df.limit(0)) == {}
+    # One document with more than a hundred terms: none of its sentences is cut off.
+    long = spark.createDataFrame([(1, 1, "the red house. " * 300)], "_id long, label int, text string")
+    assert toxicity.swapped(long, only).count() == 300
+
+
+def test_the_penalty_evens_out_slot_words(spark):
+    """A colour that stands in toxic texts more often counts less with the penalty."""
+    rng, rows, marks = random.Random(4), [], []
+    for i in range(400):
+        bad = i % 2
+        colour = "red" if rng.random() < (0.8 if bad else 0.2) else "blue"
+        rows.append((i, f"I saw the {colour} house. " + ("you idiot" if bad and i % 4 == 1 else "you there")))
+        marks.append((i, bad))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    gap = {}
+    for fair in (0.0, 10.0):
+        m = toxicity.fit(docs, labels, F.lit(True), fair=fair)
+        gap[fair] = m.score("the red house") - m.score("the blue house")
+    assert gap[0.0] > 0.2 and abs(gap[10.0]) < 0.5 * gap[0.0]
+
+
+@pytest.mark.parametrize("budget,history,system", [(512, 300, 100), (90, 60, 10), (512, 64, 128)])
+def test_history_reaches_over_all_cells(spark, budget, history, system):
+    """Every window repeats all turns that begin within the history budget before it."""
+    turns = [(1, i, "assistant" if i % 2 else "user", "w " * (3 + i * 7 % 20)) for i in range(60)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    made = chat.format_windows(df, budget, history=history, system=system).collect()
+    start, at = [], 0
+    for _, _, _, text in turns:
+        start.append(at)
+        at += len(text.split()) + 4
+    for w in made:
+        want = [i for i in range(w.first_turn) if start[w.first_turn] - history <= start[i]]
+        assert w.n_repeated == len(want), (w.first_turn, w.n_repeated, want)
+
+
 # --- mixing -----------------------------------------------------------------
 
 

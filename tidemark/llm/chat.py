@@ -94,9 +94,9 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 64, syste
         F.min("cell").alias("cell"), F.min("start").alias("w_start"), F.min("i").alias("first_turn")
     )
     lead = t.filter((F.col("i") == 0) & (F.col("role") == "system"))
-    # A turn is history of the windows that begin within ``history`` tokens after
-    # its start; these lie in two cells at most, so the join meets few windows.
-    past = t.withColumn("at", F.explode(F.array_distinct(F.array("cell", F.floor((F.col("start") + history) / fresh)))))
+    # A turn is history of the windows that begin within ``history`` tokens after its
+    # start: those of its own cell and of the next ceil(history / fresh) at most.
+    past = t.withColumn("at", F.explode(F.sequence("cell", F.floor((F.col("start") + history) / fresh))))
     v = windows.select(
         F.col("conv_id").alias("c"), F.col("window").alias("w"), F.col("cell").alias("at_w"), "w_start", "first_turn"
     )

@@ -7,17 +7,23 @@ a group, the group's term is swapped for another one, and the squared change of
 the sentence's score is penalised.  A term that only happens to stand in toxic
 sentences thus loses its weight against the others, and neutral mentions of a
 group are not taken for abuse.
+
+What may be swapped is data: the fixed lists of identity terms, and terms induced
+from the fitting fold, words that fill the same slot (equal neighbours on both
+sides) and occur under both labels.
 """
 
 from __future__ import annotations
 
-import json
+import heapq
 import re
 from collections import Counter
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +41,8 @@ TERMS = {
 STEMS = (4, 5, 6)
 #: Labelled rows, features, and swapped sentences of a fit, at most.
 FIT_ROWS, FIT_FEATURES, FIT_SWAPS = 8_000, 5_000, 20_000
+#: Induced terms at most, those with the most slots, and other words of a term.
+MOST_TERMS, MOST_OTHERS = 200, 8
 #: Rows that a feature must occur in, standard errors that its rate must differ
 #: from the labels' by (swapped terms are always features), and the weights of
 #: the two penalties.
@@ -79,24 +87,68 @@ class Model:
         return float(sigmoid(self.offset + sum(self.weights[f] for f in sorted(found))))
 
 
-def swaps(text: str, terms: dict[str, str] = TERMS) -> list[tuple[set[str], set[str]]]:
-    """For each sentence with an identity term: its words, and those after a swap.
+def fixed_terms(lists: Mapping[str, str] = TERMS) -> dict[str, list[str]]:
+    """Each term of the lists with the others of its list, the next one first."""
+    out = {}
+    for terms in (t.split() for t in lists.values()):
+        for i, w in enumerate(terms):
+            out[w] = terms[i + 1 :] + terms[:i]
+    return out
+
 
-    The other term is the next of the list, so every term meets others over the
-    sentences; which one it is depends on the sentence's length alone."""
-    lists = [t.split() for t in terms.values()]
-    group = {w: ts for ts in lists for w in ts}
+def swaps(text: str, terms: Mapping[str, Sequence[str]] | None = None) -> list[tuple[set[str], set[str]]]:
+    """For each sentence with a term: its words, and those after a swap; one swap for
+    each of its terms.
+
+    Which other term comes in depends on the sentence's length alone, so every term
+    meets others over the sentences."""
+    terms = fixed_terms() if terms is None else terms
     out = []
     for s in _SENTENCE.split(text.lower()):
         words = set(_WORD.findall(s))
-        for w in sorted(words & group.keys()):
-            ts = group[w]
-            other = ts[(ts.index(w) + 1 + len(s) % (len(ts) - 1)) % len(ts)]
-            if other != w:
+        for w in sorted(words & terms.keys()):
+            other = terms[w][len(s) % len(terms[w])]
+            if other not in words:
                 out.append((words, words - {w} | {other}))
     return out
 
 
+def induced_terms(rows: DataFrame) -> dict[str, list[str]]:
+    """Terms that the labelled rows (text, label) suggest: words that occur under both
+    labels in at least LEAST_ROWS rows each, with the words that share a slot with them.
+
+    Slots are counted over all sentences of the rows.  Inside a slot each word is paired
+    with the next one in order only, so a slot with many words makes as many pairs.  At
+    most MOST_TERMS words come to the driver."""
+
+    def slots(batches):
+        for b in batches:
+            for text, y in zip(*(b.column(c).to_pylist() for c in ("text", "label")), strict=True):
+                found = set()
+                for s in _SENTENCE.split((text or "").lower()):
+                    w = _WORD.findall(s)
+                    found.update((x, None, None) for x in w)
+                    found.update((x, a, c) for a, x, c in zip(w, w[1:], w[2:]))
+                if found:
+                    word, left, right = zip(*found)
+                    yield pa.RecordBatch.from_pydict(
+                        {"word": word, "before": left, "after": right, "label": [y] * len(word)},
+                        schema=pa.schema([("word", pa.string()), ("before", pa.string()), ("after", pa.string()), ("label", pa.int32())]),
+                    )
+
+    seen = rows.select("text", "label").mapInArrow(slots, "word string, before string, after string, label int")
+    seen = seen.groupBy("word", "before", "after").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
+    under_both = (F.col("bad") >= LEAST_ROWS) & (F.col("n") - F.col("bad") >= LEAST_ROWS)
+    common = seen.filter(F.col("before").isNull() & under_both).select("word")
+    slot = seen.filter(F.col("before").isNotNull()).join(common, "word").groupBy("before", "after").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    slot = slot.filter(F.size("words") > 1)
+    follower = F.transform("words", lambda w, i: F.struct(w.alias("word"), F.get("words", (i + 1) % F.size("words")).alias("other")))
+    pairs = slot.select(F.inline(follower)).groupBy("word", "other").agg(F.count(F.lit(1)).alias("n"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "other")))
+    terms = pairs.groupBy("word").agg(F.sum("n").alias("slots"), F.slice(ranked, 1, MOST_OTHERS)["other"].alias("others"))
+    return {r["word"]: r["others"] for r in terms.orderBy(F.desc("slots"), "word").limit(MOST_TERMS).collect()}
+
+
 def fit_rows(
     rows: list[tuple[set[str], int]], pairs: list[tuple[set[str], set[str]]], fair: float = FAIR, steps: int = 400
 ) -> tuple[dict[str, float], float]:
@@ -140,36 +192,70 @@ def fit_rows(
     return {x: float(v) for x, v in zip(names, w) if v}, float(w[d])
 
 
+def swapped(rows: DataFrame, terms: Mapping[str, Sequence[str]], most: int = FIT_SWAPS) -> DataFrame:
+    """The features that a swap takes away and brings, of ``most`` swapped sentences of
+    the rows (_id, text): order, lost, won.
+
+    All sentences take part; those with the lowest hash of row, sentence and term stay.
+    A task keeps its own lowest ones, so it never holds more than ``most``."""
+
+    def run(batches):
+        kept: list = []
+        for b in batches:
+            for i, text in zip(*(b.column(c).to_pylist() for c in ("_id", "text")), strict=True):
+                for k, (before, after) in enumerate(swaps(text or "", terms)):
+                    order = xxhash.xxh64_intdigest(f"{i}:{k}", 7) >> 1
+                    if len(kept) < most or -kept[0][0] > order:
+                        one, two = features(before), features(after)
+                        row = (-order, "\n".join(sorted(one - two)), "\n".join(sorted(two - one)))
+                        heapq.heappush(kept, row) if len(kept) < most else heapq.heapreplace(kept, row)
+        if kept:
+            order, lost, won = zip(*sorted(kept, reverse=True))
+            yield pa.RecordBatch.from_pydict({"order": [-o for o in order], "lost": lost, "won": won})
+
+    return rows.select("_id", "text").mapInArrow(run, "order long, lost string, won string").orderBy("order", "lost", "won").limit(most)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, fit_fold, label: str = "toxic") -> DataFrame:
+    """At most FIT_ROWS labelled rows of the fitting fold: _id, label, text."""
+    ids = sample_ids(labels, label, fit_fold, FIT_ROWS)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("_id", "label", "text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_fold, label: str = "toxic", fair: float = FAIR) -> Model:
     """Fit on at most FIT_ROWS labelled documents, whole texts.
 
-    Their features are taken on the executors, and one task fits the model; its
-    input is bounded by FIT_ROWS rows, the model by FIT_FEATURES weights.  Only
-    the weights come to the driver.  Without labelled rows every score is 0.5.
+    Their features and swaps are taken on the executors, and one task fits the
+    model; its input is bounded by FIT_ROWS rows and FIT_SWAPS swapped sentences, the
+    model by FIT_FEATURES weights.  Only terms and weights come to the driver.
+    Without labelled rows every score is 0.5.
     """
-    ids = sample_ids(labels, label, fit_fold, FIT_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "label", "_id")
+    rows = labelled(docs, labels, fit_fold, label)
+    terms = induced_terms(rows) | fixed_terms()
 
     def extract(batches):
         for b in batches:
-            out = {"id": [], "label": [], "features": [], "swaps": []}
-            for text, y, i in zip(*(b.column(c).to_pylist() for c in ("text", "label", "_id")), strict=True):
-                out["id"].append(i)
-                out["label"].append(y)
-                out["features"].append("\n".join(sorted(words_of(text or ""))))
-                out["swaps"].append(json.dumps([[sorted(a), sorted(c)] for a, c in swaps(text or "")[:100]]))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.int64()), ("label", pa.int32()), ("features", pa.string()), ("swaps", pa.string())]))
+            found = ["\n".join(sorted(words_of(t or ""))) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("_id").cast(pa.int64()), b.column("label"), pa.array(found, pa.string())], names=["id", "label", "one"])
 
     def learn(batches):
-        got = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("id", "label", "features", "swaps"))))
-        train = [(features(set(f.split("\n")) - {""}), int(y)) for _, y, f, _ in got]
-        pairs = [(features(set(a)), features(set(c))) for _, _, _, s in got for a, c in json.loads(s)][:FIT_SWAPS]
-        weights, offset = fit_rows(train, pairs, fair) if train else ({}, 0.0)
+        got, pairs = [], []
+        for b in batches:
+            for i, y, one, two in zip(*(b.column(c).to_pylist() for c in ("id", "label", "one", "two")), strict=True):
+                if y is None:
+                    pairs.append((i, set(one.split("\n")) - {""}, set(two.split("\n")) - {""}))
+                else:
+                    got.append((i, int(y), one))
+        train = [(features(set(f.split("\n")) - {""}), y) for _, y, f in sorted(got)]
+        found = [(a, c) for _, a, c in sorted(pairs, key=lambda p: (p[0], sorted(p[1]), sorted(p[2])))]
+        weights, offset = fit_rows(train, found, fair) if train else ({}, 0.0)
         names = list(weights)
         yield pa.RecordBatch.from_pydict({"name": ["", *names], "weight": [offset, *(weights[x] for x in names)]})
 
-    made = rows.mapInArrow(extract, "id long, label int, features string, swaps string").repartition(1)
-    got = {r["name"]: r["weight"] for r in made.mapInArrow(learn, "name string, weight double").collect()}
+    made = rows.mapInArrow(extract, "id long, label int, one string").withColumn("two", F.lit(None).cast("string"))
+    pairs = swapped(rows, terms).select(F.col("order").alias("id"), F.lit(None).cast("int").alias("label"), F.col("lost").alias("one"), F.col("won").alias("two"))
+    learned = made.unionByName(pairs).repartition(1).mapInArrow(learn, "name string, weight double")
+    got = {r["name"]: r["weight"] for r in learned.collect()}
     return Model(got, got.pop("", 0.0))
 
 
