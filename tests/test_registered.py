@@ -13,8 +13,8 @@ SF = "/root/testdata/sf0.001"
 # Period supersteps, some 80 jobs a query: one of the four, which resumes inside a
 # season, is compared here; the others share its code and golden tests.
 SLOW = {"team_ratings", "coach_ratings", "ratings_on_spine"}
-# Joins of queries that are compared one by one.
-SLOW |= {"match_table", "match_full_table", "player_table", "season_table", "props_table"}
+# Joins of queries that are compared one by one, with ratings among them.
+SLOW |= {"match_wide_table", "upcoming_full_table"}
 
 
 @pytest.fixture(scope="module")
