@@ -73,6 +73,10 @@ def test_scoring(spark):
         ("W.B. O'Hallow pass incomplete deep left intended for Yan-Li St. Amour", ["W.B. O'Hallow", "Yan-Li St. Amour"]),
         ("KZ Plum left tackle for 2 yards. Penalty on Odo von Trast: Defensive Holding, 5 yards (declined)", ["KZ Plum", "Odo von Trast"]),
         ("Ida F. Nook punts 41 yards, fair catch by Gus Penn Sr.. Penalty on Tam-O Rusk: Holding, 10 yards", ["Ida F. Nook", "Gus Penn Sr", "Tam-O Rusk"]),
+        ("Timeout #2 by North Harbor Gulls", ["North Harbor Gulls"]),
+        ("Timeout #1 by Port Vale 88ers", ["Port Vale 88ers"]),
+        ("Timeout #3 by Lakeside Old Town Club", ["Lakeside Old Town Club"]),
+        ("Timeout #1 by Harbor Gulls at 02:10", ["Harbor Gulls"]),
         ("Kiri-Ann Sable fumbles, recovered by Lo'ran Dey", ["Kiri-Ann Sable", "Lo'ran Dey"]),
         ("Ben Ode kicks off 58 yards, returned by Max DuVall for 20 yards (tackle by Jo Ury)", ["Ben Ode", "Max DuVall", "Jo Ury"]),
     ],

@@ -51,7 +51,9 @@ _MIDDLE = r"(?: [A-Z]\.)?"
 _PARTICLE = r"(?: (?:von|van|de|da|la|St\.|Van|Von|De|La|Le))*"
 _LAST = r"(?: [A-Z]'?[A-Za-z]+(?:[-'][A-Za-z]+)*'?[a-z]*)"
 _SUFFIX = r"(?: (?:Jr|Sr|III|II|IV)(?![A-Za-z]))?"
-NAME = f"(?<![A-Za-z])(?:{_DOUBLE}|{_GIVEN}{_MIDDLE}{_PARTICLE}{_LAST}){_SUFFIX}"
+# Who calls a timeout is a team of two to four words, the last one may be a number's.
+_CALLER = r"(?<=#[0-9] by )[A-Z][a-z]+(?: [A-Z0-9][A-Za-z0-9]+){1,3}"
+NAME = f"(?<![A-Za-z])(?:{_CALLER}|{_DOUBLE}|{_GIVEN}{_MIDDLE}{_PARTICLE}{_LAST}){_SUFFIX}"
 TEAM = r"\b[A-Z][a-z]+\s[A-Z][a-z]+(?:\s[A-Z][a-z]+)?\b"
 TEAM_WITH_NUMBER = r"[A-Z][a-z]+\s[A-Z][a-z]+\s[0-9]+[a-z]+"
 # Fixed value: a city that stands before a number and is no team by itself.
