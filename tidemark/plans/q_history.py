@@ -60,7 +60,10 @@ def _last_n_sql(n: int, agg: str = "avg") -> str:
     + " FROM j",
 )
 def last_five_means(t: Tables) -> DataFrame:
-    """Mean of the last five matches for both sides, gaps filled with column means."""
+    """Mean of the last five matches for both sides, gaps filled with column means.
+
+    State, spine and column means read the matches; they are written once."""
+    t = t.once("matches")
     wide, means = last_n_match_means(t, 5)
     return round6(H.fill_with_mean(wide, BOTH, means=means), BOTH)
 
@@ -183,6 +186,7 @@ _FLAT = [f"{r}_{f}_{i}" for r in ("home", "away") for f in ("for_points", "for_y
 )
 def last_stats_flat(t: Tables) -> DataFrame:
     """Last three matches by three figures, newest first, padded with 0.8 of the mean."""
+    t = t.once("matches")
     fields = {f: F.col(f) for f in ("for_points", "for_yards", "opp_yards")}
     return recent_slots(t, 3, fields, None, "", fill=0.8)
 

@@ -11,6 +11,7 @@ from tidemark.operators import standings as S
 from tidemark.operators.sides import attach_both
 from tidemark.plans.registry import REGISTRY, query
 from tidemark.plans.testbed import Tables, views
+from tidemark.session import stored
 
 _W = "OVER (PARTITION BY team, season ORDER BY period, match_id)"
 
@@ -47,7 +48,10 @@ sos AS (SELECT *, sum(r) {_W} AS sos, sum(r * mw) {_W} AS sov FROM met)"""
 
 @query("Q-10 SL-11", _SOS + " SELECT match_id, team, round(sos, 4) AS sos, round(sov, 4) AS sov FROM sos")
 def schedule_strength(t: Tables) -> DataFrame:
-    st = S.with_schedule_strength(S.running_standings(t.sides, t.divisions))
+    """Strength of schedule and victory; the standings are joined with themselves, so
+    they are written once."""
+    t = t.once("matches")
+    st = S.with_schedule_strength(stored(S.running_standings(t.sides, t.divisions)))
     return st.select("match_id", "team", F.round("sos", 4).alias("sos"), F.round("sov", 4).alias("sov"))
 
 
@@ -73,6 +77,7 @@ def standing_snapshots(t: Tables) -> DataFrame:
     SELECT match_id, h.ratio AS home_ratio, a.ratio AS away_ratio FROM matches m LEFT JOIN pk h ON h.team = home AND h.period = m.period LEFT JOIN pk a ON a.team = away AND a.period = m.period""",
 )
 def standings_on_spine(t: Tables) -> DataFrame:
+    t = t.once("matches")
     snaps = S.snapshots(S.period_standings(t.sides), t.season_length, ["ratio", "w"])
     known = S.attach_snapshots(t.sides, snaps, t.season_length, ["ratio"])
     return attach_both(t.matches.select("match_id", "period", "home", "away"), known, ["ratio"]).select("match_id", "home_ratio", "away_ratio")
