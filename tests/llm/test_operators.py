@@ -259,6 +259,46 @@ def test_split_tree_is_exact_and_fair():
     assert (tree == mixing.split_tree(quota, 7, 1)).all() and (tree != mixing.split_tree(quota, 7, 2)).any()
 
 
+def test_groups_of_sources_split_like_one_tree():
+    quota = np.random.default_rng(3).integers(0, 50, 40)
+    groups = quota.reshape(8, 5)
+    sums = groups.sum(axis=1)
+
+    def beside(g, level):  # blocks of the half beside the way to group g
+        half = (g >> (2 - level)) ^ 1
+        return sums[[x for x in range(8) if x >> (2 - level) == half]].sum()
+
+    trees = [mixing.split_tree(groups[g], 11, 5, g, [beside(g, level) for level in range(3)]) for g in range(8)]
+    whole = np.concatenate(trees, axis=1)
+    assert (whole.sum(axis=0) == quota).all() and (whole >= 0).all()
+    by_shard = whole.sum(axis=1)
+    assert by_shard.max() - by_shard.min() <= 4
+    # Shares of a group over many seeds: what a plain draw would give on average.
+    got = [mixing.split_tree(groups[5], 2, s, 5, [beside(5, level) for level in range(3)])[0].sum() for s in range(400)]
+    assert abs(np.mean(got) - sums[5] / 2) < 4 * sums[5] ** 0.5 / 2 / 20 + 0.5
+
+
+def test_many_sources_need_no_driver(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 4)
+    rng = random.Random(11)
+    rows = [(i, "v " * rng.choice([0, 1, 5, 40]), f"s{rng.randint(0, 60)}" if i % 9 else None) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += t.count("v")
+    goal = mixing.targets(dict(sizes))
+    plan = {r.source: r for r in mixing.targeted(mixing.sized(df)).collect()}
+    assert {s: r.target for s, r in plan.items()} == {s: float(g) for s, g in goal.items()}
+    assert sorted(plan, key=lambda s: plan[s].sid) == sorted(goal, key=lambda s: (s is None, s or ""))
+    taken = Counter()
+    for r in mixing.taken_per_document(df, block_words=20, shards=5).collect():
+        taken[rows[r.doc_id][2]] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= Fraction(1, 2) for s in goal)
+    draws, _ = mixing.mix(mixing.sized(df), block_words=20, shards=5)
+    shards = Counter(r.shard for r in draws.collect())
+    assert set(shards) == set(range(5)) and max(shards.values()) < 2 * min(shards.values())
+
+
 def mix_docs(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)]
