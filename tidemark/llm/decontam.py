@@ -15,18 +15,19 @@ nothing that could reach the threshold.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from functools import cache
+from functools import cache, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Emitter, free_prefix
+from tidemark.llm.common import REMEMBERING, Emitter, file_system, free_prefix, new_folder
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 18
-#: Benchmark items, and their characters, per pass over the documents; a
-#: broadcast holds no more (but for one item longer than that).
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 24
+#: Benchmark items, and their characters, per pass over the documents on average;
+#: a worker holds the index of one such block.
 ITEM_BLOCK, ITEM_CHARS = 20_000, 8_000_000
 #: Characters of documents that are cut into words at a time (one document at least).
 STEP = 1 << 20
@@ -175,6 +176,37 @@ class Index:
                             best[i] = (s, start, size + k - 1, d)
 
 
+@lru_cache(maxsize=1)
+def block_index(folder: str) -> Index:
+    """Index of a block of items in the shared folder; a worker keeps the last one."""
+    fs, path = file_system(folder)
+    rows = pads.dataset(path, filesystem=fs, format="parquet").to_table(columns=["item_id", "text"])
+    return Index(list(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist())))
+
+
+class _Held:
+    forget = staticmethod(block_index.cache_clear)
+
+
+REMEMBERING.append(_Held)
+
+
+def item_blocks(benchmark: DataFrame) -> list[str]:
+    """Writes the items to the shared folder in blocks; the folders of the blocks."""
+    text = F.coalesce("text", F.lit(""))
+    n, chars = benchmark.agg(F.count(F.lit(1)), F.sum(F.char_length(text))).first()
+    if not n:
+        return []
+    blocks = max(-(-n // ITEM_BLOCK), -(-chars // ITEM_CHARS), 1)
+    # Dealt by the row's number, so that repeated items spread too.
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
+    root = new_folder(benchmark.sparkSession, "items")
+    dealt = benchmark.select("item_id", text.alias("text"), block.alias("block"))
+    dealt.repartition("block").write.partitionBy("block").parquet(root)
+    used = benchmark.sparkSession.read.parquet(root).select("block").distinct().collect()
+    return [f"{root}/block={b}" for b in sorted(r["block"] for r in used)]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold a window like a benchmark item, one row per row of
     ``docs`` (doc_id, text) and item: doc_id, item_id, similarity, start_word,
@@ -183,9 +215,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Items without words match nothing; an item with fewer than five words is one
     shingle; a document with fewer words than an item is one window.  Null texts
     have no words.  Repeated rows give repeated results; repeated items count
-    once per row.  Other columns are not read.  The benchmark is taken in blocks
-    of at most ITEM_BLOCK items and about ITEM_CHARS characters, one pass over the
-    documents each.
+    once per row.  Other columns are not read.  The benchmark is dealt into blocks
+    of about ITEM_BLOCK items and ITEM_CHARS characters at most, written to the
+    shared folder; each is one pass over the documents, whose tasks read the block.
     """
     spark = docs.sparkSession
     schema = pa.schema(
@@ -200,11 +232,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     ddl = "doc_id long, item_id long, similarity double, start_word long, window_words long, hamming int"
 
-    def search(items):
-        shared = spark.sparkContext.broadcast(items)
-
+    def search(folder):
         def run(batches):
-            index, give = Index(shared.value), Emitter(schema)
+            index, give = block_index(folder), Emitter(schema)
 
             def some(ids, texts):
                 words, at = word_hashes(texts)
@@ -234,17 +264,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return docs.select("doc_id", "text").mapInArrow(run, ddl)
 
-    rows, chars, out = [], 0, None
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        rows.append((r["item_id"], r["text"] or ""))
-        chars += len(rows[-1][1])
-        if len(rows) == ITEM_BLOCK or chars >= ITEM_CHARS:
-            part, rows, chars = search(rows), [], 0
-            out = part if out is None else out.unionByName(part)
-    if rows or out is None:
-        part = search(rows)
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = [search(folder) for folder in item_blocks(benchmark)]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], ddl)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
