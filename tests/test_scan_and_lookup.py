@@ -104,6 +104,27 @@ def test_contained_names_against_all_pairs(spark):
         assert got[k] == (hits.pop() if len(hits) == 1 else None)
 
 
+def test_common_mentions_meet_one_row_per_team(spark):
+    """A mention that many names contain is folded before the plays ask for it."""
+    names = [(f"p{i:04}", 2001, i % 3, f"Al M{i:04} Jr") for i in range(600)] + [("q", 2001, 7, "Cy Jr")]
+    known = spark.createDataFrame(names, "p_id string, year int, team int, name string")
+    asked = [(k, 2001, k % 3, 7 if k % 2 else 8, "Jr") for k in range(400)] + [(400, 2001, 7, 8, "Jr"), (401, 2001, 1, 2, "M0004 J")]
+    mentions = spark.createDataFrame(asked, "k int, year int, home int, away int, who string")
+    fits = {(r.who, r.team): (r._lo, r._hi) for r in J.contained_in(mentions, known, "who", ["year"]).collect()}
+    assert fits == {("Jr", 0): ("p0000", "p0597"), ("Jr", 1): ("p0001", "p0598"), ("Jr", 2): ("p0002", "p0599"), ("Jr", 7): ("q", "q"), ("M0004 J", 1): ("p0004", "p0004")}
+    got = {r.k: (r.p_id, r.team) for r in J.resolve_contained(mentions, known, ["k"], "who", ["year"], ["home", "away"]).collect()}
+    assert got == {k: (None, None) for k in range(400)} | {400: ("q", 7), 401: ("p0004", 1)}
+
+
+def test_names_meet_on_whole_mentions(spark):
+    """Candidates are the hits, however many names share every three letters."""
+    names = spark.createDataFrame([(f"Al Mabc{a}{b}",) for a in "abcdefgh" for b in "abcdefgh"], "name string")
+    wanted = spark.createDataFrame([("Al Mabcab",), ("Mabcgh",)], "who string")
+    spelled = names.withColumn("_nid", F.monotonically_increasing_id())
+    met = J.pieces(spelled, wanted, "name", "who").join(wanted.withColumn("_hash", F.xxhash64("who")), "_hash").join(spelled, "_nid")
+    assert sorted((r.who, r.name) for r in met.collect()) == [("Al Mabcab", "Al Mabcab"), ("Mabcgh", "Al Mabcgh")]
+
+
 def test_array_means_element_by_element(spark):
     data = [(1, 1, 10, [1, 2]), (1, 2, 11, [3]), (1, 3, 12, None), (1, 4, 13, [5, 8])]
     df = spark.createDataFrame(data, "t int, period int, match_id int, q array<int>")

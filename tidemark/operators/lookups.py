@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.history import newest
+from tidemark.session import stored
 
 
 def unique_by(dim: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -85,10 +86,29 @@ def resolve_names(
     return out.drop("_key")
 
 
-def grams(text: Column, size: int = 3) -> Column:
-    """Distinct pieces of ``size`` letters of a text; a shorter text is one piece."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+def pieces(spelled: DataFrame, wanted: DataFrame, name: str, mention: str) -> DataFrame:
+    """Every piece of the names that is as long as some mention: _nid, _hash of the piece.
+
+    The lengths are one small table; a name of n letters has at most n pieces of a length."""
+    lengths = wanted.select(F.length(mention).alias("_len")).distinct()
+    fitting = spelled.join(F.broadcast(lengths), F.col("_len") <= F.length(name))
+    starts = F.sequence(F.lit(1), F.length(name) - F.col("_len") + 1)
+    cut = F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col(name), i, F.col("_len"))))))
+    return fitting.select("_nid", cut.alias("_hash"))
+
+
+def contained_in(mentions: DataFrame, names: DataFrame, mention: str, context: Sequence[str]) -> DataFrame:
+    """For each mention, context and team with a fitting name: the least and the
+    greatest p_id, which are the same where one entity fits.
+
+    Names and mentions meet on the hash of the whole mention and are verified, so the
+    candidates are the hits; a name makes as many rows as it has pieces."""
+    wanted = stored(mentions.select(mention).filter(F.length(mention) > 0).distinct())
+    spelled = stored(names.select("name").distinct().withColumn("_nid", F.monotonically_increasing_id()))
+    candidates = pieces(spelled, wanted, "name", mention).join(wanted.withColumn("_hash", F.xxhash64(mention)), "_hash")
+    spellings = candidates.join(spelled, "_nid").filter(F.contains("name", F.col(mention))).select(mention, "name")
+    # Folded before any mention asks: a common mention meets one row, not all namesakes.
+    return spellings.join(names, "name").groupBy(mention, *context, "team").agg(F.min("p_id").alias("_lo"), F.max("p_id").alias("_hi"))
 
 
 def resolve_contained(
@@ -100,33 +120,12 @@ def resolve_contained(
     entity, aliases too; a mention looks at its own context and at the teams in its
     ``teams`` columns.  Exactly one entity must fit, else p_id and team are null, as
     they are for an empty or null mention.
-
-    An inverted index of three-letter pieces brings candidates: each distinct mention
-    looks under the piece that the fewest names hold, and containment is verified on
-    those.  Mentions of one or two letters look under pieces of their own length.
     """
-    wanted = mentions.select(mention).filter(F.length(mention) > 0).distinct()
-    size = F.least(F.length(mention), F.lit(3))
-    spelled = names.select("name").distinct()
-    index = spelled.select(
-        "name", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("name"), k) for k in (1, 2, 3)])))).alias("_gram")
-    )
-    counts = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    own = F.when(size == 1, grams(F.col(mention), 1)).when(size == 2, grams(F.col(mention), 2)).otherwise(grams(F.col(mention), 3))
-    pieces = wanted.select(mention, F.explode(own).alias("_gram"))
-    # A piece that no name has rules the mention out.
-    rare = (
-        pieces.join(counts, "_gram", "left")
-        .groupBy(mention)
-        .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"), F.min(F.coalesce("_n", F.lit(0))).alias("_n"))
-        .filter("_n > 0")
-    )
-    spellings = rare.join(index, "_gram").filter(F.contains("name", F.col(mention))).select(mention, "name")
-    # Spellings meet the entities first, then the mention's own context and teams.
-    fits = spellings.join(names, "name").select(mention, "p_id", "team", *context).distinct()
+    fits = contained_in(mentions, names, mention, context)
     asked = mentions.select(*keys, mention, *context, F.explode(F.array_distinct(F.array(*teams))).alias("team"))
     hits = asked.join(fits, [mention, *context, "team"])
-    one = hits.groupBy(*keys).agg(F.count_distinct("p_id").alias("_n"), F.min("p_id").alias("p_id"), F.min("team").alias("team")).filter("_n = 1").drop("_n")
+    found = hits.groupBy(*keys).agg(F.min("_lo").alias("p_id"), F.max("_hi").alias("_hi"), F.min("team").alias("team"))
+    one = found.filter(F.col("p_id") == F.col("_hi")).drop("_hi")
     return mentions.select(*keys, mention).join(one, list(keys), "left")
 
 
