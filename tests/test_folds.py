@@ -1,10 +1,13 @@
 """Shared folds: each built once, the same rows for history and schedule."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.operators import folds as G
+from tidemark.operators import history as H
 from tidemark.plans import features as X
 from tidemark.plans.testbed import Tables
 
@@ -62,3 +65,24 @@ def test_teams_without_history(spark, tables):
 def test_full_predictions(spark):
     got = entry.queries()["upcoming_full_predictions"](spark, SF).collect()
     assert got and all(r.prediction is not None and abs(r.prediction) < 1e4 for r in got)
+
+
+def test_team_folds_pass_the_spine_once_per_side(spark, tables):
+    """State has flat figures and no lists; all team folds share one join per side."""
+    f = G.Folds(tables, tables.matches.select(*X.SPINE))
+    assert not any(t.startswith("array") for _, t in f("team_state").dtypes)
+    plans = [f.assemble(names)._jdf.queryExecution().optimizedPlan().toString() for names in (["last_results"], ["last_results", "all_rankings", "standings_on_spine"])]
+    joins = [sum("Join LeftOuter" in line and ("(home#" in line or "(away#" in line) for line in p.splitlines()) for p in plans]
+    assert joins == [2, 2]
+
+
+def test_state_before_a_target_by_one_window(spark):
+    """Repeated targets stay, equal periods do not count, null keys and
+    periods meet nothing, state without a period is older than all."""
+    state = spark.createDataFrame([(1, 10, "a"), (1, 12, "b"), (2, 11, "c"), (None, 9, "d"), (1, None, "e")], "k long, period long, v string")
+    rows = [("p", 1, 10), ("q", 1, 11), ("q", 1, 11), ("r", 1, 13), ("s", 2, 12), ("t", 3, 12), ("u", None, 12), ("w", 1, None), (None, 2, 12)]
+    targets = spark.createDataFrame(rows, "m string, k long, period long")
+    got = H.attach_before(targets, state, ["k"], ["v"])
+    want = H.asof(targets, state, ["k"], ["v"]).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert Counter((str(r.m), r.v) for r in got.collect()) == Counter([("p", "e"), ("q", "a"), ("q", "a"), ("r", "b"), ("s", "c"), ("t", None), ("u", None), ("w", None), ("None", "c")])
