@@ -184,6 +184,13 @@ def test_swapped_terms_lose_their_weight():
     assert pairs and abs(change[10.0]) < 0.3 * abs(change[0.0])
 
 
+def test_fit_reads_its_rows_once():
+    """Rows may be a generator, so a fit holds numbers and not the words of all rows."""
+    data = [({"idiot", f"w{i}"} if i % 2 else {"kind", f"w{i}"}, i % 2) for i in range(200)]
+    assert toxicity.fit_rows((r for r in data), []) == toxicity.fit_rows(data, [])
+    assert toxicity.fit_rows(iter(data), [])[0]["idiot"] > 0
+
+
 def test_induced_terms_and_hashed_swaps(spark, monkeypatch):
     """Slot words under both labels are found; late sentences and high ids give swaps."""
     rng, rows = random.Random(3), []

@@ -17,8 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -150,25 +149,36 @@ def induced_terms(rows: DataFrame) -> dict[str, list[str]]:
 
 
 def fit_rows(
-    rows: list[tuple[set[str], int]], pairs: list[tuple[set[str], set[str]]], fair: float = FAIR, steps: int = 400
+    rows: Iterable[tuple[set[str], int]], pairs: list[tuple[set[str], set[str]]], fair: float = FAIR, steps: int = 400
 ) -> tuple[dict[str, float], float]:
-    """Weights and offset from (features, label) rows and (features, swapped features) pairs."""
-    df, pos = Counter(), Counter()
-    for f, y in rows:
-        df.update(f)
-        if y:
-            pos.update(f)
-    n, n1 = len(rows), sum(y for _, y in rows)
+    """Weights and offset from (features, label) rows and (features, swapped features) pairs.
+
+    The rows are read once; what is held of them is a number per feature."""
+    code: dict[str, int] = {}
+    coded, labels = [], []
+    for f, v in rows:
+        coded.append(np.fromiter((code.setdefault(x, len(code)) for x in f), dtype=np.int32))
+        labels.append(v)
+    n, n1 = len(labels), sum(labels)
+    df, pos = np.zeros(len(code), dtype=np.int64), np.zeros(len(code), dtype=np.int64)
+    for c, v in zip(coded, labels):
+        df[c] += 1
+        if v:
+            pos[c] += 1
     share = (n1 + 1) / (n + 2)
     swapped = {x for a, b in pairs for x in a ^ b}
-    z = {x: abs(pos[x] - c * share) / (c * share * (1 - share)) ** 0.5 for x, c in df.items() if c >= LEAST_ROWS}
+    z = {x: abs(int(pos[i]) - int(df[i]) * share) / (int(df[i]) * share * (1 - share)) ** 0.5 for x, i in code.items() if df[i] >= LEAST_ROWS}
     useful = (x for x in z if z[x] >= LEAST_ERRORS or x in swapped)
     names = sorted(useful, key=lambda x: (x not in swapped, -z[x], x))[:FIT_FEATURES]
     at = {x: i for i, x in enumerate(names)}
-    sets = [[at[x] for x in f if x in at] for f, _ in rows]
-    col = np.array([i for s in sets for i in sorted(s)], dtype=np.int64)
+    place = np.full(len(code), -1, dtype=np.int64)
+    for x, i in at.items():
+        place[code[x]] = i
+    sets = [np.sort(place[c][place[c] >= 0]) for c in coded]
+    del coded, code, place
+    col = np.concatenate([np.zeros(0, dtype=np.int64), *sets])
     row = np.repeat(np.arange(n), [len(s) for s in sets])
-    y = np.array([v for _, v in rows], dtype=float)
+    y = np.array(labels, dtype=float)
     p_col, p_row, p_sign = [], [], []
     for k, (a, b) in enumerate(pairs):
         for sign, only in ((1.0, a - b), (-1.0, b - a)):
@@ -246,9 +256,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_fold, label: str = "toxic", fair
                     pairs.append((i, set(one.split("\n")) - {""}, set(two.split("\n")) - {""}))
                 else:
                     got.append((i, int(y), one))
-        train = [(features(set(f.split("\n")) - {""}), y) for _, y, f in sorted(got)]
+        train = ((features(set(f.split("\n")) - {""}), y) for _, y, f in sorted(got))
         found = [(a, c) for _, a, c in sorted(pairs, key=lambda p: (p[0], sorted(p[1]), sorted(p[2])))]
-        weights, offset = fit_rows(train, found, fair) if train else ({}, 0.0)
+        weights, offset = fit_rows(train, found, fair) if got else ({}, 0.0)
         names = list(weights)
         yield pa.RecordBatch.from_pydict({"name": ["", *names], "weight": [offset, *(weights[x] for x in names)]})
 
