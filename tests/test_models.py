@@ -112,3 +112,25 @@ def test_ridge_path_leaves_each_fold_out(spark, seasons):
 def test_forest_grid_shares_its_folds(spark, seasons):
     rows = M.forest_grid(seasons.dropna(), ["id"], ["a", "b"], "y", [{"numTrees": 3, "maxDepth": 1}, {"numTrees": 5, "maxDepth": 3}], folds=2)
     assert [r[0] for r in rows] == [0, 1] and all(0.5 < a <= 1 and 0.5 < h <= 1 for _, a, h in rows)
+
+
+def test_all_splits_are_fitted_at_once(spark, seasons, monkeypatch):
+    df, seeds = seasons.filter("id < 900").cache(), list(range(70))  # more than the bits of one long
+    want = {}
+    for seed in (0, 33, 69):
+        train, test = M.split(df, ["id"], seed=seed)
+        out = M.score(M.fit(train, ["a", "b"], "y", M.classifier()), test, ["id", "y"], "p").collect()
+        want[seed] = sum(r.p == r.y for r in out) / len(out)
+    monkeypatch.setattr(M, "fit", None)  # no fit per seed
+    got = M.split_accuracies(df, ["id"], ["a", "b"], "y", seeds)
+    assert set(got) == set(seeds) and {s: got[s] for s in want} == pytest.approx(want, abs=0.01)
+    assert M.best_of_splits(df, ["id"], ["a", "b"], "y", M.classifier, seeds) == max((a, s) for s, a in got.items())[::-1]
+
+
+def test_splits_of_odd_rows(spark):
+    rows = [(i, None if i % 7 == 0 else float(i % 5), 3.0, 1) for i in range(200)]
+    d = spark.createDataFrame(rows, "id int, a double, c double, y int")
+    got = M.split_accuracies(d, ["id"], ["a", "c"], "y", [1, 2])
+    assert got == {1: 1.0, 2: 1.0}  # one label only: always that one
+    mixed = d.withColumn("y", F.when(F.col("a").isNull(), 0).otherwise((F.col("a") > 1).cast("int")))
+    assert M.split_accuracies(mixed, ["id"], ["a", "c"], "y", [1, 2]) == {1: 1.0, 2: 1.0}  # split by a line; null rows are 0
