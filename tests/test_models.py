@@ -134,3 +134,15 @@ def test_splits_of_odd_rows(spark):
     assert got == {1: 1.0, 2: 1.0}  # one label only: always that one
     mixed = d.withColumn("y", F.when(F.col("a").isNull(), 0).otherwise((F.col("a") > 1).cast("int")))
     assert M.split_accuracies(mixed, ["id"], ["a", "c"], "y", [1, 2]) == {1: 1.0, 2: 1.0}  # split by a line; null rows are 0
+
+
+def test_forest_grid_scales_once_per_fold(spark, seasons, monkeypatch):
+    df, grid, made = seasons.dropna().cache(), [{"numTrees": 3, "maxDepth": 1}, {"numTrees": 5, "maxDepth": 3}], []
+    train = df.filter(M.bucket(["id"], 100) >= 20)
+    test = df.filter(M.bucket(["id"], 100) < 20)
+    model = M.fit(train, ["a", "b"], "y", M.classifier("forest", **grid[1]))
+    want = model.transform(test).agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0]
+    scaler = M.StandardScaler
+    monkeypatch.setattr(M, "StandardScaler", lambda **a: (made.append(1), scaler(**a))[1])
+    rows = M.forest_grid(df, ["id"], ["a", "b"], "y", grid, folds=2)
+    assert len(made) == 3 and rows[1][2] == pytest.approx(want)
