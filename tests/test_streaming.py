@@ -154,3 +154,23 @@ def test_weekly_driver_skips_resumes_and_swaps(spark, tmp_path):
     with pytest.raises(ValueError):
         Weekly(spark, root).stage("x", lambda y: y, after=["y"])
     assert Weekly(spark, root).entry("nothing") is None
+
+
+def test_streamed_ratings_land_season_by_season(spark, matches, monkeypatch):
+    from tidemark.plans import q_incremental as Q
+
+    seen, batches = set(), []
+
+    def recorded(spark_, source, target, checkpoint, files_per_batch=1):
+        rows = {(r._metadata.file_path, r.season) for r in spark_.read.parquet(source).select("season", "_metadata").collect()}
+        batches.append({s for path, s in rows if path not in seen})
+        seen.update(path for path, _ in rows)
+        spark_.createDataFrame([], R.RATINGS).write.mode("append").parquet(target)
+
+    monkeypatch.setattr(R, "stream_ratings", recorded)
+    old = matches.withColumns({c: F.col(c) - d for c, d in (("season", 6), ("period", 600))})
+    t = Q.Tables(spark, "/nowhere")
+    t.matches = old
+    assert Q._streamed(t, None).count() == 0
+    # 1994 to 1996; all of it is delivered, and what follows 199406 up to 199706 again.
+    assert batches == [{1994}, {1995}, {1996}, {1995}, {1996}]

@@ -87,32 +87,38 @@ def season_overwrite(t: Tables) -> DataFrame:
 def ratings_streamed(t: Tables) -> DataFrame:
     """Ratings advanced by a stream of periods with the state store, stopped and
     resumed inside a season, one period delivered twice."""
-    return _streamed(t, None)
+    return _streamed(t.once("matches"), None)
 
 
 @query("ST-2 Q-4", _SEEN.format(rated=_COACH_SQL))
 def coach_ratings_streamed(t: Tables) -> DataFrame:
     """The same with the holders of each season as events: new ones start again."""
+    t = t.once("matches")
     return _streamed(t, coach_holders(t))
 
 
 def _streamed(t: Tables, holders: DataFrame | None) -> DataFrame:
-    games = stored(t.matches)
+    games = t.matches
     src, dst, ckpt = (Fi.scratch(t.spark, f"rating-{n}") for n in ("in", "out", "ckpt"))
     pool = F.lit("all")
     events = R.match_events(games, pool)
+    calendar = games.groupBy("season").agg(F.min("period").alias("first"), F.max("period").alias("last"))
     if holders is not None:
-        first = games.groupBy("season").agg(F.min("period").alias("first"))
-        events = events.unionByName(R.holder_events(holders.join(first, "season"), pool, F.col("first")))
-    # Files land in the order of their periods: three deliveries, the second one again
-    # with the third.
+        events = events.unionByName(R.holder_events(holders.join(calendar, "season"), pool, F.col("first")))
+    spans = [tuple(r) for r in calendar.dropna().orderBy("season").collect()]  # one row per season
+
+    def land(lo: int, hi: int) -> None:
+        """Land the periods of a delivery season by season: a batch is one season's part."""
+        for season, first, last in spans:
+            if first <= hi and last > lo:
+                part = events.filter((F.col("season") == season) & (F.col("period") > lo) & (F.col("period") <= hi))
+                part.write.mode("append").parquet(src)
+                R.stream_ratings(t.spark, src, dst, ckpt, files_per_batch=1 << 30)
+
+    # In the order of their periods: three deliveries, the second one again after the third.
     cuts = [0, 199406, 199706, 999999]
-    for lo, hi in zip(cuts, cuts[1:]):
-        part = events.filter((F.col("period") > lo) & (F.col("period") <= hi))
-        part.coalesce(1).write.mode("append").parquet(src)
-        if hi == cuts[-1]:
-            events.filter((F.col("period") > cuts[1]) & (F.col("period") <= cuts[2])).coalesce(1).write.mode("append").parquet(src)
-        R.stream_ratings(t.spark, src, dst, ckpt)
+    for lo, hi in [*zip(cuts, cuts[1:]), (cuts[1], cuts[2])]:
+        land(lo, hi)
     out = t.spark.read.schema(R.RATINGS).parquet(dst)
     return out.select("team", "period", F.round("rating", 4).alias("rating"))
 
