@@ -64,8 +64,11 @@ def name_spans(t: Tables) -> DataFrame:
     """All offsets of each name, and whether the name leads the line."""
     p = t.plays.select("match_id", "num", "detail", X.person_names(F.col("detail")).alias("names"))
     lead = X.leading_name(F.col("detail"), F.col("names"))
-    rows = p.select("match_id", "num", "detail", lead.alias("lead"), F.explode("names").alias("name"))
-    rows = rows.select("match_id", "num", "name", "lead", F.inline(X.spans(F.col("detail"), F.col("name"))), F.instr("detail", F.col("name")).alias("first"))
+    # Outer, with the empty ones taken away behind: an inner explosion puts a filter on its
+    # list before it, for which names and spans would be worked out again.
+    rows = p.select("match_id", "num", "detail", lead.alias("lead"), F.explode_outer("names").alias("name")).filter("name IS NOT NULL")
+    rows = rows.select("match_id", "num", "name", "lead", F.instr("detail", F.col("name")).alias("first"), F.inline_outer(X.spans(F.col("detail"), F.col("name"))))
+    rows = rows.filter("start IS NOT NULL")
     leading = (F.col("name") == F.col("lead")) & (F.col("start") == F.col("first") - 1)
     return rows.select("match_id", "num", "name", "start", "end", leading.cast("int").alias("leading"))
 
