@@ -57,7 +57,7 @@ def snapshot_append(t: Tables) -> DataFrame:
     """A table of snapshots advanced twice: inside a season, and over its end.
 
     Each step reads the stored table and the matches of the new periods only."""
-    sides = t.sides
+    sides = t.once("matches").sides  # each step reads them
     path = Fi.scratch(t.spark, "snapshots")
     cuts = [0, 199606, 199803, 999999]
     schema = "team bigint, season bigint, period bigint, w bigint, l bigint, t bigint, points_for bigint, points_against bigint"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ratings import pair_ratings
@@ -84,6 +84,14 @@ def advance_ratings(stored: DataFrame, matches: DataFrame, holders: DataFrame |
     return stored.filter(F.col("period") < upto).unionByName(fresh)
 
 
+def by_season(rows: DataFrame, value: str) -> Column:
+    """``value`` of the season at hand from ``rows`` (season, value; a row per season),
+    which come as one map; null without such a season."""
+    known = rows.filter(F.col("season").isNotNull())
+    whole = known.agg(F.map_from_entries(F.collect_list(F.struct("season", value))).alias("m"))
+    return F.try_element_at(whole.scalar(), F.col("season"))
+
+
 def advance_snapshots(stored: DataFrame, side_rows: DataFrame, season_length: DataFrame) -> DataFrame:
     """Standing snapshots of the periods in ``side_rows``, from the stored ones.
 
@@ -103,18 +111,21 @@ def advance_snapshots(stored: DataFrame, side_rows: DataFrame, season_length: Da
         "points_for": F.sum("for_points"),
         "points_against": F.sum("opp_points"),
     }
-    lengths = season_length.select("season", "weeks")
-    rows = side_rows.join(lengths, "season").filter(F.col("period") % 100 <= F.col("weeks"))
-    delta = rows.groupBy("team", "season", "period").agg(*[v.alias(k) for k, v in marks.items()])
+    # Folded before seasons are looked up: a season is a key of few values, by which
+    # nothing is shuffled.  Calendar and lengths are one row each.
+    weeks = by_season(season_length.groupBy("season").agg(F.max("weeks").alias("weeks")), "weeks")
+    delta = side_rows.groupBy("team", "season", "period").agg(*[v.alias(k) for k, v in marks.items()])
+    delta = delta.filter(F.col("period") % 100 <= weeks)
     # The state is one more delta, older than all new periods of its season.
-    new = delta.groupBy("season").agg(F.array_sort(F.collect_set("period")).alias("periods"))
-    begin = state.join(new.select("season"), "season", "left_semi").select("team", "season", "period", *figures, F.lit(True).alias("old"))
+    calendar = side_rows.select("season", "period").distinct().filter(F.col("period") % 100 <= weeks)
+    new = by_season(calendar.groupBy("season").agg(F.array_sort(F.collect_set("period")).alias("periods")), "periods")
+    begin = state.filter(new.isNotNull()).select("team", "season", "period", *figures, F.lit(True).alias("old"))
     both = begin.unionByName(delta.withColumn("old", F.lit(False)))
     run = Window.partitionBy("team", "season").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
     ends = both.select("team", "season", "period", "old", *[F.sum(c).over(run).alias(c) for c in figures])
     # A row holds until the team's next one: it fills the new periods from its own on.
     until = F.lead("period").over(Window.partitionBy("team", "season").orderBy("period"))
-    held = ends.withColumn("_next", until).join(new, "season")
+    held = ends.withColumn("_next", until).withColumn("periods", new).filter("periods IS NOT NULL")
     inside = F.filter("periods", lambda p: (p >= F.col("period")) & (F.col("_next").isNull() | (p < F.col("_next"))))
     return held.select("team", "season", F.explode(inside).alias("period"), *figures)
 
