@@ -15,6 +15,8 @@ START = 1500.0
 SEASON_MEAN = 1505.0
 KEEP = 0.75
 PLAYER_START = 100.0
+#: Files of a period's matches.
+FILES = 8
 
 
 def k_factor(margin: Column, gap: Column) -> Column:
@@ -69,12 +71,15 @@ def pair_ratings(
     spark = matches.sparkSession
     base = f"{checkpoint_dir(spark)}/pair-ratings-{uuid.uuid4().hex}"
     cols = ["home", "away", "home_points", "away_points", "winner"]
-    calendar = [tuple(r) for r in matches.select("period", "season").distinct().orderBy("period").collect()]
+    # The matches are computed once: the calendar is read from what is laid out.  A period
+    # is dealt to a few tasks by its home teams, so no task and no file holds all of it.
+    laid_out = matches.select("season", "period", *cols)
+    dealt = F.pmod(F.xxhash64("home"), F.lit(FILES))
+    laid_out.repartition("period", dealt).write.partitionBy("period").parquet(f"{base}/matches")
+    games = spark.read.schema(laid_out.schema).parquet(f"{base}/matches")
+    calendar = [tuple(r) for r in games.select("period", "season").distinct().orderBy("period").collect()]
     if not calendar:
         return spark.createDataFrame([], "team bigint, period bigint, rating double")
-    laid_out = matches.select("season", "period", *cols)
-    laid_out.repartitionByRange("period", "home").write.partitionBy("period").parquet(f"{base}/matches")
-    games = spark.read.parquet(f"{base}/matches")
     game_schema = games.select("season", *cols).schema
     periods = [c[0] for c in calendar] + [calendar[-1][0] + 1]
 
