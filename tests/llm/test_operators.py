@@ -477,3 +477,19 @@ def test_folder_is_below_the_checkpoint_folder(spark):
     from tidemark.session import checkpoint_dir
 
     assert new_folder(spark, "x").startswith(checkpoint_dir(spark))
+
+
+def test_a_lean_encoder_forgets_and_encodes_alike(monkeypatch):
+    import public_tokenizers
+
+    from tidemark.llm import tokens
+
+    monkeypatch.setattr(tokens, "LEAN", 20)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lean, whole = tokens.Encoder(path, lean=True), tokens.Encoder(path)
+    for i in range(30):
+        texts = [f"The common words, and rare{i} Word{i * 7} don't <x> {j}." for j in range(4)] + ["", " é\n"]
+        assert lean.encode(texts, 2) == whole.encode(texts, 2)
+        held = [lean.words, lean.older_words, lean.pieces, lean.older_pieces]
+        assert max(map(len, held)) < 60
+    assert len(whole.words) > 60 and b"common" in lean.words

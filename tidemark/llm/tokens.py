@@ -39,6 +39,8 @@ CHECKSUMS = 0x80
 FRAME_BYTES = 1 << 20
 #: Distinct words remembered by a worker; then it starts afresh.
 MEMORY = 1_000_000
+#: The same where memory is scarce: a full memory is kept as the older one.
+LEAN = 250_000
 
 # Words of these characters only fall apart in the same places for any tokenizer
 # pattern of letter runs, single digits and runs of other signs; an apostrophe or
@@ -47,19 +49,33 @@ _PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
 
 
+def unknown(wanted: set, younger: dict, older: dict) -> list:
+    """What neither memory holds; what the older one holds moves to the younger."""
+    new = []
+    for w in wanted:
+        if w not in younger:
+            if (ids := older.pop(w, None)) is None:
+                new.append(w)
+            else:
+                younger[w] = ids
+    return new
+
+
 class Encoder:
     """The tokenizer behind a memory of words.
 
     White space always separates tokens, so a text's ids are its words' ids in a
-    row; a word is encoded by the library once and remembered as packed ids.
+    row; a word is encoded by the library once and remembered as packed ids.  A
+    ``lean`` encoder forgets sooner and in two steps: words of the older memory move
+    to the younger when they come again, so common ones stay and rare ones go.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, lean: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}  # by UTF-8 bytes
-        self.pieces: dict[str, bytes] = {}
+        self.limit, self.lean = (LEAN if lean else MEMORY), lean
+        self.forget()
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -67,7 +83,16 @@ class Encoder:
         REMEMBERING.append(self)
 
     def forget(self) -> None:
-        self.words, self.pieces = {}, {}
+        self.words: dict[bytes, bytes] = {}  # by UTF-8 bytes
+        self.pieces: dict[str, bytes] = {}
+        self.older_words, self.older_pieces = {}, {}
+
+    def age(self) -> None:
+        """A full memory goes, or becomes the older one."""
+        if len(self.words) > self.limit:
+            self.words, self.older_words = {}, self.words if self.lean else {}
+        if len(self.pieces) > self.limit:
+            self.pieces, self.older_pieces = {}, self.pieces if self.lean else {}
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -76,7 +101,7 @@ class Encoder:
         """Encode words that are not yet known, many in one call."""
         texts = {w: w.decode() for w in words}
         split = {w: [p.lower() for p in _PIECE.findall(t)] for w, t in texts.items() if _PLAIN.fullmatch(t)}
-        new = list({p for ps in split.values() for p in ps if p not in self.pieces})
+        new = unknown({p for ps in split.values() for p in ps}, self.pieces, self.older_pieces)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
@@ -95,25 +120,21 @@ class Encoder:
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Packed ids of each text, with the end id."""
-        if len(self.words) > MEMORY:
-            self.words = {}
-        if len(self.pieces) > MEMORY:
-            self.pieces = {}
+        self.age()
         parts = [t.encode().split() for t in texts]  # at ASCII white space only
-        known = self.words
-        self.learn([w for w in set().union(*parts) if w not in known])
+        self.learn(unknown(set().union(*parts), self.words, self.older_words))
         get, tail = self.words.__getitem__, struct.pack("<I", end_id)
         return [b"".join(map(get, p)) + tail for p in parts]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, lean: bool = False) -> Encoder:
     """The worker's own encoder of a vocabulary file; it outlives the task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, lean) not in _encoders:
+        _encoders[path, lean] = Encoder(path, lean)
+    return _encoders[path, lean]
 
 
 class FrameWriter:
@@ -212,14 +233,15 @@ class FrameReader:
             yield from self.frame(k)
 
 
-def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
+def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, lean: bool = False) -> DataFrame:
     """Encode (doc_id, text) into seekable files in ascending doc_id order.
 
     Returns one row per file: file (its number), path, docs, tokens, start (ids
     in all files before).  Files are ranges of doc_id, nulls first; rows with
     equal ids follow by the hash of their text.  A null text is empty and gives
     the end id alone.  Other columns are not read.  An empty table gives no file.
-    ``tokenizer`` is the path of the vocabulary on every executor.
+    ``tokenizer`` is the path of the vocabulary on every executor; ``lean`` encoders
+    take less memory and somewhat more time.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
@@ -229,7 +251,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str |
     def write(batches):
         out, k = None, TaskContext.get().partitionId()
         path = f"{folder}/part-{k:06d}.ids.zst"
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, lean)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
