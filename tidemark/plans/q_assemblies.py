@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.ml import PipelineModel
@@ -301,20 +303,70 @@ def upcoming_full_table(t: Tables) -> DataFrame:
 )
 def player_table(t: Tables) -> DataFrame:
     """Player points model: averages, last games, opponent, shares, starter flag."""
-    t = t.once("outings")  # nine features read them
-    spine = t.outings.select("match_id", "player", "team", "period", "position")
-    return assemble(spine, t, PLAYER_FEATURES, ["match_id", "player"])
+    t = t.once("outings")  # every fold reads them
+    return with_player_features(t.outings.select(*PLAYER_SPINE), t).drop("opp", "week")
+
+
+#: An outing's keys and role, and what the features look up by.
+PLAYER_SPINE = ["match_id", "player", "team", "period", "position", "opp", "week"]
+#: Columns of the player features, in the order of ``PLAYER_FEATURES``.
+PLAYER_COLUMNS = [
+    ["season_avg"], ["career_avg"], [f"points_{i}" for i in range(1, 6)], ["avg_points"], [f"{s}_{i}" for s in "abc" for i in range(1, 5)],
+    ["a", "b", "c"], [f"allowed_{i}" for i in range(1, 6)], ["share_avg"], ["is_starter"],
+]
+
+
+def with_player_features(spine: DataFrame, t: Tables, more: Sequence[tuple[DataFrame, list[str]]] = ()) -> DataFrame:
+    """``spine`` (the columns of ``PLAYER_SPINE`` and more) with the player features of
+    its outings, and with the frames ``more`` by their keys.
+
+    Features by player share two folds and one join.  They belong to (match, player):
+    where several outings have the same, each feature of one meets those of all, as in
+    a join of the features one by one, which is done for those outings only."""
+    key, known = ["match_id", "player"], q_history.player_known(t)
+    cols = [c for part in PLAYER_COLUMNS for c in part]
+    again = t.outings.filter("match_id IS NOT NULL").groupBy(*key).count().filter("count > 1").select(*key)
+    again = stored(again)
+    repeated = again.limit(1).count() > 0
+    if repeated:
+        known = stored(known)
+
+    def joined(rows: DataFrame) -> DataFrame:
+        return functools.reduce(lambda df, x: df.join(x[0], x[1], "left"), more, rows)
+
+    # The narrow lookups first, so the wide rows pass one shuffle.
+    rows = spine.join(again, key, "left_anti") if repeated else spine
+    rows = joined(q_tables.with_listed(q_history.with_allowed(rows, t), t))
+    out = q_history.with_player_known(rows, known)
+    # A row without a match has no features.
+    own = [c for c in rows.columns if c not in cols]
+    out = out.select(*own, *[F.when(F.col("match_id").isNotNull(), F.col(c)).alias(c) for c in cols])
+    if not repeated:
+        return out
+    rows = t.outings.select(*PLAYER_SPINE).join(again, key, "left_semi")
+    base = stored(q_history.with_player_known(q_history.with_allowed(rows, t), known))
+    parts = [(q_tables.with_listed(rows, t) if part == ["is_starter"] else base).select(*key, *part) for part in PLAYER_COLUMNS]
+    return out.unionByName(join_all(joined(spine.join(again, key, "left_semi")), parts, key))
 
 
 @query("U-1 J-2 J-8 ML-13 R-3 A-7 H-22 H-23 H-25 Q-7", _player_wide_sql())
 def player_wide_table(t: Tables) -> DataFrame:
     """The widest player table: with earlier records, week ranks, primary flags, calendar
     shares and their differences, starts, role columns and the line-up's best ratings."""
-    t = t.once("outings")
-    wide = player_table(t).select("*", *[(F.col("position") == r).cast("int").alias(f"is_{r.lower()}") for r in q_state.ROLE_ORDER])
-    for n, (keys, cols) in PLAYER_MORE.items():
-        wide = wide.join(REGISTRY[n].build(t).select(*keys, *cols).distinct(), keys, "left")
-    return wide.join(q_state.best_lineup_ratings(t), ["team", "period"], "left")
+    t = t.once("outings").once("starters")  # line-ups, starts and ratings read the latter
+    roles = [(F.col("position") == r).cast("int").alias(f"is_{r.lower()}") for r in q_state.ROLE_ORDER]
+    found = {n: (REGISTRY[n].build(t).select(*keys, *cols).distinct(), keys) for n, (keys, cols) in PLAYER_MORE.items() if not n.startswith("team_calendar_share")}
+    # Shares and their differences: one frame, one row per key.
+    found["shares"] = q_history.share_differences(q_history.team_share_slots(t, 4)), PLAYER_MORE["team_calendar_shares"][0]
+    # Who shares a key stands side by side; narrow rows are shuffled first.
+    wide = t.outings.select(*PLAYER_SPINE).join(q_state.best_lineup_ratings(t), ["team", "period"], "left")
+    for n in ("season_offset_join", "week_ranks"):
+        wide = wide.join(*found[n], "left")
+    wide = with_player_features(wide, t, [found[n] for n in ("primary_so_far", "shares", "starts_info")])
+    features = [c for part in PLAYER_COLUMNS for c in part]
+    more = [c for _, cols in PLAYER_MORE.values() for c in cols]
+    best = [f"best_{r.lower()}" for r in q_state.ROLE_ORDER]
+    return wide.select("team", "period", "player", "match_id", "position", *features, *roles, *more, *best)
 
 
 @query(

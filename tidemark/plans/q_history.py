@@ -583,12 +583,18 @@ def player_mean_role_figures(t: Tables) -> DataFrame:
 )
 def opponent_allowed_points(t: Tables) -> DataFrame:
     """The opponent's last five periods: mean points it allowed to the player's role."""
+    rows = t.outings.select("match_id", "player", "opp", "position", "period")
+    return with_allowed(rows, t).select("match_id", "player", *[f"allowed_{i}" for i in range(1, 6)])
+
+
+def with_allowed(rows: DataFrame, t: Tables) -> DataFrame:
+    """``rows`` (opp, position, period and more) with the points allowed before."""
     allowed = t.outings.groupBy(F.col("opp"), "position", "period").agg((F.sum("points") / F.count(F.lit(1))).alias("pts"))
     w = Window.partitionBy("opp", "position").orderBy("period").rowsBetween(-4, 0)
     state = allowed.select("opp", "position", "period", F.reverse(F.collect_list("pts").over(w)).alias("recent"))
-    out = H.asof(t.outings.select("match_id", "player", "opp", "position", "period"), state, ["opp", "position"], ["recent"], in_history=True)
+    out = H.asof(rows, state, ["opp", "position"], ["recent"], in_history=True)
     rounded = F.transform("recent", lambda x: F.round(x, 6))
-    return out.select("match_id", "player", *H.slots(rounded, 5, "allowed", F.lit(0)))
+    return out.select(*rows.columns, *H.slots(rounded, 5, "allowed", F.lit(0)))
 
 
 @query(
@@ -608,24 +614,66 @@ def season_share_average(t: Tables) -> DataFrame:
     return out.select("match_id", "player", F.round("share_avg", 6).alias("share_avg"))
 
 
+def player_known(t: Tables) -> DataFrame:
+    """What is known of a player before each of its periods: the figures of the seven
+    features by player, from one fold of the totals and one of the newest games."""
+    o, key = t.outings, ["player"]
+    sums = {"s": F.col("points"), "sn": F.col("points").isNotNull().cast("int"), "h": F.col("share"), "hn": F.col("share").isNotNull().cast("int")}
+    totals = H.period_totals(o, ["player", "season"], sums)
+    career = Window.partitionBy("player").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
+    year = Window.partitionBy("player", "season").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
+    last = Window.partitionBy("player").orderBy("season").rangeBetween(-1, -1)
+    cols = ["n", *sums]
+    # The windows by player come first: those by season need no other shuffle.
+    wide = totals.select("*", *[F.sum(c).over(career).alias(f"career_{c}") for c in ("n", "s")], *[F.sum(c).over(last).alias(f"last_{c}") for c in cols])
+    wide = wide.select("*", *[F.sum(c).over(year).alias(f"now_{c}") for c in cols])
+
+    def mean(prefix: str, value: str, least: int):
+        return F.when(F.coalesce(f"{prefix}_n", F.lit(0)) >= least, F.try_divide(f"{prefix}_{value}", f"{prefix}_{value}n"))
+
+    seasons = {f"{k}_{x}": mean(x, v, least) for k, v, least in (("season_avg", "s", 2), ("share_avg", "h", 1)) for x in ("now", "last")}
+    to_date = F.when(F.col("career_n") >= 2, F.col("career_s") / F.col("career_n")).alias("career_avg")
+    totals = wide.select("player", "period", *[c.alias(k) for k, c in seasons.items()], to_date)
+    roles = {s: role_figures(i) for i, s in enumerate(_SLOTS)}
+    games = H.newest(o.select("player", "period", "match_id", "points", *[v.alias(k) for k, v in roles.items()]), ["player", "period"], ["match_id"], 5)
+    # Means and lists of fewer games see only that many of a period, ties included.
+    last_5, last_4, last_3 = (Window.partitionBy("player", *part).orderBy("period", "match_id") for part in ([], [F.col("_rn") <= 4], [F.col("_rn") <= 3]))
+    five = {f"points_{i}": F.lag("points", i - 1).over(last_5) for i in range(1, 6)}
+    five |= {f"mean_{s}": F.avg(s).over(last_5.rowsBetween(-4, 0)) for s in _SLOTS}
+    four = {f"{s}_{i}": F.lag(s, i - 1).over(last_4) for s in _SLOTS for i in range(1, 5)}
+    three = {"avg_points": F.avg("points").over(last_3.rowsBetween(-2, 0))}
+    recent = games
+    for part in (five, four, three):
+        recent = recent.select("*", *[c.alias(k) for k, c in part.items()])
+    before = [*five, *four, *three]
+    recent = recent.filter("_rn = 1").select("player", "period", *before)
+    return totals.join(H.before(recent, key, before), ["player", "period"])
+
+
+def with_player_known(spine: DataFrame, known: DataFrame) -> DataFrame:
+    """``spine`` (player, period, week and more) with the columns of the features by player."""
+    out = spine.join(known, ["player", "period"], "left")
+    # The season's figures look at the last one in week 1.
+    first = F.col("week") == 1
+    season = {k: F.when(first, F.col(f"{k}_last")).otherwise(F.col(f"{k}_now")) for k in ("season_avg", "share_avg")}
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    cols = {"season_avg": F.round(zero(season["season_avg"]), 6), "career_avg": F.round(zero("career_avg"), 6)}
+    cols |= {f"points_{i}": zero(f"points_{i}") for i in range(1, 6)}
+    cols |= {"avg_points": F.round(zero("avg_points"), 6)}
+    cols |= {f"{s}_{i}": zero(f"{s}_{i}") for s in _SLOTS for i in range(1, 5)}
+    cols |= {s: F.round(zero(f"mean_{s}"), 6) for s in _SLOTS}
+    cols |= {"share_avg": F.round(season["share_avg"], 6)}
+    return out.select(*spine.columns, *[c.alias(k) for k, c in cols.items()])
+
+
 def team_share_slots(t: Tables, n: int) -> DataFrame:
     """Player's share in the team's last n periods, newest first, 0 where absent."""
-    outings = t.outings
-    periods = outings.select("team", "period").distinct()
-    w = Window.partitionBy("team").orderBy("period").rowsBetween(-n, -1)
-    recent = periods.select("team", "period", F.reverse(F.collect_list("period").over(w)).alias("before"))
-    mine = outings.groupBy("player", "team", "period").agg(F.max("share").alias("share"))
-    wanted = (
-        mine.select("player", "team", "period")
-        .join(recent, ["team", "period"])
-        .select("player", "team", "period", F.posexplode_outer("before").alias("pos", "earlier"))
-    )
-    seen = mine.select("player", "team", F.col("period").alias("earlier"), "share")
-    pairs = wanted.join(seen, ["player", "team", "earlier"], "left")
-    # One row per slot: at most n per group.
-    return pairs.groupBy("player", "team", "period").agg(
-        *[F.coalesce(F.max(F.when(F.col("pos") == i, F.col("share"))), F.lit(0.0)).alias(f"share_{i + 1}") for i in range(n)]
-    )
+    place = F.row_number().over(Window.partitionBy("team").orderBy("period"))
+    calendar = t.outings.select("team", "period").dropna().distinct().select("team", "period", place.alias("_at"))
+    mine = t.outings.groupBy("player", "team", "period").agg(F.max("share").alias("share"))
+    w = Window.partitionBy("player", "team").orderBy("_at")
+    slots = [F.coalesce(F.max("share").over(w.rangeBetween(-i, -i)), F.lit(0.0)).alias(f"share_{i}") for i in range(1, n + 1)]
+    return mine.join(calendar, ["team", "period"]).select("player", "team", "period", *slots)
 
 
 _TEAM_SHARES = views("outings") + """, mine AS (SELECT player, team, period, max(share) AS share FROM outings GROUP BY ALL),
@@ -647,10 +695,14 @@ def team_calendar_shares(t: Tables) -> DataFrame:
 )
 def team_calendar_share_differences(t: Tables) -> DataFrame:
     """First differences of the calendar shares, newest first."""
-    shares = team_share_slots(t, 4)
+    return share_differences(team_share_slots(t, 4)).select("player", "team", "period", *[f"diff_{i}" for i in range(1, 4)])
+
+
+def share_differences(shares: DataFrame) -> DataFrame:
+    """Calendar shares (share_1 to share_4) with their first differences."""
     arr = F.array(*[f"share_{i}" for i in range(1, 5)])
     diffs = F.zip_with(F.slice(arr, 1, 3), F.slice(arr, 2, 3), lambda a, b: F.round(a - b, 6))
-    return shares.select("player", "team", "period", *H.slots(diffs, 3, "diff"))
+    return shares.select("*", *H.slots(diffs, 3, "diff"))
 
 
 @query(

@@ -300,10 +300,14 @@ def new_since_last_year(t: Tables) -> DataFrame:
 )
 def listed_in_lineup(t: Tables) -> DataFrame:
     """Membership in a delimited list by exploding it once."""
+    return with_listed(t.outings.select("match_id", "player", "team", "period"), t).select("match_id", "player", "is_starter")
+
+
+def with_listed(rows: DataFrame, t: Tables) -> DataFrame:
+    """``rows`` (team, period, player and more) with the flag of the line-up."""
     listed = L.explode(t.lineups).select("team", "period", F.col("player").cast("bigint").alias("player"), F.lit(1).alias("is_starter"))
-    return t.outings.select("match_id", "player", "team", "period").join(listed, ["team", "period", "player"], "left").select(
-        "match_id", "player", F.coalesce("is_starter", F.lit(0)).alias("is_starter")
-    )
+    out = rows.join(listed, ["team", "period", "player"], "left")
+    return out.select(*rows.columns, F.coalesce("is_starter", F.lit(0)).alias("is_starter"))
 
 
 @query(
