@@ -1,5 +1,6 @@
 """Steps whose work must not grow faster than their input: plans and whole results."""
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -8,7 +9,8 @@ from tidemark.operators import history as H
 from tidemark.operators.ratings import pair_ratings
 from tidemark.operators.scan import RunningSum, chunked_scan
 from tidemark.plans.testbed import Tables
-from tidemark.streaming.incremental import advance_snapshots
+from tidemark.streaming import rating_stream as R
+from tidemark.streaming.incremental import advance_snapshots, append_new
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +86,32 @@ def test_views_are_written_once(spark):
     again = t.once("matches")
     assert again.matches is t.matches and again.outings is t.outings
     assert sorted(t.matches.collect()) == sorted(Tables(spark, SF).matches.collect())
+
+
+def test_streamed_events_reach_their_pool_packed(spark):
+    """A pool's task gets a row per period and reading task, not one per match."""
+    rows = [(1999, 199900 + p, h, h % 7 + 8, 3, h % 5, h if h % 2 else None) for p in (1, 2) for h in range(500)]
+    matches = spark.createDataFrame(rows, "season long, period long, home long, away long, home_points long, away_points long, winner long")
+    told = spark.createDataFrame([(h, 1999, h % 2) for h in range(300)], "team long, season long, new_holder int")
+    events = R.match_events(matches, F.lit("p")).unionByName(R.holder_events(told, F.lit("p"), F.lit(199901)))
+    got = R.packed(events.orderBy(F.xxhash64("home", "team")).coalesce(2)).collect()
+    assert len(got) <= 4 and sum(len(r.home) for r in got) == 8 * 1000 and sum(len(r.team) for r in got) == 8 * 300
+    assert sum(sum(r.home_won) for r in got) == 500 and sum(sum(r.new_holder) for r in got) == 150
+    assert {r.period for r in got if r.home} == {199901, 199902}
+    teams = {t: new for r in got for t, new in zip(np.frombuffer(r.team, "<i8").tolist(), r.new_holder)}
+    assert teams == {h: h % 2 for h in range(300)}
+
+
+def test_appended_partitions_get_few_files(spark, tmp_path):
+    batch = spark.range(4000).select("id", (F.col("id") % 2).alias("p")).repartition(40)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in a stream
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for _ in range(2):
+            append_new(spark, str(tmp_path / "t"), batch, ["id"], "p")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4000
+    assert len(list((tmp_path / "t" / "p=1").glob("*.parquet"))) <= 16

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,24 +89,25 @@ def season_overwrite(t: Tables) -> DataFrame:
 def ratings_streamed(t: Tables) -> DataFrame:
     """Ratings advanced by a stream of periods with the state store, stopped and
     resumed inside a season, one period delivered twice."""
-    return _streamed(t.once("matches"), None)
+    return _streamed(t)
 
 
 @query("ST-2 Q-4", _SEEN.format(rated=_COACH_SQL))
 def coach_ratings_streamed(t: Tables) -> DataFrame:
     """The same with the holders of each season as events: new ones start again."""
-    t = t.once("matches")
-    return _streamed(t, coach_holders(t))
+    return _streamed(t, coach_holders)
 
 
-def _streamed(t: Tables, holders: DataFrame | None) -> DataFrame:
-    games = t.matches
-    src, dst, ckpt = (Fi.scratch(t.spark, f"rating-{n}") for n in ("in", "out", "ckpt"))
+def _streamed(t: Tables, holders: Callable[[Tables], DataFrame] | None = None) -> DataFrame:
+    written, src, dst, ckpt = (Fi.scratch(t.spark, f"rating-{n}") for n in ("events", "in", "out", "ckpt"))
     pool = F.lit("all")
-    events = R.match_events(games, pool)
+    # Matches are folded once and laid out by season: a delivery reads its own seasons.
+    R.match_events(t.matches, pool).write.partitionBy("season").parquet(written)
+    games = events = t.spark.read.schema(R.EVENTS).parquet(written)
     calendar = games.groupBy("season").agg(F.min("period").alias("first"), F.max("period").alias("last"))
     if holders is not None:
-        events = events.unionByName(R.holder_events(holders.join(calendar, "season"), pool, F.col("first")))
+        told = holders(t.with_matches(games)).join(calendar, "season")
+        events = events.unionByName(stored(R.holder_events(told, pool, F.col("first"))))
     spans = [tuple(r) for r in calendar.dropna().orderBy("season").collect()]  # one row per season
 
     def land(lo: int, hi: int) -> None:

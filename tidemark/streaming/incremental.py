@@ -11,22 +11,28 @@ from tidemark.operators.ratings import pair_ratings
 from tidemark.operators.setops import unseen
 from tidemark.sources.files import exists, overwrite_partitions
 
+#: Files that one append adds to a partition at most.
+FILES = 8
+
 
 def append_new(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], partition: str | None = None) -> None:
     """Append the rows of ``batch`` whose key the table does not hold yet.
 
     ``partition`` names a column that the key determines (a season, a day): the table
-    is laid out by it, and only the partitions that the batch touches are read.
+    is laid out by it, and only the partitions that the batch touches are read.  A
+    partition's rows are dealt to a few tasks by their keys, so it gets few files.
     """
-    batch = batch.dropDuplicates(list(keys))
+    arrived, batch = batch, batch.dropDuplicates(list(keys))
     if exists(spark, path):
         known = spark.read.schema(batch.schema).parquet(path)
         if partition is not None:
             # One value per touched partition comes to the driver.
-            touched = [r[0] for r in batch.select(partition).distinct().collect()]
+            touched = [r[0] for r in arrived.select(partition).distinct().collect()]
             col = F.col(partition)
             known = known.filter(col.isin([v for v in touched if v is not None]) | (col.isNull() if None in touched else F.lit(False)))
         batch = unseen(batch, known, keys)
+    if partition is not None:
+        batch = batch.repartition(partition, F.pmod(F.xxhash64(*keys), F.lit(FILES)))
     writer = batch.write.mode("append")
     (writer if partition is None else writer.partitionBy(partition)).parquet(path)
 
