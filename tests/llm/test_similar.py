@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from test_simhash import union
-from tidemark.llm import similar
+from tidemark.llm import simhash, similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +75,21 @@ def test_a_common_line_makes_no_pairs(spark, monkeypatch):
     out = similar.similar_groups(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in out} == groups(docs)
     assert sum(seen) < 4 * len(texts)
+
+
+def test_simhash_proposes_groups(spark, monkeypatch):
+    """The stage's SimHash search finds near copies by itself; what it proposes is
+    verified by the shingles."""
+    plain = similar.postings
+    monkeypatch.setattr(similar, "postings", lambda nodes, at_least: plain(nodes, at_least).limit(0))
+    base = [f"b{i}" for i in range(3000)]
+    copies = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in (700, 1600)]
+    line = "A clear sentence about rivers, towns and their long history stands here. "
+    # Fingerprints within two bits, shingles far apart.
+    apart = [line * 5 + f"Number {i} closes it." for i in (4, 28)]
+    docs = dict(enumerate([" ".join(base), *copies, *apart, "nothing like the others at all in here"], 1))
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    fp = [simhash.fingerprint(t) for t in docs.values()]
+    assert all((fp[a] ^ fp[b]).bit_count() <= 2 for a, b in ((0, 1), (0, 2), (3, 4)))
+    got = corpus_pipeline.simhash_near_dedup(spark, rows, SF)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(groups(docs).values())) == [1, 4, 5, 6]

@@ -188,7 +188,7 @@ def components(edges: DataFrame, spark_scratch: Scratch) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, scratch: Scratch | None = None) -> DataFrame:
     """Every row of ``docs`` (doc_id, text): doc_id, fp, component_id.
 
     component_id is the smallest doc_id that can be reached over links between
@@ -196,9 +196,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     empty, white space) has fingerprint zero and is linked like any other.  Null
     ids are passed over unless a component has no other.  Equal fingerprints are
     one node, so copies cost one row each.  Other columns are not read; an empty
-    table gives no rows.
+    table gives no rows.  Who gives a ``scratch`` may drop it after reading.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
+    scratch = scratch or Scratch(docs.sparkSession, "simhash")
     rows = scratch.put(fingerprints(docs, k))
     nodes = scratch.put(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     label = components(links(nodes, scratch), scratch)
