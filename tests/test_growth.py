@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.operators import history as H
+from tidemark.operators import models as M
+from tidemark.operators.folds import Folds
 from tidemark.operators.ratings import pair_ratings
 from tidemark.operators.scan import RunningSum, chunked_scan
+from tidemark.plans import q_assemblies
 from tidemark.plans.testbed import Tables
+from tidemark.session import stored
 from tidemark.streaming import rating_stream as R
 from tidemark.streaming.incremental import advance_snapshots, append_new
 
@@ -115,3 +119,37 @@ def test_appended_partitions_get_few_files(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4000
     assert len(list((tmp_path / "t" / "p=1").glob("*.parquet"))) <= 16
+
+
+def test_a_fit_in_one_pass_keeps_no_rows(spark, monkeypatch):
+    rows = spark.range(50).select((F.col("id") % 7).alias("a"), (F.col("id") * 2 + F.col("id") % 7).alias("y"))
+    kept, persist = [], type(rows).persist
+    monkeypatch.setattr(type(rows), "persist", lambda df, *level: kept.append(df.columns) or persist(df, *level))
+    M.fit(rows, ["a"], "y", M.regressor())
+    assert not kept
+    M.fit(rows.withColumn("y", F.col("y") % 2), ["a"], "y", M.classifier())
+    assert len(kept) == 1
+
+
+def test_wide_rows_are_not_written_for_their_means(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(q_assemblies, "stored", lambda df: written.append(df.columns) or stored(df))
+    for name in ("match_table", "match_full_table"):
+        out = entry.queries()[name](spark, SF)
+        assert "match_id" in out.columns
+    assert written and not any("match_id" in columns for columns in written)
+
+
+def test_all_team_columns_share_the_sides_joins(spark):
+    """Frames by team and by match join with the folds: the spine meets each side once."""
+    t = Tables(spark, SF).once("matches")
+    folds = Folds(t, t.matches.select("match_id", "period", "home", "away"))
+    folds.done["matches"] = t.matches
+    teams = t.sides.groupBy("team", "period").agg(F.sum("for_points").alias("scored"))
+    more = t.matches.select("match_id", F.col("home_yards").alias("gained"))
+    out = folds.assemble(["last_results"], [more], teams)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join LeftOuter") == 3 and out.columns[-3:] == ["gained", "home_scored", "away_scored"]
+    plain = {(r.team, r.period): r.scored for r in teams.collect()}
+    got = out.select("period", "home", "away", "home_scored", "away_scored").collect()
+    assert got and all(r.home_scored == plain[r.home, r.period] and r.away_scored == plain[r.away, r.period] for r in got)
